@@ -23,6 +23,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_read(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.warc import round_trip
+
+    return round_trip(spark, _read(spark, sf_dir, "pages"))
+
+
+def op8_suffix_radix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.suffix_radix import substring_report
+
+    return substring_report(_read(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.mixing import mix
 
@@ -38,7 +50,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
+    "op8_suffix_radix": op8_suffix_radix,
     "op10_decontamination": op10_decontamination,
 }
 
@@ -55,6 +69,11 @@ ORACLE_SQL = {
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
         FROM marked GROUP BY doc_id""",
+    "op6_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY d) AS first FROM p)
+        SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n < 100 OR page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN n < 100 OR page_id = first THEN NULL ELSE first END AS refers_to FROM f""",
     "op7_mixing": r"""
         WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
         s AS (SELECT source, sum(size)::BIGINT AS n FROM d GROUP BY source),
