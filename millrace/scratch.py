@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -31,4 +32,11 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Spark drops the shuffle files of finished jobs once the driver's JVM has collected what referred to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
