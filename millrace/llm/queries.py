@@ -17,12 +17,30 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.html_wrapper import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.line_dedup import line_report
 
     return line_report(_read(spark, sf_dir, "documents"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.kneser_ney import quality
+
+    return quality(_read(spark, sf_dir, "documents")).drop("rid")
+
+
+def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.sentence_spans import span_report
+
+    return span_report(_read(spark, sf_dir, "documents"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.warc import round_trip
 
@@ -41,6 +59,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_read(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.toxicity import score
+
+    return score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.decontaminate import contamination
 
@@ -49,10 +73,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_html_wrapper": op2_html_wrapper,
     "op3_line_dedup": op3_line_dedup,
+    "op4_kneser_ney": op4_kneser_ney,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_warc": op6_warc,
     "op7_mixing": op7_mixing,
     "op8_suffix_radix": op8_suffix_radix,
+    "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
 }
 

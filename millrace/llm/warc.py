@@ -71,8 +71,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(as_bytes(html_col), F.lit(b"")).alias("payload"))
     marks = own.where(F.octet_length("payload") >= min_revisit).where("page_id is not null").select("page_id", F.sha2("payload", 256).alias("digest"))
     first = marks.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    again = marks.join(first, "digest").where("page_id <> first").select("page_id", F.col("digest").alias("of"), "first").distinct()
-    ready = own.join(again, (own["page_id"] == again["page_id"]) & (F.sha2(own["payload"], 256) == again["of"]), "left").select(own["page_id"], "url", "payload", "first")
+    again = marks.join(first, "digest").where("page_id <> first").select(F.col("page_id").alias("again"), F.col("digest").alias("of"), "first").distinct()
+    ready = own.join(again, (F.col("page_id") == F.col("again")) & (F.sha2("payload", 256) == F.col("of")), "left").select("page_id", "url", "payload", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
