@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +32,6 @@ def geo_distance(df: DataFrame, lat1Column: str, lon1Column: str, lat2Column: st
 @operator()
 def vincenty_distance(df: DataFrame, lat1Column: str, lon1Column: str, lat2Column: str, lon2Column: str, outputColumn: str = "distance_m", outputBearing: bool = False) -> DataFrame:
     """Geodesic metres on WGS84 by Vincenty's inverse formula, vectorised; NULL where it does not converge; bearing 0 to 360."""
-    import pandas as pd
 
     @F.pandas_udf("distance double, bearing double")
     def solve(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
@@ -219,7 +219,6 @@ def map_match(df: DataFrame, reference: DataFrame, key: str, latColumn: str, lon
 
         def best(frames):
             import numpy as np
-            import pandas as pd
 
             ref = None
             for pdf in frames:

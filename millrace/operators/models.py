@@ -318,22 +318,22 @@ def _by_score(df: DataFrame, actual: str, score: str, key: str, positive: str) -
     from millrace.operators.rows import _numbered
 
     rows = df.select(F.col(key).alias("k"), (F.col(actual).cast("string") == positive).cast("int").alias("y"), num(score).alias("p")).dropna()
-    return _numbered(rows, [{"column": "p", "desc": True}, "k"], "rn").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("P"))))
+    return _numbered(rows, [{"column": "p", "desc": True}, "k"], "rn").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))))
 
 
 @operator()
 def gain_chart(df: DataFrame, actualColumn: str, probaColumn: str, key: str, positive_label: str = "1", points: int = 100) -> DataFrame:
     """(population, gain): share of positives among the highest-scored share of rows, at whole percents."""
     rows = _by_score(df, actualColumn, probaColumn, key, positive_label).withColumn("b", F.ceil(F.col("rn") * points / F.col("n")))
-    c = rows.groupBy("b").agg(F.sum("y").alias("y"), F.max("P").alias("P"), (F.max("rn") / F.max("n")).alias("population"))
-    return c.select("population", F.try_divide(F.sum("y").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)), F.col("P")).alias("gain")).orderBy("population")
+    c = rows.groupBy("b").agg(F.sum("y").alias("y"), F.max("pos").alias("pos"), (F.max("rn") / F.max("n")).alias("population"))
+    return c.select("population", F.try_divide(F.sum("y").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)), F.col("pos")).alias("gain")).orderBy("population")
 
 
 @operator()
 def lift_chart(df: DataFrame, actualColumn: str, probaColumn: str, key: str, buckets: int = 10, positive_label: str = "1") -> DataFrame:
     """(bucket, n, positives, lift, cumulative_lift) of buckets that end at row int(b n / k)."""
     rows = _by_score(df, actualColumn, probaColumn, key, positive_label).withColumn("bucket", F.ceil(F.col("rn") * buckets / F.col("n")).cast("int"))
-    c = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"), F.max(F.col("P") / F.col("n")).alias("base"))
+    c = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positives"), F.max(F.col("pos") / F.col("n")).alias("base"))
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     return c.select("bucket", "n", "positives", F.try_divide(F.col("positives") / F.col("n"), F.col("base")).alias("lift"), F.try_divide(F.sum("positives").over(w) / F.sum("n").over(w), F.col("base")).alias("cumulative_lift")).orderBy("bucket")
 

@@ -197,11 +197,11 @@ def log_rank_test(df: DataFrame, durationColumn: str, eventColumn: str, groupCol
     per = rows.groupBy("g", "t").agg(F.count(F.lit(1)).alias("n"), F.sum("e").alias("d"))
     grid = per.select("g").distinct().crossJoin(per.where("d > 0").select("t").distinct())
     both = grid.withColumn("at", F.lit(True)).join(per, ["g", "t"], "full").fillna(0, ["n", "d"]).withColumn("r", F.sum("n").over(Window.partitionBy("g").orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0))).where("at")
-    tot = both.groupBy("t").agg(F.sum("r").alias("R"), F.sum("d").alias("D"), F.collect_list(F.struct("g", "r")).alias("gs"))
-    e = both.join(tot.select("t", "R", "D"), "t").groupBy("g").agg(F.sum("d").alias("o"), F.sum(F.col("D") * F.col("r") / F.col("R")).alias("e")).orderBy("g").collect()
-    cov = tot.where("R > 1").select("R", "D", F.explode("gs").alias("a"), "gs").select("R", "D", "a", F.explode("gs").alias("b"))
-    f = F.col("D") * (F.col("R") - F.col("D")) / (F.col("R") - 1)
-    pa, pb = F.col("a.r") / F.col("R"), F.col("b.r") / F.col("R")
+    tot = both.groupBy("t").agg(F.sum("r").alias("all_r"), F.sum("d").alias("all_d"), F.collect_list(F.struct("g", "r")).alias("gs"))
+    e = both.join(tot.select("t", "all_r", "all_d"), "t").groupBy("g").agg(F.sum("d").alias("o"), F.sum(F.col("all_d") * F.col("r") / F.col("all_r")).alias("e")).orderBy("g").collect()
+    cov = tot.where("all_r > 1").select("all_r", "all_d", F.explode("gs").alias("a"), "gs").select("all_r", "all_d", "a", F.explode("gs").alias("b"))
+    f = F.col("all_d") * (F.col("all_r") - F.col("all_d")) / (F.col("all_r") - 1)
+    pa, pb = F.col("a.r") / F.col("all_r"), F.col("b.r") / F.col("all_r")
     found = cov.groupBy(F.col("a.g").alias("x"), F.col("b.g").alias("y")).agg(F.sum(f * pa * (F.when(F.col("a.g") == F.col("b.g"), 1.0).otherwise(0.0) - pb)).alias("v")).collect()
     names = [r.g for r in e]
     at = {g: i for i, g in enumerate(names)}

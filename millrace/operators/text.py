@@ -91,7 +91,11 @@ def language_detect(df: DataFrame, textColumn: str, outputColumn: str = "languag
     words = F.regexp_extract_all(F.lower(textColumn), F.lit(WORDS), F.lit(0))
     table = profiles or STOP_WORDS
     out = df.withColumn("__w", words)
-    hits = {k: F.size(F.filter("__w", lambda w, v=v: w.isin(v.split()))) for k, v in table.items()}
+
+    def among(listed: str):
+        return lambda w: w.isin(listed.split())
+
+    hits = {k: F.size(F.filter("__w", among(v))) for k, v in table.items()}
     out = out.withColumn("__h", F.array(*(F.struct(n.alias("n"), F.lit(k).alias("lang")) for k, n in hits.items())))
     total = F.aggregate("__h", F.lit(0), lambda a, x: a + x["n"])
     best = F.array_max("__h")
