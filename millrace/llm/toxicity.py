@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import as_bytes, rows_of
 
-BUCKETS, DIM, SIZES, EPOCHS, BATCH, RATE = 1 << 17, 8, (3, 4, 5), 12, 64, 0.05
+BUCKETS, DIM, SIZES, EPOCHS, BATCH, RATE = 1 << 17, 8, (3, 4, 5), 8, 64, 0.05
 #: The classifier is fitted on at most this many labelled rows, those that come first by a hash of their ids.
-MAX_TRAIN = 8_000
-THRESHOLD, HELD_WORDS = 0.3, 300_000
+MAX_TRAIN = 3_000
+THRESHOLD, HELD_WORDS, DECAY = 0.3, 300_000, 3e-3
 _EDGE = ".,;:!?%*&$#|\"'()[]<>-_"
 
 
@@ -40,11 +40,15 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bag(text: bytes | None) -> tuple[np.ndarray, np.ndarray]:
+def bag(text: bytes | None, known: dict[bytes, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct buckets of a text and their shares."""
     total: Counter = Counter()
+    known = {} if known is None else known
     for token, n in Counter((text or b"").split()).items():
-        for f in features(token):
+        found = known.get(token)
+        if found is None:
+            found = known[token] = features(token)
+        for f in found:
             total[f] += n
     ids = np.fromiter(total.keys(), np.int64, len(total))
     share = np.fromiter(total.values(), np.float32, len(total))
@@ -58,7 +62,8 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
     soft, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     if not texts:
         return np.zeros(BUCKETS, np.float32), 0.0
-    bags = [bag(t) for t in texts]
+    known: dict[bytes, list[int]] = {}
+    bags = [bag(t, known) for t in texts]
     y = np.array(labels)
     bias[:] = np.log([max(1, (y == c).sum()) / len(y) for c in (0, 1)])
     m, v = np.zeros_like(emb), np.zeros_like(emb)
@@ -88,7 +93,7 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
             fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
             m[used] = 0.9 * m[used] + 0.1 * g_emb
             v[used] = 0.999 * v[used] + 0.001 * g_emb**2
-            emb[used] = own * (1 - 1e-4) - RATE * (m[used] / fix1) / (np.sqrt(v[used] / fix2) + 1e-8)
+            emb[used] = own * (1 - DECAY) - RATE * (m[used] / fix1) / (np.sqrt(v[used] / fix2) + 1e-8)
             for x, g, a, b in ((soft, g_soft, ms, vs), (bias, g_bias, mb, vb)):
                 a[...] = 0.9 * a + 0.1 * g
                 b[...] = 0.999 * b + 0.001 * g * g
