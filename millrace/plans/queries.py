@@ -190,7 +190,7 @@ q("lag_features", lambda t: ordered.lag_features(t.events.select("event_id", "us
 q("impute_forward_backward", lambda t: ordered.impute_forward_backward(t.events.select("event_id", "user_id", F.when(F.col("value") > 50, F.col("value")).alias("v")), ["v"], "event_id", "both", "user_id"), "SELECT event_id, user_id, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id), first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS v FROM (SELECT *, CASE WHEN value > 50 THEN value END AS v FROM events)")
 q("impute_interpolation", lambda t: r(ordered.impute_interpolation(t.events.select("event_id", "user_id", F.when(F.col("value") > 50, F.col("value")).alias("v")), ["v"], "event_id", groupColumn="user_id")), "WITH e AS (SELECT event_id, user_id, CASE WHEN value > 50 THEN value END AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), k AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ia, last_value(v IGNORE NULLS) OVER a AS va, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER b AS ib, first_value(v IGNORE NULLS) OVER b AS vb FROM e WINDOW a AS (PARTITION BY user_id ORDER BY event_id), b AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT event_id, user_id, round(CASE WHEN v IS NOT NULL THEN v ELSE va + (vb - va) * (i - ia) / (ib - ia) END, 6) AS v FROM k")
 q("sensor_resample_regular", lambda t: r(ordered.sensor_resample_regular(t.events, "ts", "value", "user_id", 86400).groupBy("user_id").agg(F.count("*").alias("n"))), "SELECT user_id, ((epoch_us(max(ts)) - epoch_us(min(ts))) // 86400000000 + 1)::BIGINT AS n FROM events GROUP BY 1")
-q("stream_drift_detect", lambda t: r(ordered.stream_drift_detect(t.events.select("event_id", "user_id", "value"), "value", "event_id", 300, partition_by=["user_id"]), 4), "WITH d AS (SELECT event_id, user_id, value, value - avg(value) OVER w - 0.005 AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), c AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY event_id) AS c FROM d), p AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY user_id ORDER BY event_id)) AS p FROM c) SELECT event_id, user_id, value, round(p, 4) AS ph_stat, p > 300 AS drift FROM p")
+q("stream_drift_detect", lambda t: r(ordered.stream_drift_detect(t.events.select("event_id", "user_id", "value"), "value", "event_id", 300, partition_by=["user_id"])), "WITH d AS (SELECT event_id, user_id, value, value - avg(value) OVER w - 0.005 AS d FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), c AS (SELECT *, sum(d) OVER (PARTITION BY user_id ORDER BY event_id) AS c FROM d), p AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY user_id ORDER BY event_id)) AS p FROM c) SELECT event_id, user_id, value, round(p, 6) AS ph_stat, p > 300 AS drift FROM p")
 q("downsample_cic", lambda t: r(ordered.downsample_cic(t.events.select("event_id", "user_id", "value"), "value", "event_id", 5, 1, ["user_id"]), 4), "WITH i AS (SELECT event_id, user_id, value, sum(value) OVER w AS s, row_number() OVER w AS k FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), d AS (SELECT * FROM i WHERE (k - 1) % 5 = 0) SELECT event_id, user_id, value, round((s - coalesce(lag(s) OVER (PARTITION BY user_id ORDER BY event_id), 0)) / 5, 4) AS filtered FROM d")
 q("multi_sensor_fusion", lambda t: r(ordered.multi_sensor_fusion(t.lineitem.select("l_orderkey", "l_partkey", "l_discount", "l_tax"), ["l_discount", "l_tax"], "3,1")), "SELECT l_orderkey, l_partkey, l_discount, l_tax, round(l_discount * 0.75 + l_tax * 0.25, 6) AS fused FROM lineitem")
 q("anomaly_zscore", lambda t: r(ordered.anomaly_zscore(t.events.select("event_id", "user_id", "value"), "value", ["event_id"], 20, 2.5, 5, ["user_id"]), 4), "WITH z AS (SELECT event_id, user_id, value, CASE WHEN count(value) OVER w >= 5 THEN (value - avg(value) OVER w) / greatest(stddev_samp(value) OVER w, 1e-9) END AS z FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS 19 PRECEDING)) SELECT event_id, user_id, value, round(z, 4) AS z_score, coalesce(abs(z) > 2.5, false) AS is_anomaly FROM z")
