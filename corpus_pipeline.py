@@ -12,7 +12,7 @@ from millrace.llm.decontaminate import drop_contaminated
 from millrace.llm.kneser_ney import keep_good
 from millrace.llm.line_dedup import drop_repeated_lines
 from millrace.llm.mixing import mix
-from millrace.llm.simhash import drop_near_duplicates
+from millrace.llm.similar import drop_similar
 from millrace.scratch import settle
 
 
@@ -25,7 +25,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    return drop_similar(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
