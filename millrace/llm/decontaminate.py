@@ -2,9 +2,8 @@
 
 Postings (term, doc_id, pos) are kept for the terms that matter: each benchmark window is looked up through its
 rarest term, as counted over all documents. A posting shifted by the term's place in the item is an alignment of the item
-with the document; alignments of the rarest terms are then intersected with the lists of all other terms of the window,
-which for one document is its word sequence, so what is returned are exact phrase matches, or with ``slop``
-proximity matches, of whole windows.
+with the document. Lists of further terms are not built: each alignment is checked against the document's own words, so
+what is returned are exact phrase matches, or with ``slop`` proximity matches, of whole windows.
 """
 
 from __future__ import annotations
@@ -44,8 +43,9 @@ def rarest(windows: DataFrame, docs: DataFrame, text_col: str = "text") -> DataF
     vocabulary = windows.select("term").distinct()
     tokens = docs.select(F.explode(terms(F.col(text_col))).alias("term"))
     counts = tokens.join(vocabulary, "term").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    best = windows.join(counts, "term", "left").groupBy("item_id", "w").agg(F.min_by(F.struct("term", "place", "words"), F.struct(F.coalesce("n", F.lit(0)), "term", "place")).alias("x"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
-    return best.where("n > 0").select("x.term", "item_id", "w", "x.place", "x.words")
+    # items may share an id or have none, so a window is told by its words too
+    best = windows.join(counts, "term", "left").groupBy("item_id", "w", "words").agg(F.min_by(F.struct("term", "place"), F.struct(F.coalesce("n", F.lit(0)), "term", "place")).alias("x"), F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    return best.where("n > 0").select("x.term", "item_id", "w", "x.place", "words")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -58,7 +58,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     keys = settle(rarest(windows, docs, text_col), "benchmark-rarest")
     postings = build_postings(docs, keys, id_col, text_col)
     # equal windows of different items are looked up once
-    shapes = keys.groupBy("term", "place", "words").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+    shapes = keys.groupBy("term", "place", "words").agg(F.transform(F.array_sort(F.collect_set(F.struct("item_id"))), lambda x: x["item_id"]).alias("items"))
     lists = postings.join(shapes, "term").where("pos >= place")
     candidates = lists.groupBy("doc_id").agg(F.collect_set(F.struct((F.col("pos") - F.col("place")).alias("at"), "words", "items")).alias("found")) if not slop else lists.groupBy("doc_id").agg(F.flatten(F.collect_list(F.transform(F.sequence(F.greatest(F.lit(0), F.col("pos") - F.col("place") - slop), F.col("pos") - F.col("place")), lambda a: F.struct(a.alias("at"), F.col("words").alias("words"), F.col("items").alias("items"))))).alias("found"))
     own = docs.select(F.col(id_col).alias("doc_id"), terms(F.col(text_col)).alias("__words"))
@@ -90,7 +90,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated) for every row of ``docs``.
 
     A window is ``window`` consecutive words of an item, or the whole item if it has fewer. Null and word-less texts have
-    no hits, null and word-less items no windows; rows with a null id are looked at for word counts only; repeated
+    no hits, null and word-less items no windows; items that share an id are all looked for, and a null item_id counts as one item that ``items_sha256`` leaves out; rows with a null id are looked at for word counts only; repeated
     rows are all returned, repeated items count once; empty tables on either side are fine; texts are read whole.
     """
     found = matches(docs, benchmark, id_col, text_col, item_col, item_text, window, slop)
