@@ -152,31 +152,6 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     assert score(make(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
-# HTML
-
-
-def test_extraction_drops_marked_parts_and_templates(spark):
-    from millrace.llm.html_wrapper import extract
-
-    page = "<html><head><title>T</title><script>var x='</p>';</script></head><body><nav><ul><li><a>m{0}</a></li></ul></nav><div class='ad'>buy {0}</div><article><h1>Head {0}</h1><p>One &amp; <b>two</b>\n  {0}<p>Three</p><aside>no</aside></article><div class='comments'><p>c</p></div><footer>f</footer></body></html>"
-    plain = "<html><body><div><p>Same on all</p></div><div><p>Own text {0}</p></div><div><p>Rights</p></div></body></html>"
-    rows = [(i, f"http://a.org/{i}", page.format(i)) for i in range(3)] + [(10 + i, f"http://b.org/{i}", plain.format(i)) for i in range(4)] + [(20, None, plain.format(9)), (21, "http://a.org/x", None), (22, "http://a.org/y", ""), (23, "http://c.org", "<p>open <b>tags &am")]
-    got = {r.page_id: (r.text, r.n_chars) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got[1] == ("Head 1\n\nOne & two 1\n\nThree", 26)
-    assert got[12][0] == "Own text 2" and got[20][0] == "Same on all\n\nOwn text 9\n\nRights"
-    assert got[21] == got[22] == ("", 0) and got[23][0] == "open tags &am"
-    assert extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
-
-
-def test_simple_tree_matching():
-    from millrace.llm.html_wrapper import match
-
-    a = ["r", [["a", []], ["b", [["c", []]]], ["d", []]]]
-    b = ["r", [["b", [["c", []]]], ["x", []], ["d", []]]]
-    assert sorted(match(a, b)) == [(0, 0), (2, 1), (3, 2), (4, 4)]
-    assert match(a, ["q", []]) == []
-
-
 # WARC
 
 
