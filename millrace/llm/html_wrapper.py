@@ -440,7 +440,7 @@ def induce(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_p
         paired = one.join(F.broadcast(refs), layout)
     else:
         salt = F.pmod(F.xxhash64("digest"), F.lit(SALT)).alias("salt")
-        paired = one.select("*", salt).join(refs.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long").alias("salt")), [*layout, "salt"])
+        paired = one.select("*", salt).join(refs.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt")), [*layout, "salt"])
     counts = paired.select(*layout, *wanted).mapInArrow(align, "host string, frame long, at int, hash long, n long").groupBy(*layout, "at", "hash").agg(F.sum("n").alias("n"))
     counts = counts.join(F.broadcast(refs.select(*layout, "pages")) if few else refs.select(*layout, "pages"), layout)
     marks = counts.where(F.col("hash").isNull() | (F.col("n") >= share * F.col("pages"))).groupBy(*layout).agg(F.collect_list(F.struct("at", "hash", "n")).alias("marks"))
@@ -508,5 +508,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield batch_of(part, out)
 
     dealt = rows.mapInArrow(framed, f"page_id {kind}, url string, host string, html string, frame long").withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALT)))
-    parts = templates.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).cast("long").alias("salt"))
+    parts = templates.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
     return dealt.join(parts, ["host", "frame", "salt"], "left").select("page_id", "url", "html", "tree", "slot", "constant").mapInArrow(apart, result)
