@@ -1,10 +1,11 @@
 """Quality rules: counts of words, symbols and repeats, and the perplexity of an n-gram model of each language.
 
-The model is a modified Kneser-Ney model over the characters of words, each word between a start and an end mark. Spark counts
-the n-grams of all documents that pass the base rules and derives continuation counts, discounts, and interpolated
-probabilities order by order with joins. For scoring, n-grams become 64-bit hashes in sorted arrays with their log
-probabilities; the arrays are broadcast while the model has at most ``max_broadcast`` n-grams, and beyond that documents'
-n-grams are joined to the model tables instead. Documents outside their language's band of perplexities are rejected.
+The model is a modified Kneser-Ney model over the characters of a text, whose words stand one space apart: n-grams run across
+words, so what follows what counts. Spark counts the n-grams of all documents that pass the base rules and derives
+continuation counts, discounts, and interpolated probabilities order by order with joins. For scoring, n-grams become 64-bit hashes in
+sorted arrays with their log probabilities; the arrays are broadcast while the model has at most ``max_broadcast`` n-grams,
+and beyond that documents' n-grams are joined to the model tables instead, with the same sums. Documents outside their
+language's band of perplexities are rejected.
 """
 
 from __future__ import annotations
@@ -15,16 +16,21 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import as_bytes, rows_of
 from millrace.scratch import settle
 
 ORDER, MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 5, 10, 20, 5
-BAND, MAX_BROADCAST, HELD_WORDS = 6.0, 8_000_000, 300_000
+BAND, MAX_BROADCAST, MAX_LANGS = 3.0, 8_000_000, 10_000
+#: Logarithms count in 1 / UNIT nats; UNKNOWN is that of a symbol the model never met, NONE stands for no value.
+UNIT, UNKNOWN, NONE = 1 << 16, round(math.log(1e-6) * (1 << 16)), -(1 << 31)
+#: Symbols that are counted or scored at once, and n-grams that a task holds before it sends them.
+PIECE, HELD_GRAMS = 1 << 20, 600_000
 START, END = "\n", " "
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -51,6 +57,11 @@ def repeat_words(w: list[bytes], window: int = WINDOW) -> int:
     return int(np.count_nonzero(np.cumsum(hit[:-1]) > 0))
 
 
+def fails(w: list[bytes], repeats: int | None = None) -> bool:
+    """The base rules' verdict on a text's words."""
+    return len(w) < MIN_WORDS or 100 * (repeat_words(w) if repeats is None else repeats) > MAX_REPEAT_PERCENT * len(w)
+
+
 def base_rules(text: bytes | None) -> tuple[list[bytes], tuple]:
     """The words, and (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
     text = text or b""
@@ -60,78 +71,119 @@ def base_rules(text: bytes | None) -> tuple[list[bytes], tuple]:
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x.strip()]
     repeats = repeat_words(w)
-    failed = len(w) < MIN_WORDS or 100 * repeats > MAX_REPEAT_PERCENT * len(w)
-    return w, (len(w), chars - spaces, symbols, len(lines) - len(set(lines)), repeats, failed)
+    return w, (len(w), chars - spaces, symbols, len(lines) - len(set(lines)), repeats, fails(w, repeats))
 
 
-def grams_of(word: str, order: int) -> list[str]:
-    """For each character of the word and its end mark, the n-gram that ends there: as long as the order and the start mark allow."""
-    s = START + word + END
-    return [s[max(0, i - order) : i] for i in range(2, len(s) + 1)]
+def spoken(w: list[bytes]) -> str:
+    """The words as the model reads them: one space between them, and one at the end."""
+    return (b" ".join(w)).decode("utf-8", "replace").replace("\0", "\ufffd") + END
 
 
 def _seed(lang: str | None) -> int:
     return xxhash.xxh64_intdigest((lang if lang is not None else "\x00").encode(), 42)
 
 
-def _fold(columns: list[np.ndarray], seed: int) -> np.ndarray:
+def _fold(points: np.ndarray, seed: int) -> np.ndarray:
     """64-bit hashes of rows of code points, first symbol first, 0 where there is none."""
-    h = np.full(len(columns[0]), seed, np.uint64)
-    for c in columns:
-        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+    h = np.full(len(points), seed, np.uint64)
+    for k in range(points.shape[1]):
+        h = (h ^ points[:, k]) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return h.view(np.int64)
 
 
-def hash_grams(grams: list[str], seed: int, order: int) -> np.ndarray:
-    points = np.frombuffer("".join(g.rjust(order, "\0") for g in grams).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, order)
-    return _fold([points[:, k] for k in range(order)], seed)
+def gram_points(grams: list[str], order: int) -> np.ndarray:
+    return np.frombuffer("".join(g.rjust(order, "\0") for g in grams).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64).reshape(-1, order)
+
+
+def point_grams(points: np.ndarray) -> list[str]:
+    flat = points.astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+    order = points.shape[1]
+    return [flat[i : i + order].lstrip("\0") for i in range(0, len(flat), order)]
+
 
+def _firsts(codes: np.ndarray, n: int) -> np.ndarray:
+    """Where each of the n codes is met first."""
+    out = np.zeros(n, np.int64)
+    out[codes[::-1]] = np.arange(len(codes))[::-1]
+    return out
+
+
+def text_points(texts: list[str], order: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code points of the n-gram that ends at each symbol, the text's number), in pieces of some ``piece`` symbols.
+
+    A text begins with the start mark, which is context only; a long one is cut, and its pieces overlap by the context.
+    """
 
-def hash_words(words: list[str], seed: int, order: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the words in a row: their text, the hash of each n-gram, the place where it ends, and how many each word has."""
-    text = START + (END + START).join(words) + END
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    starts = np.r_[0, np.cumsum(sizes)[:-1]]
-    since = np.arange(len(points)) - np.repeat(starts, sizes)
-    at = np.flatnonzero(since > 0)
-    since = since[at]
-    columns = [np.where(since >= k, points[np.maximum(at - k, 0)], np.uint64(0)) for k in range(order - 1, -1, -1)]
-    return text, _fold(columns, seed), at, sizes - 1
+    def emit() -> tuple[np.ndarray, np.ndarray]:
+        flat = np.frombuffer("".join(c[0] for c in held).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(c[0]) for c in held])
+        here = np.arange(len(flat)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+        since = here + np.repeat(np.array([c[2] for c in held]), sizes)
+        at = np.flatnonzero((here >= np.repeat(np.array([c[1] for c in held]), sizes)) & (since > 0))
+        since = since[at]
+        points = np.zeros((len(at), order), np.uint64)
+        for k in range(order):
+            points[:, order - 1 - k] = np.where(since >= k, flat[np.maximum(at - k, 0)], 0)
+        return points, np.repeat(np.array([c[3] for c in held]), sizes)[at]
+
+    held, n = [], 0
+    for i, text in enumerate(texts):
+        s = START + text
+        for at in range(0, len(s), piece):
+            lead = min(at, order - 1)
+            held.append((s[at - lead : at + piece], lead, at - lead, i))
+            n += len(held[-1][0])
+            if n >= piece:
+                yield emit()
+                held, n = [], 0
+    if held:
+        yield emit()
 
 
 def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> DataFrame:
-    """(lang, gram, n) over all documents that pass the base rules; words are counted before n-grams are."""
+    """(lang, gram, n) over the whole texts of all documents that pass the base rules. Tasks add up before they send."""
+
+    def add(known: tuple | None, new: tuple) -> tuple:
+        """Sums of (hash, points, n), one for each hash."""
+        if not known:
+            return new
+        h, points, n = (np.concatenate([a, b]) for a, b in zip(known, new, strict=True))
+        codes, kinds = pd.factorize(h)
+        return kinds, points[_firsts(codes, len(kinds))], np.bincount(codes, weights=n).astype(np.int64)
 
     def flush(held: dict) -> pa.RecordBatch:
         langs, grams, ns = [], [], []
-        for lang, found in held.items():
-            if not found:
-                continue
-            words = [w.decode("utf-8", "replace") for w in found]
-            text, h, at, sizes = hash_words(words, _seed(lang), order)
-            _, first, kind = np.unique(h, return_index=True, return_inverse=True)
-            weight = np.repeat(np.fromiter(found.values(), np.float64, len(found)), sizes)
-            total = np.bincount(kind, weights=weight).astype(np.int64)
-            starts = np.repeat(np.r_[0, np.cumsum(sizes + 1)[:-1]], sizes)
-            for i in first.tolist():
-                end = int(at[i]) + 1
-                grams.append(text[max(int(starts[i]), end - order) : end])
-            langs += [lang] * len(total)
-            ns += total.tolist()
+        for lang, (_, points, n) in held.items():
+            langs += [lang] * len(n)
+            grams += point_grams(points)
+            ns += n.tolist()
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(ns, pa.int64())], names=["lang", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = defaultdict(Counter)
+        held: dict = {}
+        waiting: dict = defaultdict(list)
+        size: Counter = Counter()
+
+        def take(lang: str | None) -> None:
+            for points, _ in text_points(waiting.pop(lang), order):
+                codes, kinds = pd.factorize(_fold(points, _seed(lang)))
+                held[lang] = add(held.get(lang), (kinds, points[_firsts(codes, len(kinds))], np.bincount(codes)))
+            size[lang] = 0
+
         for _, (langs, texts) in rows_of(batches):
             for lang, text in zip(langs, texts, strict=True):
-                w, stats = base_rules(text)
-                if not stats[-1]:
-                    held[lang].update(w)
-            if sum(map(len, held.values())) > HELD_WORDS:
+                w = (text or b"").split()
+                if not fails(w):
+                    waiting[lang].append(spoken(w))
+                    size[lang] += len(waiting[lang][-1])
+                    if size[lang] >= PIECE:
+                        take(lang)
+            if sum(len(x[0]) for x in held.values()) > HELD_GRAMS:
                 yield flush(held)
-                held = defaultdict(Counter)
+                held = {}
+        for lang in list(waiting):
+            take(lang)
         yield flush(held)
 
     rows = docs.select(F.col(lang_col).alias("lang"), as_bytes(text_col).alias("text")).mapInArrow(run, "lang string, gram string, n long")
@@ -139,7 +191,10 @@ def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
 
 
 def fit(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, gram, logp, logb): interpolated log probability of the gram's last symbol, and the log back-off weight of the gram as a context."""
+    """(lang, gram, logp, logb): interpolated log probability of the gram's last symbol, and the log back-off weight of the gram as a context.
+
+    Logarithms are whole numbers of 1 / UNIT nats, so a document's sum is the same in whatever order it is added up.
+    """
     raw = settle(counts.select(F.coalesce("lang", F.lit("\x00")).alias("lang"), "gram", "n"), "kn-counts")
     tables = {order: raw.where(F.length("gram") == order)}
     for k in range(order - 1, 0, -1):
@@ -153,10 +208,15 @@ def fit(counts: DataFrame, order: int = ORDER) -> DataFrame:
         raw_d = lambda i: i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
         discount = lambda i: F.when(raw_d(i).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(float(i)), raw_d(i)))).otherwise(0.5 * i)
         d = t.groupBy("lang").agg(*c, F.count(F.lit(1)).alias("kinds")).select("lang", "kinds", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
+        d = settle(d, f"kn-discounts{k}")  # a row a language
+        d = F.broadcast(d) if d.limit(MAX_LANGS + 1).count() <= MAX_LANGS else d
         head = F.substring("gram", 1, k - 1) if k > 1 else F.lit("")
-        t = t.join(d, "lang").withColumn("h", head).withColumn("d", F.expr("case when n = 1 then d1 when n = 2 then d2 else d3 end"))
-        ctx = t.groupBy("lang", "h").agg(F.sum("n").alias("all"), (F.sum("d") / F.sum("n")).alias("b"))
-        p = t.join(ctx, ["lang", "h"]).withColumn("own", (F.col("n") - F.col("d")) / F.col("all"))
+        t = t.withColumn("h", head)
+        # whole numbers are added up, so that no order of addition shows in the result
+        sums = t.groupBy("lang", "h").agg(F.sum("n").alias("all"), *(F.count_if(F.least("n", F.lit(3)) == i).alias(f"k{i}") for i in (1, 2, 3)))
+        gone = sum((F.col(f"d{i}") * F.col(f"k{i}") for i in (2, 3)), F.col("d1") * F.col("k1"))
+        ctx = sums.join(d, "lang").select("lang", "h", "all", "kinds", "d1", "d2", "d3", (gone / F.col("all")).alias("b"))
+        p = t.join(ctx, ["lang", "h"]).withColumn("own", (F.col("n") - F.expr("case when n = 1 then d1 when n = 2 then d2 else d3 end")) / F.col("all"))
         if lower is None:
             p = p.withColumn("p", F.col("own") + F.col("b") / (F.col("kinds") + 1))
         else:
@@ -167,7 +227,8 @@ def fit(counts: DataFrame, order: int = ORDER) -> DataFrame:
         contexts.append(ctx.select("lang", F.col("h").alias("gram"), "b"))
     union = lambda xs: reduce(DataFrame.unionByName, xs)
     both = union(fitted).join(union(contexts), ["lang", "gram"], "full")
-    return settle(both.select("lang", "gram", F.ln("p").cast("float").alias("logp"), F.ln(F.greatest("b", F.lit(1e-9))).cast("float").alias("logb")), "kn-model")
+    units = lambda x: F.round(F.ln(x) * UNIT).cast("int")
+    return settle(both.select("lang", "gram", units(F.col("p")).alias("logp"), units(F.greatest("b", F.lit(1e-9))).alias("logb")), "kn-model")
 
 
 def _sorted_arrays(model: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,21 +237,19 @@ def _sorted_arrays(model: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             langs, grams = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            seeds = {x: _seed(x) for x in set(langs)}
-            h = np.zeros(len(grams), np.int64)
-            owner = np.array(langs, object)
-            for lang, seed in seeds.items():
+            h, owner = np.zeros(len(grams), np.int64), np.array(langs, object)
+            for lang in set(langs):
                 mine = np.flatnonzero(owner == lang)
-                h[mine] = hash_grams([grams[i] for i in mine], seed, order)
-            p, b = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.float32) for i in (2, 3))
+                h[mine] = _fold(gram_points([grams[i] for i in mine], order), _seed(lang))
+            p, b = (batch.column(i).fill_null(NONE).to_numpy().astype(np.int32) for i in (2, 3))
             yield pa.RecordBatch.from_pydict({"data": [h.tobytes() + p.tobytes() + b.tobytes()]})
 
     parts = []
     for row in model.select("lang", "gram", "logp", "logb").mapInArrow(pack, "data binary").toLocalIterator():
         n = len(row.data) // 16
-        parts.append((np.frombuffer(row.data, np.int64, n), np.frombuffer(row.data, np.float32, n, 8 * n), np.frombuffer(row.data, np.float32, n, 12 * n)))
+        parts.append((np.frombuffer(row.data, np.int64, n), np.frombuffer(row.data, np.int32, n, 8 * n), np.frombuffer(row.data, np.int32, n, 12 * n)))
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
     h, p, b = (np.concatenate(x) for x in zip(*parts, strict=True))
     at = np.argsort(h)
     return h[at], p[at], b[at]
@@ -202,130 +261,127 @@ class Arrays:
     def __init__(self, hashes: np.ndarray, logp: np.ndarray, logb: np.ndarray, order: int) -> None:
         self.hashes, self.logp, self.logb, self.order = hashes, logp, logb, order
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Index of each hash, -1 if it is unknown."""
+    def find(self, h: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The value of each hash, NONE if there is none."""
         if not len(self.hashes):
-            return np.full(len(h), -1)
+            return np.full(len(h), NONE)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
-
-    def back_off(self, g: str, seed: int) -> float:
-        """Log probability of a gram that the model does not hold."""
-        b = 0.0
-        while len(g) > 1:
-            k = self.find(hash_grams([g[:-1], g[1:]], seed, self.order))
-            b += float(self.logb[k[0]]) if k[0] >= 0 and not np.isnan(self.logb[k[0]]) else 0.0
-            g = g[1:]
-            if k[1] >= 0 and not np.isnan(self.logp[k[1]]):
-                return b + float(self.logp[k[1]])
-        return b + math.log(1e-6)
-
-    def score(self, words: list[bytes], seed: int) -> dict[bytes, float]:
-        """Log probability of each word."""
-        if not words:
-            return {}
-        text, h, place, sizes = hash_words([w.decode("utf-8", "replace") for w in words], seed, self.order)
-        at = self.find(h)
-        logs = np.where(at >= 0, self.logp[at] if len(self.logp) else np.nan, np.nan).astype(np.float64)
-        for i in np.flatnonzero(np.isnan(logs)).tolist():
-            end = int(place[i]) + 1
-            start = text.rfind(START, 0, end)
-            logs[i] = self.back_off(text[max(start, end - self.order) : end], seed)
-        return dict(zip(words, np.add.reduceat(logs, np.r_[0, np.cumsum(sizes)[:-1]]).tolist(), strict=True))
+        return np.where(self.hashes[at] == h, values[at], NONE).astype(np.int64)
+
+    def logs(self, points: np.ndarray, seed: int) -> np.ndarray:
+        """Log probability of each n-gram's last symbol, backed off where the model does not hold the n-gram."""
+        out = self.find(_fold(points, seed), self.logp)
+        open_ = np.flatnonzero(out == NONE)
+        points, back = points[open_].copy(), np.zeros(len(open_), np.int64)
+        while len(open_):
+            context = np.c_[np.zeros(len(points), np.uint64), points[:, :-1]]
+            weight = self.find(_fold(context, seed), self.logb)
+            back += np.where((weight == NONE) | ~context.any(axis=1), 0, weight)
+            first = np.argmax(points != 0, axis=1)
+            last = first == self.order - 1
+            points[np.arange(len(points)), first] *= last.astype(np.uint64)
+            found = np.where(last, UNKNOWN, self.find(_fold(points, seed), self.logp))
+            done = found != NONE
+            out[open_[done]] = (back + found)[done]
+            open_, points, back = open_[~done], points[~done], back[~done]
+        return out
+
+    def score(self, texts: list[str], seed: int) -> np.ndarray:
+        """Log probability of each text, in units."""
+        total = np.zeros(len(texts))
+        for points, owner in text_points(texts, self.order):
+            codes, kinds = pd.factorize(_fold(points, seed))
+            total += np.bincount(owner, weights=self.logs(points[_firsts(codes, len(kinds))], seed)[codes], minlength=len(texts))
+        return total
 
 
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+def _text_key(lang_col: str, text_col: str) -> Column:
+    """128 bits of language and text, which is all that a verdict depends on."""
+    return F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col(lang_col)), F.lit("")), F.lit("\n"), F.coalesce(F.col(text_col), F.lit(""))).cast("binary"))
+
+
 def score(docs: DataFrame, model: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(rid, doc_id, lang, five counts, base_failed, nll): the negative log likelihood of documents that pass the base rules."""
+    """(text_key, doc_id, lang, five counts, base_failed, nll): the negative log likelihood, in units, of documents that pass the base rules."""
     kind = docs.schema[id_col].dataType.simpleString()
-    rid = F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col), F.col(text_col))
-    named = docs.select(rid.alias("rid"), F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), as_bytes(text_col).alias("text"))
+    named = docs.select(_text_key(lang_col, text_col).alias("text_key"), F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), as_bytes(text_col).alias("text"))
     small = model.limit(max_broadcast + 1).count() <= max_broadcast
     sent = docs.sparkSession.sparkContext.broadcast(_sorted_arrays(model, order)) if small else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = Arrays(*sent.value, order) if sent else None
-        known: dict = {}
         for part, (_, _, langs, texts) in rows_of(batches):
-            read = [base_rules(t) for t in texts]
-            nll = [None] * len(read)
-            if arrays:
-                fresh: dict = defaultdict(set)
-                for lang, (w, stats) in zip(langs, read, strict=True):
-                    if not stats[-1]:
-                        fresh[lang].update(set(w).difference(known.setdefault(lang, {})))
-                for lang, ws in fresh.items():
-                    known[lang].update(arrays.score(list(ws), _seed(lang)))
-                for i, (lang, (w, stats)) in enumerate(zip(langs, read, strict=True)):
-                    if not stats[-1]:
-                        nll[i] = -sum(map(known[lang].__getitem__, w))
-                if sum(map(len, known.values())) > HELD_WORDS:
-                    known = {}
-            counts = [pa.array([s[k] for _, s in read], pa.int64()) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *counts, pa.array([s[5] for _, s in read]), pa.array(nll, pa.float64())], names=["rid", "doc_id", "lang", *_STATS, "base_failed", "nll"])
-
-    rows = named.mapInArrow(run, f"rid long, doc_id {kind}, lang string, {', '.join(f'{c} long' for c in _STATS)}, base_failed boolean, nll double")
-    if small:
-        return rows
-    joined = _score_by_join(named, model, order)
-    return rows.drop("nll").join(joined, "rid", "left")
+            stats, nll, said = [], [None] * len(texts), defaultdict(list)
+            for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
+                w, own = base_rules(text)
+                stats.append(own)
+                if arrays and not own[-1]:
+                    said[lang].append((i, spoken(w)))
+            for lang, own in said.items():
+                for (i, _), total in zip(own, arrays.score([t for _, t in own], _seed(lang)), strict=True):
+                    nll[i] = -int(total)
+            counts = [pa.array([s[k] for s in stats], pa.int64()) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), *counts, pa.array([s[5] for s in stats]), pa.array(nll, pa.int64())], names=["text_key", "doc_id", "lang", *_STATS, "base_failed", "nll"])
+
+    rows = named.mapInArrow(run, f"text_key string, doc_id {kind}, lang string, {', '.join(f'{c} long' for c in _STATS)}, base_failed boolean, nll long")
+    return rows if small else rows.drop("nll").join(_score_by_join(named, model, order), "text_key", "left")
 
 
 def _score_by_join(named: DataFrame, model: DataFrame, order: int) -> DataFrame:
-    """(rid, nll) with the model in tables: each document's n-grams back off by a join an order."""
+    """(text_key, nll) with the model in tables: the n-grams of each distinct text back off by a join an order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, (rids, _, langs, texts) in rows_of(batches, 16):
-            out = []
-            for rid, lang, text in zip(rids, langs, texts, strict=True):
-                w, stats = base_rules(text)
-                if not stats[-1]:
-                    found: Counter = Counter()
-                    for x, n in Counter(w).items():
-                        for g in grams_of(x.decode("utf-8", "replace"), order):
-                            found[g] += n
-                    out += [(rid, lang if lang is not None else "\x00", g, n) for g, n in found.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [[]] * 4, [pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)], names=["rid", "lang", "gram", "n"])
-
-    rows = named.dropDuplicates(["rid"]).mapInArrow(run, "rid long, lang string, gram string, n long").withColumn("b", F.lit(0.0))
+        for _, (keys, _, langs, texts) in rows_of(batches, 16):
+            for key, lang, text in zip(keys, langs, texts, strict=True):
+                w = (text or b"").split()
+                if fails(w):
+                    continue
+                for points, _ in text_points([spoken(w)], order):
+                    _, first, n = np.unique(_fold(points, 0), return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"text_key": [key] * len(n), "lang": [lang if lang is not None else "\x00"] * len(n), "gram": point_grams(points[first]), "n": n})
+
+    rows = named.dropDuplicates(["text_key"]).mapInArrow(run, "text_key string, lang string, gram string, n long").withColumn("b", F.lit(0).cast("long"))
     done = []
     for _ in range(order):
         rows = settle(rows.join(model.select("lang", "gram", "logp"), ["lang", "gram"], "left"), "kn-scored")
-        done.append(rows.where("logp is not null or length(gram) = 1").select("rid", "n", (F.col("b") + F.coalesce("logp", F.lit(math.log(1e-6)))).alias("l")))
+        done.append(rows.where("logp is not null or length(gram) = 1").select("text_key", "n", (F.col("b") + F.coalesce("logp", F.lit(UNKNOWN))).alias("l")))
         left = rows.where("logp is null and length(gram) > 1").drop("logp").withColumn("h", F.expr("substring(gram, 1, length(gram) - 1)"))
         weights = model.select("lang", F.col("gram").alias("h"), "logb")
-        rows = left.join(weights, ["lang", "h"], "left").select("rid", "lang", F.expr("substring(gram, 2)").alias("gram"), "n", (F.col("b") + F.coalesce("logb", F.lit(0.0))).alias("b"))
-    return reduce(DataFrame.unionByName, done).groupBy("rid").agg((-F.sum(F.col("n") * F.col("l"))).alias("nll"))
+        rows = left.join(weights, ["lang", "h"], "left").select("text_key", "lang", F.expr("substring(gram, 2)").alias("gram"), "n", (F.col("b") + F.coalesce("logb", F.lit(0))).alias("b"))
+    return reduce(DataFrame.unionByName, done).groupBy("text_key").agg((-F.sum(F.col("n") * F.col("l"))).cast("long").alias("nll"))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", order: int = ORDER, band: float = BAND, max_broadcast: int = MAX_BROADCAST) -> DataFrame:
-    """(doc_id, five counts, base_failed, perplexity, lower, upper, kept) for every row of ``docs``.
+    """(text_key, doc_id, five counts, base_failed, perplexity, lower, upper, kept) for every row of ``docs``; other columns are not read.
 
     The band of a language is its median log perplexity a word, plus and minus ``band`` times the median absolute deviation,
     which is scaled up for short documents by what so few words scatter. Null texts have no words, so they fail;
-    a null language is one of its own; repeated rows are all returned; an empty table gives no rows; words of any length
-    are read whole.
+    a null language is one of its own; null ids are fine; repeated rows are all returned and counted; an empty table gives no rows;
+    long texts are read whole, in pieces.
     """
     model = fit(count_grams(docs, lang_col, text_col, order), order)
     scored = settle(score(docs, model, id_col, lang_col, text_col, order, max_broadcast), "kn-documents")
-    x = F.round(F.try_divide(F.col("nll"), F.col("n_words")), 3)
-    rated = scored.withColumn("x", x)
-    lang = F.coalesce("lang", F.lit("\x00"))
-    middle = rated.where("x is not null").groupBy(lang.alias("l")).agg(F.percentile("x", 0.5).alias("mid"))
-    spread = rated.where("x is not null").withColumn("l", lang).join(F.broadcast(middle), "l")
-    z = F.round(F.abs(F.col("x") - F.col("mid")) * F.sqrt("n_words"), 2)
-    spread = spread.groupBy("l", "mid").agg(F.percentile(F.abs(F.col("x") - F.col("mid")), 0.5).alias("mad"), F.percentile(z, 0.5).alias("one"))
-    out = rated.withColumn("l", lang).join(F.broadcast(spread), "l", "left")
+    x = F.try_divide(F.col("nll") / UNIT, F.col("n_words"))
+    rated = scored.withColumn("x", F.round(x, 3)).withColumn("l", F.coalesce("lang", F.lit("\x00")))
+    # medians are taken of rounded values, whose number is bounded
+    middle = settle(rated.where("x is not null").groupBy("l").agg(F.percentile("x", 0.5).alias("mid")), "kn-middle")
+    few = middle.limit(MAX_LANGS + 1).count() <= MAX_LANGS
+    send = F.broadcast if few else lambda side: side
+    off = F.abs(F.col("x") - F.col("mid"))
+    spread = rated.where("x is not null").join(send(middle), "l").groupBy("l", "mid").agg(F.percentile(F.round(off, 3), 0.5).alias("mad"), F.percentile(F.round(off * F.sqrt("n_words"), 2), 0.5).alias("one"))
+    out = rated.join(send(settle(spread, "kn-bands")), "l", "left")
     wide = band * F.sqrt(F.col("mad") * F.col("mad") + F.coalesce(F.try_divide(F.col("one") * F.col("one"), F.col("n_words")), F.lit(0.0)))
-    out = out.withColumn("lower", F.exp(F.col("mid") - wide)).withColumn("upper", F.exp(F.col("mid") + wide)).withColumn("perplexity", F.exp(F.try_divide(F.col("nll"), F.col("n_words"))))
+    out = out.withColumn("lower", F.exp(F.col("mid") - wide)).withColumn("upper", F.exp(F.col("mid") + wide)).withColumn("perplexity", F.exp(x))
     kept = ~F.col("base_failed") & F.coalesce(F.col("perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return out.select("rid", "doc_id", *_STATS, "base_failed", "perplexity", "lower", "upper", kept.alias("kept"))
+    return out.select("text_key", "doc_id", *_STATS, "base_failed", "perplexity", "lower", "upper", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", **kw) -> DataFrame:
-    """``docs`` without the documents that the base rules or their language's band reject."""
-    rid = F.xxhash64(F.col(id_col).cast("string"), F.col(lang_col), F.col(text_col))
-    good = quality(docs, id_col, lang_col, text_col, **kw).where("kept").select(F.col("rid").alias("__good"))
-    return docs.withColumn("__rid", rid).join(good, F.col("__rid") == F.col("__good"), "left_semi").select(*docs.columns)
+    """``docs`` without the documents that the base rules or their language's band reject; columns and their order are kept.
+
+    Rows are told by 128 bits of their language and text, whatever their ids, as equal texts of a language share their fate.
+    """
+    good = quality(docs, id_col, lang_col, text_col, **kw).where("kept").select(F.col("text_key").alias("__good_text")).distinct()
+    return docs.join(good, _text_key(lang_col, text_col) == F.col("__good_text"), "left_semi").select(*docs.columns)

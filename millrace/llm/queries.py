@@ -32,7 +32,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     from millrace.llm.kneser_ney import quality
 
-    return quality(_read(spark, sf_dir, "documents")).drop("rid")
+    return quality(_read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op5_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,11 +45,11 @@ def test_base_rules_match_brute_force():
         assert base_rules(t.encode() if t is not None else None)[1] == brute_base(t)
 
 
-def brute_kn(words, order):
+def brute_kn(texts, order):
     """Modified Kneser-Ney by the textbook, over one language."""
     raw = defaultdict(Counter)
-    for w in words:
-        s = "\n" + w + " "
+    for t in texts:
+        s = "\n" + " ".join(t.split()) + " "
         for i in range(2, len(s) + 1):
             g = s[max(0, i - order) : i]
             raw[len(g)][g] += 1
@@ -91,38 +91,96 @@ def fitted(spark):
 
 
 def test_model_matches_textbook(fitted):
+    from millrace.llm.kneser_ney import UNIT
+
     docs, model = fitted
-    words = [w for r in docs.collect() for w in r.text.split()]
-    got = {r.gram: math.exp(r.logp) for r in model.collect() if r.logp is not None}
-    want = brute_kn(words, 3)
+    got = {r.gram: math.exp(r.logp / UNIT) for r in model.collect() if r.logp is not None}
+    want = brute_kn([r.text for r in docs.collect()], 3)
     assert got.keys() == want.keys()
     for g, p in want.items():
         assert got[g] == pytest.approx(p, rel=1e-4)
 
 
+def test_scores_are_sums_of_logs_across_words(spark, fitted):
+    from millrace.llm.kneser_ney import UNIT, score
+
+    docs, model = fitted
+    p = brute_kn([r.text for r in docs.collect()], 3)
+    for r in score(docs, model, order=3).join(docs.select("doc_id", "text"), "doc_id").collect():
+        s = "\n" + " ".join(r.text.split()) + " "
+        grams = [s[max(0, i - 3) : i] for i in range(2, len(s) + 1)]
+        assert r.nll / UNIT == pytest.approx(-sum(math.log(p[g]) for g in grams), rel=1e-4)
+
+
 def test_joined_scores_equal_broadcast_scores(spark, fitted):
     from millrace.llm import kneser_ney as kn
 
     docs, model = fitted
-    more = docs.unionByName(make(spark, ["unseen zzz qqq words that the model never met at all ok", None, ""]).withColumn("doc_id", F.col("doc_id") + 100))
-    a = {r.doc_id: r.nll for r in kn.score(more, model, order=3).collect()}
-    b = {r.doc_id: r.nll for r in kn.score(more, model, order=3, max_broadcast=0).collect()}
-    assert a.keys() == b.keys()
-    for k, v in a.items():
-        assert (v is None) == (b[k] is None) and (v is None or v == pytest.approx(b[k], rel=1e-4))
+    odd = make(spark, ["unseen zzz qqq words that the model never met at all ok", "né \0 ñandú 漢字 x y z 1 2 3 4 5", None, ""]).withColumn("doc_id", F.when(F.col("doc_id") > 0, F.col("doc_id") + 100))
+    more = docs.unionByName(odd).unionByName(docs.limit(1))
+    a = sorted(((r.doc_id, r.nll) for r in kn.score(more, model, order=3).collect()), key=str)
+    assert a == sorted(((r.doc_id, r.nll) for r in kn.score(more, model, order=3, max_broadcast=0).collect()), key=str)
+    both = [sorted(((r.doc_id, r.perplexity, r.kept) for r in kn.quality(more, order=3, max_broadcast=m).collect()), key=str) for m in (kn.MAX_BROADCAST, 0)]
+    assert both[0] == both[1]
+
+
+def test_long_texts_in_pieces_score_and_count_as_whole_ones():
+    from millrace.llm import kneser_ney as kn
+
+    rng = random.Random(8)
+    texts = [prose(rng, n) + " " for n in (200, 3, 90)]
+    whole, cut = ([(kn.point_grams(p), o.tolist()) for p, o in kn.text_points(texts, 4, piece)] for piece in (1 << 20, 17))
+    flat = lambda parts: [(i, g) for grams, owner in parts for i, g in zip(owner, grams, strict=True)]
+    assert flat(whole) == flat(cut) == [(k, ("\n" + t)[max(0, i - 4) : i]) for k, t in enumerate(texts) for i in range(2, len(t) + 2)]
+
+
+def chain(rng, n=120):
+    """Words each of which settles how the next one begins."""
+    out, c = [], rng.choice("abcdefgh")
+    for _ in range(n):
+        after = "bcdefgha"["abcdefgh".index(c)]
+        out.append(c + rng.choice(["an", "er", "ist", "ol"]) + after)
+        c = after
+    return out
+
+
+def test_word_order_counts_and_bands_match_brute_force(spark):
+    from statistics import median
+
+    from millrace.llm.kneser_ney import quality
+
+    rng = random.Random(9)
+    good = [chain(rng, rng.randint(60, 200)) for _ in range(60)]
+    salad = [rng.sample(w, len(w)) for w in good[:6]]
+    rows = {r.doc_id: r for r in quality(make(spark, [" ".join(w) for w in good + salad])).collect()}
+    assert all(rows[60 + k].perplexity > 1.5 * rows[k].perplexity for k in range(6))
+    assert not any(rows[60 + k].kept for k in range(6)) and sum(rows[k].kept for k in range(60)) >= 57
+    x = {k: round(math.log(r.perplexity), 3) for k, r in rows.items()}
+    mid = median(x.values())
+    mad = median(round(abs(v - mid), 3) for v in x.values())
+    one = median(round(abs(v - mid) * math.sqrt(rows[k].n_words), 2) for k, v in x.items())
+    for r in rows.values():
+        wide = 3.0 * math.sqrt(mad**2 + one**2 / r.n_words)
+        assert (math.log(r.lower), math.log(r.upper)) == (pytest.approx(mid - wide, abs=1e-6), pytest.approx(mid + wide, abs=1e-6))
+        assert r.kept == (not r.base_failed and r.lower <= r.perplexity <= r.upper)
 
 
 def test_quality_rejects_what_is_out_of_band(spark):
     from millrace.llm.kneser_ney import keep_good, quality
 
     rng = random.Random(3)
-    texts = [prose(rng, rng.randint(40, 200)) for _ in range(40)] + [" ".join(w + "%$#&" for w in prose(rng, 80).upper().split()), "too short", None, "", "same five words again here " * 30]
+    texts = [prose(rng, rng.randint(40, 200)) for _ in range(40)] + [" ".join(w + "".join(rng.sample("%$#&|*<>+=~", 4)) for w in prose(rng, 80).upper().split()), "too short", None, "", "same five words again here " * 30]
     df = make(spark, texts)
     got = {r.doc_id: r for r in quality(df).collect()}
-    assert len(got) == len(texts) and all(got[i].kept for i in range(40)) and not any(got[i].kept for i in range(40, 45))
+    kept = {i for i in range(40) if got[i].kept}
+    assert len(got) == len(texts) and len(kept) >= 38 and not any(got[i].kept for i in range(40, 45))
     assert not got[40].base_failed and got[44].base_failed
-    assert {r.doc_id for r in keep_good(df).collect()} == set(range(40))
+    assert {r.doc_id for r in keep_good(df).collect()} == kept
     assert quality(make(spark, [])).count() == 0
+    # rows without ids are judged like others, and other columns may have any name
+    none = df.withColumn("doc_id", F.lit(None).cast("long")).withColumn("text_key", F.lit(1)).withColumn("x", F.lit("k"))
+    out = keep_good(none.unionByName(none.limit(1)))
+    assert out.columns == none.columns and out.count() == len(kept) + (0 in kept)
 
 
 # toxicity
