@@ -5,7 +5,8 @@ among the first n - ceil(0.8 n) + 1 of each, so texts meet in these prefixes and
 shingles that are frequent in a sample of texts last, which keeps the buckets small; the sample decides nothing else.
 
 Members of small buckets are all compared. In large ones members are first compared with one pivot a round, and what is
-still in another component than most of its bucket with all the bucket's members. Pairs are linked by the exact similarity of whole texts.
+still in another component than most of its bucket with all the bucket's members. A pair's prefixes bound how much its texts
+can share, so only pairs with enough common prefix are compared as whole texts, by their exact similarity.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
 #: Buckets up to SMALL are compared in full; PIVOTS rounds come before that in others. Neither changes the result.
 SMALL, PIVOTS = 16, 3
 ORDER_TEXTS, ORDER_SHINGLES = 4_000, 100_000
+#: Up to this many keys (16 bytes each) of texts to compare are broadcast, so that texts are not shuffled for them.
+MOST_KEYS = 1_000_000
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -58,14 +61,19 @@ def prefix(found: np.ndarray, similarity: float, frequent: np.ndarray) -> np.nda
 
 
 def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    """128 bits of a row's id and text."""
+    return F.unhex(F.md5(F.to_json(F.struct(F.col(id_col).cast("string").alias("i"), F.md5(F.col(text_col).cast("binary")).alias("t")), {"ignoreNullFields": "false"}).cast("binary")))
+
+
+def _prefix_size(n: Column, similarity: float) -> Column:
+    return n - F.ceil(similarity * n - 1e-9) + 1
 
 
 def _shingles(texts: DataFrame, key: str, shingle: int) -> DataFrame:
     """(key, found): the whole shingle set of each key's text. Rows that repeat a key give one set a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set = set()
         for _, (keys, found) in rows_of(batches):
             new = {k: t for k, t in zip(keys, found, strict=True) if k not in seen}
             seen |= new.keys()
@@ -84,7 +92,7 @@ def _frequent(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, rkey, sid, n, prefix) of every row; rows of equal sets share sid."""
+    """(id, rkey, digest, n, prefix) of every row; rows of equal sets share the digest."""
     kind = docs.schema[id_col].dataType.simpleString()
     frequent = _frequent(docs, text_col, shingle)
 
@@ -93,33 +101,39 @@ def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarit
             sids, sizes, heads = [], [], []
             for t in texts:
                 found = shingle_set(t, shingle)
-                sids.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
+                sids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
                 heads.append(prefix(found, similarity, frequent))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["id", "rkey", "sid", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["id", "rkey", "digest", "n", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("rkey"), as_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, rkey long, sid long, n long, prefix array<long>")
+    return rows.mapInArrow(run, f"id {kind}, rkey binary, digest binary, n long, prefix array<long>")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(src, dst) of the pairs (a, b) whose whole shingle sets are that similar."""
+    ends = lambda ps: ps.select(F.col("a").alias("sid")).unionByName(ps.select(F.col("b").alias("sid"))).distinct()
+    sides = lambda ps, held, *cols: ps.join(held.select(F.col("sid").alias("a"), *(F.col(c).alias(f"{c}_a") for c in cols)), "a").join(held.select(F.col("sid").alias("b"), *(F.col(c).alias(f"{c}_b") for c in cols)), "b")
     pairs = settle(pairs.distinct(), "similar-pairs")
-    wanted = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    held = texts.join(wanted.join(reps, "sid").select("rkey", "sid"), "rkey").select("sid", "text")
-    sets = settle(_shingles(held, "sid", shingle), "similar-sets")
-    both = pairs.join(sets.select(F.col("sid").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("sid").alias("b"), F.col("found").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common + 1e-9 >= similarity * (F.size("x") + F.size("y") - common)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
-def similar_sets(marked: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, component) over the sid that are linked to some other one. ``texts``: (rkey, text)."""
+    heads = reps.join(ends(pairs), "sid").select("sid", "n", "prefix")
+    # what is beyond the shorter-sighted prefix is at most that set's rest
+    rest = F.greatest(F.col("n_a") - _prefix_size(F.col("n_a"), similarity), F.col("n_b") - _prefix_size(F.col("n_b"), similarity))
+    able = F.size(F.array_intersect("prefix_a", "prefix_b")) + rest + 1e-9 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
+    pairs = settle(sides(pairs, heads, "n", "prefix").where(able).select("a", "b"), "similar-able")
+    wanted = settle(reps.join(ends(pairs), "sid").select("rkey", "sid"), "similar-wanted")
+    held = texts.join(F.broadcast(wanted) if wanted.count() <= MOST_KEYS else wanted, "rkey").select("sid", "text")
+    sets = settle(_shingles(held, "sid", shingle), "similar-sets").dropDuplicates(["sid"])
+    common = F.size(F.array_intersect("found_a", "found_b"))
+    both = sides(pairs, sets, "found").where(common + 1e-9 >= similarity * (F.size("found_a") + F.size("found_b") - common))
+    return both.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def similar_sets(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, component) over the sid that are linked to some other one. ``reps``: (sid, rkey, n, prefix), one a set; ``texts``: (rkey, text)."""
     # dealt once, for the aggregate and for the join
-    heads = marked.select("sid", F.explode("prefix").alias("token")).repartition("token")
+    heads = reps.select("sid", F.explode("prefix").alias("token")).repartition("token")
     shared = heads.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("token")
-    reps = marked.groupBy("sid").agg(F.min("rkey").alias("rkey"), F.first("n").alias("n"))
-    members = settle(heads.join(shared, "token").distinct(), "similar-shared")
+    members = settle(heads.join(shared, "token"), "similar-shared")
     members = settle(members.join(reps.select("sid", "n"), "sid"), "similar-members")
     sizes = members.groupBy("token").agg(F.count(F.lit(1)).alias("m"))
     few = members.join(sizes.where(f"m <= {SMALL}").select("token"), "token")
@@ -151,14 +165,17 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are linked when the Jaccard similarity of their shingle sets (words lower-cased, A-Z) is ``similarity`` or more.
     Texts without words are copies of one another. A null id comes after all others, so such a row goes only as
-    a copy of a row that stays; rows that repeat a kept id and its shingles all stay.
+    a copy of a row that stays; rows that repeat a kept id and its shingles all stay; an empty table gives an empty table.
     """
     marked = settle(_marked(docs, id_col, text_col, shingle, similarity), "similar-marked")
     texts = docs.select(_row_key(id_col, text_col).alias("rkey"), as_bytes(text_col).alias("text"))
-    linked = similar_sets(marked, texts, shingle, similarity).select(F.col("node").alias("sid"), "component")
+    reps = marked.groupBy("digest").agg(F.min("rkey").alias("rkey"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    reps = settle(reps.select(F.monotonically_increasing_id().alias("sid"), "*"), "similar-reps")
+    linked = similar_sets(reps, texts, shingle, similarity).select(F.col("node").alias("sid"), "component")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "sid")
-    placed = marked.select("id", "rkey", "sid").join(linked, "sid", "left").withColumn("component", F.coalesce("component", "sid"))
+    placed = marked.select("id", "rkey", "digest").join(reps.select("digest", "sid"), "digest").join(linked, "sid", "left")
+    placed = settle(placed.select("id", "rkey", "sid", F.coalesce("component", "sid").alias("component")), "similar-placed")
     stays = placed.groupBy("component").agg(F.min(rank).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    lost = placed.join(stays, "component").where(~F.struct("id", "sid").eqNullSafe(F.struct("x.id", "x.sid"))).select(F.col("id").alias("__id"), F.col("rkey").alias("__rkey"))
+    lost = placed.join(stays, "component").where(~F.struct("id", "sid").eqNullSafe(F.struct("x.id", "x.sid"))).select(F.col("rkey").alias("__rkey"))
     lost = settle(lost.distinct(), "similar-lost")
-    return docs.join(lost, (_row_key(id_col, text_col) == F.col("__rkey")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    return docs.join(lost, _row_key(id_col, text_col) == F.col("__rkey"), "left_anti").select(*docs.columns)
