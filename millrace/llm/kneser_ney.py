@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -83,12 +83,14 @@ def _seed(lang: str | None) -> int:
     return xxhash.xxh64_intdigest((lang if lang is not None else "\x00").encode(), 42)
 
 
-def _fold(points: np.ndarray, seed: int) -> np.ndarray:
-    """64-bit hashes of rows of code points, first symbol first, 0 where there is none."""
-    h = np.full(len(points), seed, np.uint64)
-    for k in range(points.shape[1]):
-        h = (h ^ points[:, k]) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
+def _fold(columns: Iterable[np.ndarray], seed: int) -> np.ndarray:
+    """64-bit hashes of n-grams from the columns of their code points, first symbol first, 0 where there is none."""
+    h: np.ndarray | None = None
+    for c in columns:
+        h = np.full(len(c), seed, np.uint64) if h is None else h
+        np.bitwise_xor(h, c, out=h)
+        np.multiply(h, np.uint64(0x9E3779B97F4A7C15), out=h)
+        np.bitwise_xor(h, h >> np.uint64(29), out=h)
     return h.view(np.int64)
 
 
@@ -109,24 +111,43 @@ def _firsts(codes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def text_points(texts: list[str], order: int, piece: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(code points of the n-gram that ends at each symbol, the text's number), in pieces of some ``piece`` symbols.
+class Piece:
+    """Symbols of several texts in a row; ``at`` are the places where an n-gram ends, ``owner`` the text of each."""
 
-    A text begins with the start mark, which is context only; a long one is cut, and its pieces overlap by the context.
-    """
+    def __init__(self, chunks: list[tuple[str, int, int, int]], order: int) -> None:
+        self.order = order
+        self.flat = np.frombuffer("".join(c[0] for c in chunks).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        sizes = np.array([len(c[0]) for c in chunks])
+        starts = np.r_[0, np.cumsum(sizes)[:-1]]
+        counts = np.ones(len(self.flat), bool)
+        self.short: list[tuple[int, int]] = []  # places that have so many symbols of their text before them, fewer than order - 1
+        for start, (text, lead, since, _) in zip(starts.tolist(), chunks, strict=True):
+            counts[start : start + max(lead, since == 0)] = False
+            if since == 0:
+                self.short += [(start + k, k) for k in range(min(len(text), order - 1))]
+        self.at = np.flatnonzero(counts)
+        self.owner = np.repeat(np.array([c[3] for c in chunks]), sizes)[self.at]
+
+    def columns(self) -> Iterator[np.ndarray]:
+        """Code points ``order - 1`` places before each place, and so on to the place itself."""
+        for k in range(self.order - 1, -1, -1):
+            column = np.r_[np.zeros(min(k, len(self.flat)), np.uint64), self.flat[: max(0, len(self.flat) - k)]]
+            column[[i for i, before in self.short if before < k]] = 0
+            yield column
+
+    def hashes(self, seed: int) -> np.ndarray:
+        return _fold(self.columns(), seed)[self.at]
 
-    def emit() -> tuple[np.ndarray, np.ndarray]:
-        flat = np.frombuffer("".join(c[0] for c in held).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.array([len(c[0]) for c in held])
-        here = np.arange(len(flat)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-        since = here + np.repeat(np.array([c[2] for c in held]), sizes)
-        at = np.flatnonzero((here >= np.repeat(np.array([c[1] for c in held]), sizes)) & (since > 0))
-        since = since[at]
-        points = np.zeros((len(at), order), np.uint64)
-        for k in range(order):
-            points[:, order - 1 - k] = np.where(since >= k, flat[np.maximum(at - k, 0)], 0)
-        return points, np.repeat(np.array([c[3] for c in held]), sizes)[at]
+    def points(self, which: np.ndarray) -> np.ndarray:
+        """The n-grams that end at those of ``at``, as rows of code points."""
+        return np.stack([c[self.at[which]] for c in self.columns()], axis=1)
 
+
+def text_pieces(texts: list[str], order: int, piece: int = PIECE) -> Iterator[Piece]:
+    """The texts in pieces of some ``piece`` symbols.
+
+    A text begins with the start mark, which is context only; a long one is cut, and its chunks overlap by the context.
+    """
     held, n = [], 0
     for i, text in enumerate(texts):
         s = START + text
@@ -135,10 +156,10 @@ def text_points(texts: list[str], order: int, piece: int = PIECE) -> Iterator[tu
             held.append((s[at - lead : at + piece], lead, at - lead, i))
             n += len(held[-1][0])
             if n >= piece:
-                yield emit()
+                yield Piece(held, order)
                 held, n = [], 0
     if held:
-        yield emit()
+        yield Piece(held, order)
 
 
 def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> DataFrame:
@@ -166,9 +187,9 @@ def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
         size: Counter = Counter()
 
         def take(lang: str | None) -> None:
-            for points, _ in text_points(waiting.pop(lang), order):
-                codes, kinds = pd.factorize(_fold(points, _seed(lang)))
-                held[lang] = add(held.get(lang), (kinds, points[_firsts(codes, len(kinds))], np.bincount(codes)))
+            for part in text_pieces(waiting.pop(lang), order):
+                codes, kinds = pd.factorize(part.hashes(_seed(lang)))
+                held[lang] = add(held.get(lang), (kinds, part.points(_firsts(codes, len(kinds))), np.bincount(codes, minlength=len(kinds))))
             size[lang] = 0
 
         for _, (langs, texts) in rows_of(batches):
@@ -240,7 +261,7 @@ def _sorted_arrays(model: DataFrame, order: int) -> tuple[np.ndarray, np.ndarray
             h, owner = np.zeros(len(grams), np.int64), np.array(langs, object)
             for lang in set(langs):
                 mine = np.flatnonzero(owner == lang)
-                h[mine] = _fold(gram_points([grams[i] for i in mine], order), _seed(lang))
+                h[mine] = _fold(gram_points([grams[i] for i in mine], order).T, _seed(lang))
             p, b = (batch.column(i).fill_null(NONE).to_numpy().astype(np.int32) for i in (2, 3))
             yield pa.RecordBatch.from_pydict({"data": [h.tobytes() + p.tobytes() + b.tobytes()]})
 
@@ -270,17 +291,17 @@ class Arrays:
 
     def logs(self, points: np.ndarray, seed: int) -> np.ndarray:
         """Log probability of each n-gram's last symbol, backed off where the model does not hold the n-gram."""
-        out = self.find(_fold(points, seed), self.logp)
+        out = self.find(_fold(points.T, seed), self.logp)
         open_ = np.flatnonzero(out == NONE)
         points, back = points[open_].copy(), np.zeros(len(open_), np.int64)
         while len(open_):
             context = np.c_[np.zeros(len(points), np.uint64), points[:, :-1]]
-            weight = self.find(_fold(context, seed), self.logb)
+            weight = self.find(_fold(context.T, seed), self.logb)
             back += np.where((weight == NONE) | ~context.any(axis=1), 0, weight)
             first = np.argmax(points != 0, axis=1)
             last = first == self.order - 1
             points[np.arange(len(points)), first] *= last.astype(np.uint64)
-            found = np.where(last, UNKNOWN, self.find(_fold(points, seed), self.logp))
+            found = np.where(last, UNKNOWN, self.find(_fold(points.T, seed), self.logp))
             done = found != NONE
             out[open_[done]] = (back + found)[done]
             open_, points, back = open_[~done], points[~done], back[~done]
@@ -289,9 +310,9 @@ class Arrays:
     def score(self, texts: list[str], seed: int) -> np.ndarray:
         """Log probability of each text, in units."""
         total = np.zeros(len(texts))
-        for points, owner in text_points(texts, self.order):
-            codes, kinds = pd.factorize(_fold(points, seed))
-            total += np.bincount(owner, weights=self.logs(points[_firsts(codes, len(kinds))], seed)[codes], minlength=len(texts))
+        for part in text_pieces(texts, self.order):
+            codes, kinds = pd.factorize(part.hashes(seed))
+            total += np.bincount(part.owner, weights=self.logs(part.points(_firsts(codes, len(kinds))), seed)[codes], minlength=len(texts))
         return total
 
 
@@ -338,9 +359,9 @@ def _score_by_join(named: DataFrame, model: DataFrame, order: int) -> DataFrame:
                 w = (text or b"").split()
                 if fails(w):
                     continue
-                for points, _ in text_points([spoken(w)], order):
-                    _, first, n = np.unique(_fold(points, 0), return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"text_key": [key] * len(n), "lang": [lang if lang is not None else "\x00"] * len(n), "gram": point_grams(points[first]), "n": n})
+                for part in text_pieces([spoken(w)], order):
+                    _, first, n = np.unique(part.hashes(0), return_index=True, return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"text_key": [key] * len(n), "lang": [lang if lang is not None else "\x00"] * len(n), "gram": point_grams(part.points(first)), "n": n})
 
     rows = named.dropDuplicates(["text_key"]).mapInArrow(run, "text_key string, lang string, gram string, n long").withColumn("b", F.lit(0).cast("long"))
     done = []

@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,7 +130,7 @@ def test_long_texts_in_pieces_score_and_count_as_whole_ones():
 
     rng = random.Random(8)
     texts = [prose(rng, n) + " " for n in (200, 3, 90)]
-    whole, cut = ([(kn.point_grams(p), o.tolist()) for p, o in kn.text_points(texts, 4, piece)] for piece in (1 << 20, 17))
+    whole, cut = ([(kn.point_grams(p.points(np.arange(len(p.at)))), p.owner.tolist()) for p in kn.text_pieces(texts, 4, piece)] for piece in (1 << 20, 17))
     flat = lambda parts: [(i, g) for grams, owner in parts for i, g in zip(owner, grams, strict=True)]
     assert flat(whole) == flat(cut) == [(k, ("\n" + t)[max(0, i - 4) : i]) for k, t in enumerate(texts) for i in range(2, len(t) + 2)]
 
