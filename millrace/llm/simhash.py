@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.graph import connected_components
@@ -49,16 +49,20 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def _text_md5(text_col: str) -> Column:
+    return F.md5(F.coalesce(as_bytes(text_col), F.lit(b"")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp long). Null and word-less texts have 0."""
+    """(doc_id, text_md5, fp long). Null and word-less texts have 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (_, texts) in rows_of(batches):
+        for part, (_, _, texts) in rows_of(batches):
             fps = pa.array([fingerprint(t) for t in texts], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), fps], names=["doc_id", "text_md5", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), as_bytes(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select(F.col(id_col).alias("doc_id"), _text_md5(text_col).alias("text_md5"), as_bytes(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, text_md5 string, fp long")
 
 
 def linked_fingerprints(fps: DataFrame) -> DataFrame:
@@ -75,28 +79,39 @@ def linked_fingerprints(fps: DataFrame) -> DataFrame:
     return connected_components(links)
 
 
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_md5, fp, group, component_id) of every row; rows of one component share ``group``."""
+    marked = settle(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
+    fps = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    linked = linked_fingerprints(fps.select("fp")).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    linked = settle(linked.join(fps, "fp"), "simhash-linked")
+    least = linked.groupBy("group").agg(F.min("first").alias("component_id"))
+    final = fps.join(linked.join(least, "group").select("fp", "group", "component_id"), "fp", "left")
+    final = final.select("fp", F.coalesce("group", "fp").alias("group"), F.coalesce("component_id", "first").alias("component_id"))
+    return marked.join(final, "fp").select("doc_id", "text_md5", "fp", "group", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``; other columns are not read.
 
     Fingerprints at 2 or fewer differing bits are linked; component_id is the smallest doc_id that can be reached,
     the document's own included. Null, empty and word-less texts have fingerprint zero and are linked like any
-    other; rows with a null id keep a null-safe component of the remaining ids; repeated rows are all returned; an
+    other; a null id is reached by no one, so a component of such rows alone has a null component_id; repeated rows are all returned; an
     empty table gives no rows. Long texts are hashed whole.
     """
-    marked = settle(fingerprints(docs, id_col, text_col), "simhash-fingerprints")
-    fps = settle(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    linked = linked_fingerprints(fps.select("fp")).select(F.col("node").alias("fp"), "component")
-    linked = settle(linked.join(fps, "fp"), "simhash-linked")
-    least = linked.groupBy("component").agg(F.min("first").alias("component_id"))
-    final = fps.join(linked.join(least, "component").select("fp", "component_id"), "fp", "left")
-    final = final.select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return marked.join(final, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _placed(docs, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays: that with the smallest id. Columns and their order are kept.
 
-    Rows that repeat a kept id all stay, rows with a null id go.
+    A null id comes after all others: such rows go as copies of rows that stay, and of a component without ids the text with
+    the least MD5 stays. Rows that repeat a kept id, or a kept text without id, all stay.
     """
-    keep = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(keep, id_col, "left_semi").select(*docs.columns)
+    placed = settle(_placed(docs, id_col, text_col), "simhash-placed")
+    bare = placed.where("component_id is null").groupBy("group").agg(F.min("text_md5").alias("kept"))
+    lost = placed.where("component_id is not null and (doc_id is null or doc_id <> component_id)").select("doc_id", "text_md5")
+    lost = lost.unionByName(placed.where("component_id is null").join(bare, "group").where("text_md5 <> kept").select("doc_id", "text_md5"))
+    lost = lost.select(F.col("doc_id").alias("__lost_id"), F.col("text_md5").alias("__lost_md5")).distinct()
+    same = (_text_md5(text_col) == F.col("__lost_md5")) & F.col(id_col).eqNullSafe(F.col("__lost_id"))
+    return docs.join(lost, same, "left_anti").select(*docs.columns)

@@ -139,3 +139,12 @@ def test_covering_masks_catch_every_pair_of_bits():
     from millrace.llm.simhash import FREE
 
     assert all(any(i in f and j in f for f in FREE.values()) for i in range(64) for j in range(64))
+
+
+def test_simhash_keeps_rows_without_ids_and_clashing_columns(spark):
+    from millrace.llm.simhash import drop_near_duplicates, near_duplicates
+
+    rows = [(None, "own text of a row without id", 1), (None, "quite another thing, also without", 2), (None, "quite another thing, also without", 2), (5, "first text with an id here", 3), (None, "first text with an id here", 4), (7, "first text with an id here", 5), (5, "a second text of that id", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, group long")
+    assert sorted(r.group for r in drop_near_duplicates(df).collect()) == [1, 2, 2, 3, 6]
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in near_duplicates(df).collect()) == [("5", "5"), ("5", "5"), ("7", "5"), ("None", "5")] + [("None", "None")] * 3
