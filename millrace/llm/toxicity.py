@@ -7,6 +7,7 @@ n-gram adds a number to the text's margin, so scoring looks up one sum a word an
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -18,21 +19,47 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import as_bytes, rows_of
 
-BUCKETS, DIM, SIZES, EPOCHS, BATCH, RATE = 1 << 17, 8, (3, 4, 5), 8, 64, 0.05
+BUCKETS, DIM, SIZES, EPOCHS, BATCH, RATE = 1 << 19, 8, (3, 4, 5), 8, 64, 0.05
 #: The classifier is fitted on at most this many labelled rows, those that come first by a hash of their ids.
 MAX_TRAIN = 3_000
-THRESHOLD, HELD_WORDS, DECAY = 0.3, 300_000, 3e-3
+THRESHOLD, HELD_WORDS, DECAY = 0.3, 300_000, 1e-3
+#: N-grams in a smaller share of the training rows have no vector: they would learn these rows by heart.
+MIN_SHARE = 0.03
 _EDGE = ".,;:!?%*&$#|\"'()[]<>-_"
 
 
-def features(token: bytes) -> list[int]:
-    """Buckets of the word and of its character n-grams, word boundaries included."""
-    word = token.decode("utf-8", "replace").lower().strip(_EDGE)
-    if not word:
-        return []
-    s = f"<{word}>"
-    found = [s, *(s[i : i + n] for n in SIZES for i in range(len(s) - n + 1) if n < len(s))]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in found]
+def _mix(columns: list[np.ndarray]) -> np.ndarray:
+    h = np.full(len(columns[0]), len(columns), np.uint64)
+    for c in columns:
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def features(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its character n-grams, word boundaries included, all words in a row, and how many each word has.
+
+    Words are lower-cased and stripped of punctuation; of a word that is nothing else there are none.
+    """
+    plain = [t.decode("utf-8", "replace").lower().strip(_EDGE) for t in tokens]
+    held = np.array([i for i, w in enumerate(plain) if w], np.int64)
+    counts = np.zeros(len(tokens), np.int64)
+    if not len(held):
+        return np.zeros(0, np.int64), counts
+    whole = np.array([zlib.crc32(plain[i].encode("utf-8", "surrogatepass")) for i in held], np.uint64)
+    flat = np.frombuffer("".join(f"<{plain[i]}>" for i in held).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(plain[i]) + 2 for i in held])
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(flat))  # symbols up to the word's end
+    full, word = np.repeat(sizes, sizes), np.repeat(np.arange(len(held)), sizes)
+    owners, found = [np.arange(len(held))], [whole]
+    for n in SIZES:
+        at = np.flatnonzero((left >= n) & (full > n))
+        owners.append(word[at])
+        found.append(_mix([flat[at + k] for k in range(n)]))
+    owner, buckets = np.concatenate(owners), (np.concatenate(found) % np.uint64(BUCKETS)).astype(np.int64)
+    order = np.argsort(owner, kind="stable")
+    counts[held] = np.bincount(owner, minlength=len(held))
+    return buckets[order], counts
 
 
 def held_out(id_col: str) -> Column:
@@ -40,44 +67,49 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def bag(text: bytes | None, known: dict[bytes, list[int]] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and their shares."""
-    total: Counter = Counter()
-    known = {} if known is None else known
-    for token, n in Counter((text or b"").split()).items():
-        found = known.get(token)
-        if found is None:
-            found = known[token] = features(token)
-        for f in found:
-            total[f] += n
-    ids = np.fromiter(total.keys(), np.int64, len(total))
-    share = np.fromiter(total.values(), np.float32, len(total))
-    return ids, share / share.sum() if len(share) else share
-
-
-def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+def bags(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct buckets of each text and their shares."""
+    counts = [Counter((t or b"").split()) for t in texts]
+    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
+    flat, sizes = features(list(vocabulary))
+    starts = np.r_[0, np.cumsum(sizes)]
+    out = []
+    for c in counts:
+        words = [vocabulary[w] for w in c]
+        parts = [flat[starts[i] : starts[i + 1]] for i in words]
+        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        n = np.repeat(np.fromiter(c.values(), np.float32, len(c)), sizes[words]) if words else np.zeros(0, np.float32)
+        found, kind = np.unique(ids, return_inverse=True)
+        share = np.bincount(kind, weights=n, minlength=len(found)).astype(np.float32)
+        out.append((found, share / max(1.0, share.sum())))
+    return out
+
+
+def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, min_share: float = MIN_SHARE, seed: int = 7) -> tuple[np.ndarray, float]:
     """(margin of each bucket, bias) of the fitted softmax: class 1 against class 0."""
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     if not texts:
         return np.zeros(BUCKETS, np.float32), 0.0
-    known: dict[bytes, list[int]] = {}
-    bags = [bag(t, known) for t in texts]
+    held = bags(texts)
+    texts_with = np.bincount(np.concatenate([b[0] for b in held]), minlength=BUCKETS)
+    common = texts_with >= min_share * len(texts)
+    held = [(b[common[b]], w[common[b]]) for b, w in held]
     y = np.array(labels)
     bias[:] = np.log([max(1, (y == c).sum()) / len(y) for c in (0, 1)])
     m, v = np.zeros_like(emb), np.zeros_like(emb)
     ms, vs, mb, vb = np.zeros_like(soft), np.zeros_like(soft), np.zeros(2, np.float32), np.zeros(2, np.float32)
     step = 0
     for _ in range(epochs):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(held))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            sizes = [len(bags[r][0]) for r in rows]
+            sizes = [len(held[r][0]) for r in rows]
             if not sum(sizes):
                 continue
             step += 1
-            ids, w = np.concatenate([bags[r][0] for r in rows]), np.concatenate([bags[r][1] for r in rows])
+            ids, w = np.concatenate([held[r][0] for r in rows]), np.concatenate([held[r][1] for r in rows])
             owner = np.repeat(np.arange(len(rows)), sizes)
             used, inverse = np.unique(ids, return_inverse=True)
             part = np.zeros((len(rows), len(used)), np.float32)
@@ -98,7 +130,7 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, se
                 a[...] = 0.9 * a + 0.1 * g
                 b[...] = 0.999 * b + 0.001 * g * g
                 x -= RATE * (a / fix1) / (np.sqrt(b / fix2) + 1e-8)
-    return emb @ (soft[:, 1] - soft[:, 0]), float(bias[1] - bias[0])
+    return np.where(common, emb @ (soft[:, 1] - soft[:, 0]), 0).astype(np.float32), float(bias[1] - bias[0])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
@@ -106,14 +138,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     ours = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     ours = ours.groupBy(F.col(id_col).alias("__of")).agg(F.max(label_col).cast("int").alias("label"))
     first = ours.orderBy(F.xxhash64("__of"), "__of").limit(max_train)
-    return docs.join(F.broadcast(first), docs[id_col] == first["__of"]).select(F.col("__of"), as_bytes(text_col).alias("text"), "label").dropDuplicates(["__of"]).orderBy("__of")
+    return docs.join(F.broadcast(first), docs[id_col] == first["__of"]).groupBy("__of").agg(F.min(as_bytes(text_col)).alias("text"), F.first("label").alias("label")).orderBy("__of")
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of ``docs``.
 
     Null, empty and word-less texts get the score that the bias alone gives. A null id is scored like any other and is not held
-    out; of labels that repeat an id the largest counts; of documents that repeat an id one is learnt from, all are
+    out; of labels that repeat an id the largest counts; of documents that repeat an id the first by text is learnt from, all are
     scored; without labels every score is 0.5; an empty table gives no rows.
     """
     sample = training_rows(docs, labels, id_col, text_col, label_col, max_train).collect()
@@ -123,23 +155,21 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         margin, bias = sent.value
-        known: dict[bytes, tuple[float, int]] = {}
+        sums: dict[bytes, float] = {}
+        sizes: dict[bytes, int] = {}
         for part, (_, _, texts) in rows_of(batches):
+            tokens = [(text or b"").split() for text in texts]
+            new = list({w for t in tokens for w in t}.difference(sums))
+            flat, n = features(new)
+            totals = np.bincount(np.repeat(np.arange(len(new)), n), weights=margin[flat], minlength=len(new))
+            sums.update(zip(new, totals.tolist(), strict=True))
+            sizes.update(zip(new, n.tolist(), strict=True))
             out = []
-            for text in texts:
-                tokens = (text or b"").split()
-                total, n = 0.0, 0
-                for t in tokens:
-                    found = known.get(t)
-                    if found is None:
-                        f = features(t)
-                        found = known[t] = (float(margin[f].sum(dtype=np.float64)) if f else 0.0, len(f))
-                    total += found[0]
-                    n += found[1]
-                z = bias + (total / n if n else 0.0)
-                out.append(1 / (1 + np.exp(-max(-500.0, min(500.0, z)))))
-                if len(known) > HELD_WORDS:
-                    known = {}
+            for t in tokens:
+                z = bias + sum(map(sums.__getitem__, t)) / max(1, sum(map(sizes.__getitem__, t)))
+                out.append(1 / (1 + math.exp(-max(-500.0, min(500.0, z)))))
+            if len(sums) > HELD_WORDS:
+                sums, sizes = {}, {}
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), as_bytes(text_col).alias("text"))

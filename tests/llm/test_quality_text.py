@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -207,10 +208,48 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     margin, _ = train([t.encode() for t in texts], [x[2] for x in labels])
     from millrace.llm.toxicity import features
 
-    assert margin[features(b"disgustting")].mean() > margin[features(b"threonan")].mean()
+    assert margin[features([b"disgustting"])[0]].mean() > margin[features([b"threonan"])[0]].mean()
     assert score(make(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def brute_margin(token, margin):
+    from millrace.llm import toxicity as tx
+
+    word = token.decode().lower().strip(tx._EDGE)
+    if not word:
+        return 0.0, 0
+    found = [zlib.crc32(word.encode()) % tx.BUCKETS]
+    s = f"<{word}>"
+    for n in tx.SIZES:
+        for i in range(len(s) - n + 1 if len(s) > n else 0):
+            h = n
+            for c in s[i : i + n]:
+                h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % 2**64
+                h ^= h >> 29
+            found.append(h % tx.BUCKETS)
+    return sum(float(margin[f]) for f in found), len(found)
+
+
+def test_scores_match_brute_force_and_rows_may_repeat(spark):
+    from millrace.llm import toxicity as tx
+
+    rng = random.Random(10)
+    texts = [prose(rng, 12) + (" you stupid idiot" if i % 3 == 0 else "") for i in range(60)] + [None, "", "!!! --", "É ñandú (Straße) a", "idiot " * 5000]
+    df = make(spark, texts)
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(60)] + [(0, 1, 0), (None, 1, 1)]
+    odd = df.unionByName(df.limit(2)).unionByName(df.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))).withColumn("score", F.lit("k"))
+    got = tx.score(odd, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(texts) + 3
+    learnt = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    margin, bias = tx.train([texts[i].encode() for i in learnt], [int(i % 3 == 0) for i in learnt])
+    for r in got:
+        text = texts[3 if r.doc_id is None else r.doc_id]
+        parts = [brute_margin(t, margin) for t in (text or "").encode().split()]
+        z = bias + sum(p[0] for p in parts) / max(1, sum(p[1] for p in parts))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-6) and r.predicted == int(r.score >= 0.3)
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 # WARC
 
 
