@@ -1,8 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-Each run of ``span`` consecutive sentences is hashed (a run ends early once it holds ``enough`` words, so that few long
-sentences count too). All hashes meet in one global aggregate, which keeps for each the first occurrence, by document and
-place; sentences that any later occurrence covers are removed.
+From every sentence on, the run of ``span`` consecutive sentences is hashed; it goes on until it holds ``at_least`` words. If fewer
+sentences already hold ``enough`` words, that shorter run is hashed too, and a text that is shorter than a run is one run. All hashes
+meet in one global aggregate, which keeps for each the first occurrence, by document and place; sentences that any later
+occurrence covers are removed.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from millrace.llm.common import as_bytes, rows_of
 from millrace.scratch import settle
 
-SPAN, ENOUGH, AT_LEAST = 3, 40, 10
+SPAN, ENOUGH, AT_LEAST = 3, 30, 10
 _SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\r\n]|\Z)[ \t\r]*|[^\n]+|\n")
 
 
@@ -29,24 +30,33 @@ def sentences(text: bytes) -> list[bytes]:
 
 
 def spans(parts: list[bytes], span: int, enough: int, at_least: int) -> list[tuple[int, int, bytes]]:
-    """(first, last, key) of each run, as indices of ``parts``; runs of fewer than at_least words do not count."""
-    said = [(i, x.lower().split()) for i, x in enumerate(parts)]
-    said = [(i, w) for i, w in said if w]
+    """(first, last, key) of each run, as indices of ``parts``; texts of fewer than at_least words have none."""
+    said = [(i, w) for i, w in ((i, x.lower().split()) for i, x in enumerate(parts)) if w]
     out = []
+
+    def add(k: int, end: int) -> None:
+        key = hashlib.blake2b(b" ".join(w for _, ws in said[k:end] for w in ws), digest_size=16).digest()
+        out.append((said[k][0], said[end - 1][0], key))
+
     for k in range(len(said)):
-        words: list[bytes] = []
-        for last, (_, w) in enumerate(said[k : k + span], 1):
-            words += w
-            if len(words) >= enough:
+        words, early = 0, False
+        for end in range(k + 1, len(said) + 1):
+            words += len(said[end - 1][1])
+            if end - k >= span and words >= at_least:
+                add(k, end)
                 break
-        if len(words) >= at_least and (last == span or len(words) >= enough):
-            out.append((said[k][0], said[k + last - 1][0], hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
+            if not early and words >= enough:
+                early = True
+                add(k, end)
+        else:
+            if k == 0 and words >= at_least and not (early and len(said) == 1):
+                add(0, len(said))
     return out
 
 
 def _apply(docs: DataFrame, id_col: str, text_col: str, span: int, enough: int, at_least: int, report: bool) -> DataFrame:
     text = as_bytes(text_col)
-    ident = F.xxhash64(F.col(id_col).cast("string"), text)
+    ident = F.xxhash64(text)  # tells rows apart together with the id
     kind = docs.schema[id_col].dataType.simpleString()
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -65,8 +75,8 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, span: int, enough: int,
     rows = settle(rows, "span-keys")
     place = F.struct("doc_id", "rid", "first")
     again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).where("n > 1").select("key", "origin")
-    later = rows.join(again, "key").where(~F.struct("doc_id", "rid", "first").eqNullSafe(F.col("origin"))).select("rid", "first", "last")
-    lost = settle(later.groupBy("rid").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "span-runs")
+    later = rows.join(again, "key").where(~F.struct("doc_id", "rid", "first").eqNullSafe(F.col("origin"))).select("doc_id", "rid", "first", "last")
+    lost = settle(later.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "span-runs")
     others = [c for c in docs.columns if c != text_col]
     kinds = [docs.schema[c] for c in others]
     kinds += [T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())] if report else [T.StructField(text_col, T.StringType())]
@@ -87,7 +97,8 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, span: int, enough: int,
                     new = [pa.array([x[2] for x in rows], pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(others))), *new], names=[f.name for f in kinds])
 
-    joined = docs.withColumn("__rid", ident).join(lost.select(F.col("rid").alias("__of"), F.col("runs").alias("__runs")), F.col("__rid") == F.col("__of"), "left")
+    lost = lost.select(F.col("doc_id").alias("__of"), F.col("rid").alias("__rid"), F.col("runs").alias("__runs"))
+    joined = docs.join(lost, (ident == F.col("__rid")) & F.col(id_col).eqNullSafe(F.col("__of")), "left")
     return joined.select(*others, as_bytes(text_col).alias("__text"), "__runs").mapInArrow(cut, T.StructType(kinds))
 
 

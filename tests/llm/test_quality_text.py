@@ -286,6 +286,49 @@ def test_later_spans_go(spark):
     assert span_report(make(spark, [])).count() == 0
 
 
+def brute_spans(texts, span=3, enough=30, at_least=10):
+    """Numbers of removed sentences, from every run of every start, first occurrence by document and place."""
+    from millrace.llm.sentence_spans import sentences
+
+    said = [[x.lower().split() for x in sentences((t or "").encode()) if x.strip()] for t in texts]
+    first, gone = {}, [set() for _ in texts]
+    runs = []
+    for d, ss in enumerate(said):
+        total = sum(map(len, ss))
+        for k in range(len(ss)):
+            ends = [e for e in range(k + 1, len(ss) + 1) if e - k >= span and sum(map(len, ss[k:e])) >= at_least][:1]
+            ends += [e for e in range(k + 1, len(ss) + 1) if sum(map(len, ss[k:e])) >= enough][:1]
+            if k == 0 and not [e for e in ends if e >= span] and total >= at_least:
+                ends.append(len(ss))
+            runs += [(tuple(w for s in ss[k:e] for w in s), (d, k), e) for e in set(ends)]
+    for key, place, _ in runs:
+        first[key] = min(first.get(key, place), place)
+    for key, (d, k), e in runs:
+        if first[key] != (d, k):
+            gone[d] |= set(range(k, e))
+    return {d: (len(ss), len(g)) for d, (ss, g) in enumerate(zip(said, gone))}
+
+
+def test_spans_match_brute_force(spark):
+    from millrace.llm.sentence_spans import span_report
+
+    rng = random.Random(13)
+    pool = [" ".join(rng.choice("abcdefghij") + str(k) for _ in range(rng.choice([1, 2, 4, 9, 18, 35]))) + rng.choice([".", "!", "?!"]) for k in range(25)]
+    texts = [rng.choice([" ", "\n"]).join(pool[(s + j) % 25] for j in range(rng.randint(1, 8))) for s in (rng.randrange(25) for _ in range(60))]
+    texts += [None, "", "one two three.", pool[5] * 2, "WORD!! " * 30, "word!!\n" * 30, "a b c d e f g h i j k l", "A b c d e f g  h i j k l"]
+    got = {r.doc_id: (r.n_sentences, r.n_removed) for r in span_report(make(spark, texts)).collect()}
+    assert got == brute_spans(texts)
+
+
+def test_spans_with_null_ids_repeated_rows_and_clashing_columns(spark):
+    from millrace.llm.sentence_spans import drop_repeated_spans
+
+    text = "One sentence of this text. Another sentence of it! And here is the third of them."
+    df = spark.createDataFrame([(None, text, 1), (4, text, 2), (4, text, 3), (4, "An own text that no other row holds at all, not even in part.", 4)], "doc_id long, text string, rid long")
+    kept = {r.rid: r.text.strip() for r in drop_repeated_spans(df).collect()}
+    assert kept == {1: text, 2: "", 3: "", 4: "An own text that no other row holds at all, not even in part."}
+
+
 # mixing
 
 
