@@ -30,7 +30,7 @@ BAND, MAX_BROADCAST, MAX_LANGS = 3.0, 8_000_000, 10_000
 #: Logarithms count in 1 / UNIT nats; UNKNOWN is that of a symbol the model never met, NONE stands for no value.
 UNIT, UNKNOWN, NONE = 1 << 16, round(math.log(1e-6) * (1 << 16)), -(1 << 31)
 #: Symbols that are counted or scored at once, and n-grams that a task holds before it sends them.
-PIECE, HELD_GRAMS = 1 << 20, 600_000
+PIECE, HELD_GRAMS = 1 << 18, 400_000
 START, END = "\n", " "
 SYMBOLS = b"#*$%&|<>"
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -165,31 +165,34 @@ def text_pieces(texts: list[str], order: int, piece: int = PIECE) -> Iterator[Pi
 def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """(lang, gram, n) over the whole texts of all documents that pass the base rules. Tasks add up before they send."""
 
-    def add(known: tuple | None, new: tuple) -> tuple:
+    def merge(parts: list[tuple]) -> list[tuple]:
         """Sums of (hash, points, n), one for each hash."""
-        if not known:
-            return new
-        h, points, n = (np.concatenate([a, b]) for a, b in zip(known, new, strict=True))
+        if len(parts) < 2:
+            return parts
+        h, points, n = (np.concatenate(x) for x in zip(*parts, strict=True))
         codes, kinds = pd.factorize(h)
-        return kinds, points[_firsts(codes, len(kinds))], np.bincount(codes, weights=n).astype(np.int64)
+        return [(kinds, points[_firsts(codes, len(kinds))], np.bincount(codes, weights=n).astype(np.int64))]
 
     def flush(held: dict) -> pa.RecordBatch:
         langs, grams, ns = [], [], []
-        for lang, (_, points, n) in held.items():
+        for lang, parts in held.items():
+            _, points, n = merge(parts)[0]
             langs += [lang] * len(n)
             grams += point_grams(points)
             ns += n.tolist()
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(grams, pa.string()), pa.array(ns, pa.int64())], names=["lang", "gram", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        held: dict = defaultdict(list)  # the first part is merged, the others are not yet
         waiting: dict = defaultdict(list)
         size: Counter = Counter()
 
         def take(lang: str | None) -> None:
             for part in text_pieces(waiting.pop(lang), order):
                 codes, kinds = pd.factorize(part.hashes(_seed(lang)))
-                held[lang] = add(held.get(lang), (kinds, part.points(_firsts(codes, len(kinds))), np.bincount(codes, minlength=len(kinds))))
+                held[lang].append((kinds, part.points(_firsts(codes, len(kinds))).astype(np.uint32), np.bincount(codes, minlength=len(kinds))))
+                if sum(len(x[0]) for x in held[lang][1:]) > max(len(held[lang][0][0]), HELD_GRAMS // 4):
+                    held[lang] = merge(held[lang])
             size[lang] = 0
 
         for _, (langs, texts) in rows_of(batches):
@@ -200,9 +203,9 @@ def count_grams(docs: DataFrame, lang_col: str = "lang", text_col: str = "text",
                     size[lang] += len(waiting[lang][-1])
                     if size[lang] >= PIECE:
                         take(lang)
-            if sum(len(x[0]) for x in held.values()) > HELD_GRAMS:
+            if sum(len(x[0]) for parts in held.values() for x in parts) > 2 * HELD_GRAMS:
                 yield flush(held)
-                held = {}
+                held.clear()
         for lang in list(waiting):
             take(lang)
         yield flush(held)
