@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -68,7 +69,7 @@ def brute_lines(texts, min_chars=20, min_docs=3):
     return out
 
 
-@pytest.mark.parametrize("log2_bits", [4, 20])
+@pytest.mark.parametrize("log2_bits", [4, 20, None])
 def test_lines_match_brute_force_even_with_a_full_filter(spark, log2_bits):
     from millrace.llm.line_dedup import drop_repeated_lines, line_report
 
@@ -83,6 +84,19 @@ def test_lines_match_brute_force_even_with_a_full_filter(spark, log2_bits):
     assert line_report(make(spark, [])).count() == 0
 
 
+def test_few_lines_are_suspected_where_none_repeats(spark):
+    from millrace.llm import line_dedup as ld
+
+    rng = random.Random(5)
+    texts = ["\n".join(f"line {rng.random()} of its own {rng.random()}" for _ in range(50)) for _ in range(400)]
+    df = make(spark, texts)
+    bits = ld.filter_bits(df, "text")
+    assert 8 * 20_000 <= 1 << bits <= 16 * 20_000
+    filt = np.frombuffer(ld.twice_seen(df, "text", 20, bits), np.uint8)
+    keys = [k for t in texts for k in ld._keys(t.encode(), 20)]
+    assert ld._is_set(filt, ld._bits(keys, bits)).all(axis=1).mean() < 0.05
+
+
 def test_lines_with_repeated_rows_and_clashing_columns(spark):
     from millrace.llm.line_dedup import drop_repeated_lines
 
