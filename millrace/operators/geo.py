@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import finite, num
 from millrace.plans.registry import operator
+from millrace.scratch import settle
 
 EARTH = 6_371_000.0
 # The WGS84 ellipsoid.
@@ -210,7 +211,7 @@ def spatial_join(left: DataFrame, right: DataFrame, leftGeometry: str, rightGeom
 
 @operator(ports=("df", "reference"))
 def map_match(df: DataFrame, reference: DataFrame, key: str, latColumn: str, lonColumn: str, refLatColumn: str, refLonColumn: str, refIdColumn: str, matchedIdColumn: str = "matched_id", matchedDistanceColumn: str = "matched_distance_m", max_reference: int = 100_000) -> DataFrame:
-    """The nearest reference point and its great-circle metres. The reference is broadcast and searched in numpy blocks; beyond max_reference rows, by an equality join on widening grid cells."""
+    """The nearest reference point and its great-circle metres. The reference is broadcast and searched in numpy blocks; beyond max_reference rows, by an equality join on widening grid cells around the point, whose answer counts only if nothing outside the cells can be nearer."""
     points = reference.select(F.col(refIdColumn).alias("__rid"), num(refLatColumn).alias("__rlat"), num(refLonColumn).alias("__rlon")).dropna()
     own = df.select(F.col(key).alias("__k"), num(latColumn).alias("__lat"), num(lonColumn).alias("__lon")).dropna()
     if points.limit(max_reference + 1).count() <= max_reference:
@@ -240,12 +241,18 @@ def map_match(df: DataFrame, reference: DataFrame, key: str, latColumn: str, lon
         found = near.mapInPandas(best, f"__k {dict(own.dtypes)['__k']}, {matchedIdColumn} {kind}, {matchedDistanceColumn} double")
         return df.join(found, df[key] == F.col("__k"), "left").drop("__k")
     left, done = own, None
-    for size in (0.1, 1.0, 10.0, 400.0):
-        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        a = left.withColumn("o", around).withColumn("cy", F.floor(F.col("__lat") / size) + F.col("o.i")).withColumn("cx", F.floor(F.col("__lon") / size) + F.col("o.j"))
-        b = points.withColumn("cy", F.floor(F.col("__rlat") / size)).withColumn("cx", F.floor(F.col("__rlon") / size))
+    turned = lambda c: F.pmod(F.col(c) + 180, F.lit(360.0))
+    for size in (0.1, 1.0, 10.0, 30.0, 90.0, 360.0):
+        across = round(360 / size)
+        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in ((-1, 0, 1) if across > 2 else (0,)))))
+        a = left.withColumn("o", around).withColumn("cy", F.floor(F.col("__lat") / size) + F.col("o.i")).withColumn("cx", F.pmod(F.floor(turned("__lon") / size) + F.col("o.j"), F.lit(across)))
+        b = points.withColumn("cy", F.floor(F.col("__rlat") / size)).withColumn("cx", F.pmod(F.floor(turned("__rlon") / size), F.lit(across)))
         d = haversine(F.col("__lat"), F.col("__lon"), F.col("__rlat"), F.col("__rlon"))
-        got = a.join(b, ["cy", "cx"]).groupBy("__k").agg(F.min_by("__rid", F.struct(d, "__rid")).alias(matchedIdColumn), F.min(d).alias(matchedDistanceColumn))
+        got = a.join(b, ["cy", "cx"]).groupBy("__k").agg(F.min_by("__rid", F.struct(d, "__rid")).alias(matchedIdColumn), F.min(d).alias(matchedDistanceColumn), F.max(F.abs("__lat")).alias("__far"))
+        if across > 1:  # a point outside the block is at least one cell away, along the meridian or across it
+            side = F.asin(F.cos(F.radians("__far")) * math.sin(math.radians(min(size, 90.0))))
+            got = got.where(F.col(matchedDistanceColumn) <= 0.999 * EARTH * F.least(side, F.lit(math.radians(size))))
+        got = settle(got.drop("__far"), "map-match")
         done = got if done is None else done.unionByName(got)
         left = left.join(got.select("__k"), "__k", "left_anti")
     return df.join(done, df[key] == F.col("__k"), "left").drop("__k")

@@ -224,15 +224,15 @@ def permutation_importance(df: DataFrame, target: str, features: list[str], task
 
 
 @operator()
-def partial_dependence(df: DataFrame, target: str, features: list[str], explain_feature: str, task: str = "auto", grid_resolution: int = 10, seed: int = 42, sample: int = 2_000) -> DataFrame:
-    """(value, mean_prediction) over a quantile grid of one feature, averaged over at most ``sample`` rows by hash; of classes, the last one's probability."""
+def partial_dependence(df: DataFrame, target: str, features: list[str], explain_feature: str, task: str = "auto", grid_resolution: int = 10, seed: int = 42) -> DataFrame:
+    """(value, mean_prediction) over a quantile grid of one feature, averaged over all rows; of classes, the last one's probability."""
     from pyspark.ml.functions import array_to_vector
 
     rows, model, kind = _booster(df, target, features, task, seed)
     at = features.index(explain_feature)
     grid = df.agg(F.array_sort(F.array_distinct(F.percentile(num(explain_feature), F.array(*(F.lit(i / (grid_resolution - 1)) for i in range(grid_resolution)))))).alias("g"))
-    few = rows.select(vector_to_array("features").alias("a")).orderBy(F.xxhash64("a")).limit(sample)
-    points = few.crossJoin(F.broadcast(grid)).select("a", F.explode("g").alias("value"))
+    values = grid.first()["g"] or []  # at most grid_resolution numbers
+    points = rows.select(vector_to_array("features").alias("a"), F.explode(F.array(*(F.lit(float(v)) for v in values)).cast("array<double>")).alias("value"))
     x = points.withColumn("features", array_to_vector(F.transform("a", lambda v, i: F.when(i == at, F.col("value")).otherwise(v))))
     p = model.transform(x)
     out = F.col("prediction") if kind == "regression" else F.element_at(vector_to_array("probability"), -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import names, num, order, window, with_stats
 from millrace.plans.registry import operator
+from millrace.scratch import settle
 
 By = list[str] | None
 
@@ -339,7 +340,7 @@ def sequential_sprt(df: DataFrame, convertedColumn: str, orderColumn: str, p0: f
 
 def running_total(df: DataFrame, value: Column, order_by: list, name: str) -> DataFrame:
     """A cumulative sum over a whole table without one task for all rows: sums by range partition, then inside each."""
-    ordered = df.orderBy(*order(order_by)).withColumn("__part", F.spark_partition_id()).persist()
+    ordered = settle(df.orderBy(*order(order_by)).withColumn("__part", F.spark_partition_id()), "running-total")
     sums = ordered.groupBy("__part").agg(F.sum(value).alias("__s"))
     starts = sums.select("__part", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
     local = F.sum(value).over(Window.partitionBy("__part").orderBy(*order(order_by)).rowsBetween(Window.unboundedPreceding, 0))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import num, order, safe_expr
 from millrace.plans.registry import operator
+from millrace.scratch import settle
 
 
 @operator()
@@ -37,7 +38,7 @@ def _shuffled(seed: int, order_by: list | None = None) -> Column:
 def _numbered(df: DataFrame, order_by: list, name: str = "__rn") -> DataFrame:
     """Consecutive numbers from 1 in a global order, without one task for all rows: range-sorted partitions plus their offsets."""
     ordered = df.orderBy(*order(order_by)).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
-    ordered = ordered.persist()
+    ordered = settle(ordered, "numbered")  # written, so that the offsets fit also after an executor is lost
     sizes = ordered.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__start")
     local = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))

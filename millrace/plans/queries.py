@@ -227,14 +227,14 @@ q("salt_hash", lambda t: scalars.salt_hash(t.customer.select("c_custkey", "c_nam
 q("country_lookup", lambda t: scalars.country_lookup(t.customer.select("c_custkey", "c_nationkey"), t.nation.select(F.substring("n_name", 8, 2).alias("alpha2"), F.col("n_name").alias("alpha3"), F.col("n_nationkey").alias("numeric"), F.lower("n_name").alias("name"), F.col("n_regionkey").alias("region")), "c_nationkey").select("c_custkey", "country_alpha3"), "SELECT c_custkey, n_name AS country_alpha3 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 
 # text
-q("tokenize", lambda t: text.tokenize(t.documents.where("lang = 'en'").select("doc_id", "text"), "text").select("doc_id", F.size("tokens").alias("n")), r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))::INT AS n FROM documents WHERE lang = 'en'")
+q("tokenize", lambda t: text.tokenize(t.documents.select("doc_id", "text"), "text").select("doc_id", F.size("tokens").alias("n")), r"SELECT doc_id, len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))::INT AS n FROM documents")
 q("tokenize_ngrams", lambda t: text.tokenize(t.part.select("p_partkey", "p_name"), "p_name", "ngram"), "SELECT p_partkey, p_name, CASE WHEN len(w) >= 2 THEN [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] ELSE [] END AS tokens FROM (SELECT *, string_split(lower(p_name), ' ') AS w FROM part)")
-q("keyword_rake", lambda t: r(text.keyword_rake_yake(t.documents.where("lang = 'en'"), "text", "doc_id", topK=3)))
-q("keyword_yake", lambda t: r(text.keyword_rake_yake(t.documents.where("lang = 'en'"), "text", "doc_id", "yake", 3)))
+q("keyword_rake", lambda t: r(text.keyword_rake_yake(t.documents, "text", "doc_id", topK=3)))
+q("keyword_yake", lambda t: r(text.keyword_rake_yake(t.documents, "text", "doc_id", "yake", 3)))
 q("tfidf", lambda t: r(text.tfidf(t.part.select("p_partkey", "p_name"), "p_name", "p_partkey", 2), 5).drop("rank"), "WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), tf AS (SELECT p_partkey, w, count(*) AS tf FROM w GROUP BY 1, 2), d AS (SELECT w, count(*) AS d FROM tf GROUP BY 1), x AS (SELECT p_partkey, w, tf * (ln((1 + (SELECT count(*) FROM part)) / (1 + d)) + 1) AS x FROM tf JOIN d USING (w)) SELECT p_partkey, w AS term, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_partkey)), 5) AS tfidf FROM x")
 q("sentiment_lexicon", lambda t: r(text.sentiment_lexicon(t.part, t.part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct().withColumn("valence", F.length("word") - 5.5), "p_name", "p_partkey").select("p_partkey", "compound")), "WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), s AS (SELECT p_partkey, sum(length(w) - 5.5)::DOUBLE AS s FROM w GROUP BY 1) SELECT p_partkey, round(s / sqrt(s * s + 15), 6) AS compound FROM s")
 q("language_detect", lambda t: r(text.language_detect(t.documents.select("doc_id", "text", "lang"), "text").groupBy("lang").agg(F.mean((F.col("language") == F.col("lang")).cast("double")).alias("share"))))
-q("lda_topics", lambda t: text.lda_topics(t.documents.where("lang = 'en'").select("doc_id", "text"), "text", 3).groupBy("topic").agg(F.count("*").alias("n")))
+q("lda_topics", lambda t: text.lda_topics(t.documents.select("doc_id", "text"), "text", 3).groupBy("topic").agg(F.count("*").alias("n")))
 
 # nested
 q("array_length", lambda t: nested.array_length(t.embeddings.select("vec_id", "embedding"), "embedding").drop("embedding"), "SELECT vec_id, len(embedding)::INT AS length FROM embeddings")

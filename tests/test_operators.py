@@ -196,3 +196,26 @@ def test_keywords_and_languages(spark):
     top = text.keyword_rake_yake(df, "t", "id", topK=1).where("id = 1").first()
     assert "deep learning" in top.keyword
     assert [r.language for r in text.language_detect(df, "t").orderBy("id").collect()] == ["en", "de"]
+
+
+def test_map_match_is_the_nearest_both_ways(spark):
+    import math
+    import random
+
+    from millrace.operators.geo import map_match
+
+    rng = random.Random(21)
+    spots = [(i, rng.uniform(-89, 89), rng.uniform(-180, 180)) for i in range(60)] + [(100, 0.04, 179.99), (101, 89.9, 10.0), (102, -89.9, -100.0), (103, 0.0, 0.26)]
+    own = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(40)] + [(50, 0.0, -179.99), (51, 89.95, -170.0), (52, -90.0, 0.0), (53, 0.01, 0.01), (54, spots[3][1], spots[3][2])]
+
+    def metres(p, q):
+        (a, b), (c, d) = ((math.radians(x[1]), math.radians(x[2])) for x in (p, q))
+        h = math.sin((c - a) / 2) ** 2 + math.cos(a) * math.cos(c) * math.sin((d - b) / 2) ** 2
+        return 2 * 6_371_000.0 * math.asin(min(1, math.sqrt(h)))
+
+    df = spark.createDataFrame(own, "id long, lat double, lon double")
+    ref = spark.createDataFrame(spots, "rid long, rlat double, rlon double")
+    for most in (100_000, 1):
+        got = {r.id: r.matched_distance_m for r in map_match(df, ref, "id", "lat", "lon", "rlat", "rlon", "rid", max_reference=most).collect()}
+        for p in own:
+            assert abs(got[p[0]] - min(metres(p, q) for q in spots)) < 1e-3 * (1 + got[p[0]]), (most, p)
