@@ -68,32 +68,35 @@ def held_out(id_col: str) -> Column:
 
 
 def bags(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text and their shares."""
-    counts = [Counter((t or b"").split()) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
-    flat, sizes = features(list(vocabulary))
-    starts = np.r_[0, np.cumsum(sizes)]
+    """Distinct buckets of each text and their shares. A few texts' words are cut at once, to hold little memory."""
     out = []
-    for c in counts:
-        words = [vocabulary[w] for w in c]
-        parts = [flat[starts[i] : starts[i + 1]] for i in words]
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        n = np.repeat(np.fromiter(c.values(), np.float32, len(c)), sizes[words]) if words else np.zeros(0, np.float32)
-        found, kind = np.unique(ids, return_inverse=True)
-        share = np.bincount(kind, weights=n, minlength=len(found)).astype(np.float32)
-        out.append((found, share / max(1.0, share.sum())))
+    for at in range(0, len(texts), 64):
+        counts = [Counter((t or b"").split()) for t in texts[at : at + 64]]
+        vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
+        flat, sizes = features(list(vocabulary))
+        starts = np.r_[0, np.cumsum(sizes)]
+        for c in counts:
+            words = [vocabulary[w] for w in c]
+            parts = [flat[starts[i] : starts[i + 1]] for i in words]
+            ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            n = np.repeat(np.fromiter(c.values(), np.float32, len(c)), sizes[words]) if words else np.zeros(0, np.float32)
+            found, kind = np.unique(ids, return_inverse=True)
+            share = np.bincount(kind, weights=n, minlength=len(found)).astype(np.float32)
+            out.append((found.astype(np.int32), share / max(1.0, share.sum())))
     return out
 
 
 def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, min_share: float = MIN_SHARE, seed: int = 7) -> tuple[np.ndarray, float]:
     """(margin of each bucket, bias) of the fitted softmax: class 1 against class 0."""
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
+    emb = rng.standard_normal((BUCKETS, DIM), np.float32) * np.float32(0.05)
     soft, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     if not texts:
         return np.zeros(BUCKETS, np.float32), 0.0
     held = bags(texts)
-    texts_with = np.bincount(np.concatenate([b[0] for b in held]), minlength=BUCKETS)
+    texts_with = np.zeros(BUCKETS, np.int32)
+    for b, _ in held:
+        texts_with[b] += 1
     common = texts_with >= min_share * len(texts)
     held = [(b[common[b]], w[common[b]]) for b, w in held]
     y = np.array(labels)
