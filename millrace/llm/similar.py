@@ -31,6 +31,8 @@ SMALL, PIVOTS = 16, 3
 ORDER_TEXTS, ORDER_SHINGLES = 4_000, 100_000
 #: Up to this many keys (16 bytes each) of texts to compare are broadcast, so that texts are not shuffled for them.
 MOST_KEYS = 1_000_000
+#: Pairs a written partition holds, where Spark made more partitions than that.
+PAIRS_PER_FILE = 20_000
 
 
 def shingle_set(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -115,17 +117,20 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int
     ends = lambda ps: ps.select(F.col("a").alias("sid")).unionByName(ps.select(F.col("b").alias("sid"))).distinct()
     sides = lambda ps, held, *cols: ps.join(held.select(F.col("sid").alias("a"), *(F.col(c).alias(f"{c}_a") for c in cols)), "a").join(held.select(F.col("sid").alias("b"), *(F.col(c).alias(f"{c}_b") for c in cols)), "b")
     pairs = settle(pairs.distinct(), "similar-pairs")
-    heads = reps.join(ends(pairs), "sid").select("sid", "n", "prefix")
+    at_most = pairs.count()
+    files = at_most // PAIRS_PER_FILE + 8
+    few = lambda keys: F.broadcast(keys) if 2 * at_most <= MOST_KEYS else keys
+    heads = reps.join(few(ends(pairs)), "sid").select("sid", "n", "prefix")
     # what is beyond the shorter-sighted prefix is at most that set's rest
     rest = F.greatest(F.col("n_a") - _prefix_size(F.col("n_a"), similarity), F.col("n_b") - _prefix_size(F.col("n_b"), similarity))
     able = F.size(F.array_intersect("prefix_a", "prefix_b")) + rest + 1e-9 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
-    pairs = settle(sides(pairs, heads, "n", "prefix").where(able).select("a", "b"), "similar-able")
-    wanted = settle(reps.join(ends(pairs), "sid").select("rkey", "sid"), "similar-wanted")
+    pairs = settle(sides(pairs, heads, "n", "prefix").where(able).select("a", "b").coalesce(files), "similar-able")
+    wanted = settle(reps.join(few(ends(pairs)), "sid").select("rkey", "sid"), "similar-wanted")
     held = texts.join(F.broadcast(wanted) if wanted.count() <= MOST_KEYS else wanted, "rkey").select("sid", "text")
     sets = settle(_shingles(held, "sid", shingle), "similar-sets").dropDuplicates(["sid"])
     common = F.size(F.array_intersect("found_a", "found_b"))
     both = sides(pairs, sets, "found").where(common + 1e-9 >= similarity * (F.size("found_a") + F.size("found_b") - common))
-    return both.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    return both.select(F.col("a").alias("src"), F.col("b").alias("dst")).coalesce(files)
 
 
 def similar_sets(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -142,9 +147,10 @@ def similar_sets(reps: DataFrame, texts: DataFrame, shingle: int, similarity: fl
     ends = [F.least("a.sid", "b.sid").alias("a"), F.greatest("a.sid", "b.sid").alias("b")]
     pairs = few.alias("a").join(few.alias("b"), (F.col("a.token") == F.col("b.token")) & (F.col("a.sid") < F.col("b.sid")) & fits).select(*ends)
     links = settle(_confirmed(pairs, reps, texts, shingle, similarity), "similar-links")
+    known = settle(connected_components(links), "similar-parts")
     crowded = not many.isEmpty()
     for turn in range(PIVOTS + 1 if crowded else 0):
-        parts = connected_components(links).select(F.col("node").alias("sid"), "component")
+        parts = known.select(F.col("node").alias("sid"), "component")
         now = settle(many.join(parts, "sid", "left").withColumn("component", F.coalesce("component", "sid")), "similar-crowd")
         by = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("m"), F.min_by(F.struct("sid", "n"), F.xxhash64("sid", F.lit(turn))).alias("p"))
         most = by.groupBy("token").agg(F.max(F.struct("m", "component", "p")).alias("x"), F.count(F.lit(1)).alias("k")).where("k > 1")
@@ -156,8 +162,12 @@ def similar_sets(reps: DataFrame, texts: DataFrame, shingle: int, similarity: fl
         else:
             apart = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & fits
             pairs = rest.alias("a").join(now.alias("b"), apart & ((F.col("b.component") == F.col("a.main")) | (F.col("a.sid") < F.col("b.sid")))).select(*ends)
-        links = settle(links.unionByName(_confirmed(pairs, reps, texts, shingle, similarity)).distinct(), "similar-links")
-    return connected_components(links)
+        links = settle(_confirmed(pairs, reps, texts, shingle, similarity), "similar-links")
+        if not links.isEmpty():
+            # what is known goes on as one edge a member, so only the new links take rounds
+            joined = links.unionByName(known.select(F.col("node").alias("src"), F.col("component").alias("dst")))
+            known = settle(connected_components(joined), "similar-parts")
+    return known
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
