@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import finite, names, num, numeric_columns, order, percentile, with_stats
 from millrace.plans.registry import operator
+from millrace.scratch import settle
 
 FUNCTIONS = {"sum": F.sum, "mean": F.mean, "avg": F.mean, "min": F.min, "max": F.max, "count": F.count, "count_distinct": F.count_distinct, "std": F.stddev_samp, "median": F.median, "first": F.first, "approx_count_distinct": F.approx_count_distinct}
 
@@ -48,17 +53,14 @@ def pivot_longer(df: DataFrame, value_cols: list[str], id: list[str] | None = No
 
 
 @operator(columns=("columns",))
-def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method: str = "pearson", sample: int = 2_000) -> DataFrame:
-    """(col_a, col_b, r) for all pairs, from rows complete in the pair. Kendall's tau-b compares pairs of rows, so it takes at most ``sample`` rows, by hash."""
+def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method: str = "pearson") -> DataFrame:
+    """(col_a, col_b, r) for all pairs, from rows complete in the pair; NULL where a column is constant. Kendall's is tau-b, exact over all rows."""
     cols = columns or numeric_columns(df)
     pairs = [(a, b) for a in cols for b in cols]
     if method == "kendall":
-        few = df.select(*cols).orderBy(F.xxhash64(*cols)).limit(sample).withColumn("__i", F.monotonically_increasing_id())
-        a, b = few.alias("a"), few.alias("b")
-        both = a.join(b, F.col("a.__i") < F.col("b.__i"))
-        sign = lambda c: F.signum(num(F.col(f"a.{c}")) - num(F.col(f"b.{c}")))
-        tau = lambda x, y: F.sum(sign(x) * sign(y)) / F.sqrt(F.sum(F.abs(sign(x)) * F.when(sign(y).isNotNull(), 1)) * F.sum(F.abs(sign(y)) * F.when(sign(x).isNotNull(), 1)))
-        return both.agg(F.array(*(F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), tau(x, y).alias("r")) for x, y in pairs)).alias("x")).select(F.inline("x"))
+        found = {(x, y): kendall_tau(df, x, y) for i, x in enumerate(cols) for y in cols[i:]}
+        rows = [(x, y, found.get((x, y), found.get((y, x)))) for x, y in pairs]
+        return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
     ranked = df.select(*(num(c).alias(c) for c in cols))
     if method == "spearman":
         out = []
@@ -70,6 +72,67 @@ def correlation_matrix(df: DataFrame, columns: list[str] | None = None, method:
     return ranked.agg(F.array(*(F.struct(F.lit(x).alias("col_a"), F.lit(y).alias("col_b"), finite(F.corr(x, y)).alias("r")) for x, y in pairs)).alias("x")).select(F.inline("x"))
 
 
+def concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Sum of w_i w_j sign(x_i - x_j) sign(y_i - y_j) over all pairs: the highest bit in which two ranks of y differ orders a pair."""
+    rank = np.unique(y, return_inverse=True)[1]
+    total = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        group, high = rank >> (bit + 1), (rank >> bit & 1).astype(bool)
+        by = np.lexsort((x, group))
+        g, v, up, weight = group[by], x[by], high[by], w[by]
+        low = np.concatenate(([0.0], np.cumsum(np.where(up, 0.0, weight))))
+        new_group = np.concatenate(([True], g[1:] != g[:-1]))
+        new_run = new_group | np.concatenate(([True], v[1:] != v[:-1]))
+
+        def around(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            starts = np.append(np.flatnonzero(new), len(new))
+            at = np.cumsum(new) - 1
+            return low[starts[at]], low[starts[at + 1]]
+
+        (first, last), (before, after) = around(new_group), around(new_run)
+        total += float(np.sum(weight[up] * ((before - first) - (last - after))[up]))
+    return total
+
+
+def kendall_tau(df: DataFrame, x: str, y: str, rows_per_block: int = 50_000, max_blocks: int = 300) -> float | None:
+    """Kendall's tau-b of two columns over all rows; None if one of them is constant or there are no rows.
+
+    Equal rows are counted first. Quantiles cut both axes into blocks, a quantile itself being a block of its own, so
+    that a frequent value is never in a block with others. Pairs in different blocks of both axes follow from the block
+    counts (at most (2 max_blocks + 1) squared rows), the others are counted inside the blocks of one axis in tasks.
+    """
+    points = settle(df.select(num(x).alias("x"), num(y).alias("y")).dropna().groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")), "tau")
+    n = points.count()
+    blocks = min(max_blocks, n // rows_per_block + 1)
+    found = points.approxQuantile(["x", "y"], [k / blocks for k in range(1, blocks)], 1 / (4 * blocks)) if blocks > 1 else [[], []]
+    single = {}
+    for axis, at in zip("xy", found, strict=True):
+        cuts = sorted({v for q in at if math.isfinite(q) for v in (q, math.nextafter(q, math.inf))} or {0.0})
+        single[axis] = [k + 1 for k, v in enumerate(cuts) if v in at]
+        points = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol=axis, outputCol=f"b{axis}").transform(points)
+    points = settle(points.withColumns({b: F.col(b).cast("long") for b in ("bx", "by")}), "tau-blocks")
+    cells = points.groupBy("bx", "by").agg(F.sum("w").alias("w")).collect()
+    grid = np.zeros((max((c.bx for c in cells), default=0) + 1, max((c.by for c in cells), default=0) + 1))
+    for c in cells:
+        grid[c.bx, c.by] = c.w
+    above = np.cumsum(grid, axis=0) - grid
+    upto = np.cumsum(above, axis=1)
+    score = float(np.sum(grid * (upto - above - (upto[:, -1:] - upto))))
+
+    def inside(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"s": [concordance(group["u"].to_numpy(), group["v"].to_numpy(), group["w"].to_numpy())]})
+
+    in_x = points.where(~F.col("bx").isin(single["x"])).select(F.col("bx").alias("b"), F.col("x").alias("u"), F.col("y").alias("v"), "w")
+    in_y = points.where(~F.col("by").isin(single["y"])).groupBy("by", "bx", "y").agg(F.sum("w").alias("w")).select(F.col("by").alias("b"), F.col("bx").cast("double").alias("u"), F.col("y").alias("v"), "w")
+    for part in (in_x, in_y):
+        score += part.groupBy("b").applyInPandas(inside, "s double").agg(F.sum("s")).first()[0] or 0.0
+    free = []
+    for axis in "xy":
+        ties = points.groupBy(axis).agg(F.sum("w").alias("w")).agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("w")).alias("q")).first()
+        free.append(((ties.n or 0.0) ** 2 - (ties.q or 0.0)) / 2)
+    return score / math.sqrt(free[0] * free[1]) if free[0] and free[1] else None
+
+
 def average_rank(df: DataFrame, column: str, name: str, by: list[str] | None = None) -> DataFrame:
     """Ranks from 1 with ties averaged. Values are counted first, so the one ordered window sees distinct values only."""
     by = by or []

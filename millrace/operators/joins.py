@@ -188,11 +188,15 @@ def top_k_similar(df: DataFrame, vectorColumn: str, labelColumn: str, k: int = 5
 
 
 @operator(columns=("vectorColumn",))
-def distance_matrix(df: DataFrame, vectorColumn: str, labelColumn: str, metric: str = "euclidean", outputFormat: str = "long", maxRows: int = 1000) -> DataFrame:
-    """All pairs of at most maxRows rows (more are an error), as rows (a, b, distance) or as a square."""
-    if df.limit(maxRows + 1).count() > maxRows:
+def distance_matrix(df: DataFrame, vectorColumn: str, labelColumn: str, metric: str = "euclidean", outputFormat: str = "long", maxRows: int = 1000, queries: DataFrame | None = None) -> DataFrame:
+    """All pairs of a row of ``queries`` (df's own rows without it) and a row of df, as rows (a, b, distance) or as a square.
+
+    More than maxRows queries are an error; they are broadcast, df is not shuffled.
+    """
+    few = df if queries is None else queries
+    if few.limit(maxRows + 1).count() > maxRows:
         raise ValueError(f"more than {maxRows} rows; use nearest_neighbors")
-    a = df.select(F.col(labelColumn).alias("a"), F.col(vectorColumn).alias("__v"))
+    a = F.broadcast(few.select(F.col(labelColumn).alias("a"), F.col(vectorColumn).alias("__v")))
     b = df.select(F.col(labelColumn).alias("b"), F.col(vectorColumn).alias("__w"))
-    long = a.crossJoin(b).select("a", "b", distance(F.col("__v"), F.col("__w"), metric).alias("distance"))
+    long = b.crossJoin(a).select("a", "b", distance(F.col("__v"), F.col("__w"), metric).alias("distance"))
     return long if outputFormat == "long" else long.groupBy("a").pivot("b").agg(F.first("distance"))

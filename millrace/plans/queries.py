@@ -58,17 +58,17 @@ ORACLE_SQL["flagship"] = """SELECT l_returnflag, l_linestatus, round(sum(l_exten
 
 # columns
 q("select_columns", lambda t: columns.select_columns(t.customer, ["c_name", "c_custkey"]), "SELECT c_name, c_custkey FROM customer")
-q("reorder_columns", lambda t: columns.reorder_columns(t.nation, ["n_name"]), "SELECT n_name, n_nationkey, n_regionkey FROM nation")
-q("rename_columns", lambda t: columns.rename_columns(t.nation, {"n_name": "name", "n_nationkey": "id"}), "SELECT n_nationkey AS id, n_name AS name, n_regionkey FROM nation")
-q("add_column", lambda t: columns.add_column(t.region, "score", "integer", "7", "before", "r_name"), "SELECT r_regionkey, 7::BIGINT AS score, r_name FROM region")
-q("add_runtime_column", lambda t: columns.add_runtime_column(t.region, "run", "batch-{{ vars.n | upper }}", variables={"n": "ab"}), "SELECT *, 'batch-AB' AS run FROM region")
+q("reorder_columns", lambda t: columns.reorder_columns(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderpriority"]), "SELECT o_orderpriority, o_orderkey, o_orderstatus FROM orders")
+q("rename_columns", lambda t: columns.rename_columns(t.orders.select("o_orderkey", "o_orderstatus"), {"o_orderstatus": "status", "o_orderkey": "id"}), "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders")
+q("add_column", lambda t: columns.add_column(t.part.select("p_partkey", "p_name"), "score", "integer", "7", "before", "p_name"), "SELECT p_partkey, 7::BIGINT AS score, p_name FROM part")
+q("add_runtime_column", lambda t: columns.add_runtime_column(t.customer.select("c_custkey"), "run", "batch-{{ vars.n | upper }}", variables={"n": "ab"}), "SELECT c_custkey, 'batch-AB' AS run FROM customer")
 q("derive_column", lambda t: columns.derive_column(t.lineitem.select("l_orderkey", "l_quantity", "l_extendedprice"), "unit", "l_extendedprice / l_quantity"), "SELECT l_orderkey, l_quantity, l_extendedprice, l_extendedprice / l_quantity AS unit FROM lineitem")
 q("math_equation", lambda t: r(columns.math_equation(t.part.select("p_partkey", "p_size", "p_retailprice"), "m", "log(p_retailprice) + p_size ^ 2")), "SELECT p_partkey, p_size, p_retailprice, round(log10(p_retailprice) + p_size ** 2, 6) AS m FROM part")
 q("cast_type", lambda t: columns.cast_type(t.part.select("p_partkey", F.split("p_brand", "#")[1].alias("b"), F.col("p_name").alias("n")), "b", "integer"), "SELECT p_partkey, TRY_CAST(split_part(p_brand, '#', 2) AS BIGINT) AS b, p_name AS n FROM part")
 q("cast_report", lambda t: columns.cast_report(t.part.withColumn("x", F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).when(F.col("p_size") > 5, F.col("p_name"))), "x", "integer"), "SELECT count(*) AS total, count(*) - count(x) AS source_null, count(x) AS source_non_null, count(*) FILTER (x IS NOT NULL AND TRY_CAST(x AS BIGINT) IS NULL) AS cast_failures FROM (SELECT CASE WHEN p_size > 25 THEN p_size::VARCHAR WHEN p_size > 5 THEN p_name END AS x FROM part)")
 q("coalesce_columns", lambda t: columns.coalesce_columns(t.orders.select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("O")).alias("a"), F.col("o_orderpriority").alias("b")), ["a", "b"], "c", drop=True), "SELECT o_orderkey, coalesce(nullif(o_orderstatus, 'O'), o_orderpriority) AS c FROM orders")
-q("pack_unpack_struct", lambda t: columns.unpack_struct(columns.pack_struct(t.nation, "s", ["n_name", "n_regionkey"]), "s", ["n_name"], "s_"), "SELECT *, n_name AS s_n_name FROM nation")
-q("passthrough", lambda t: columns.passthrough(t.region), "SELECT * FROM region")
+q("pack_unpack_struct", lambda t: columns.unpack_struct(columns.pack_struct(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), "s", ["o_orderstatus", "o_orderpriority"]), "s", ["o_orderstatus"], "s_"), "SELECT o_orderkey, o_orderstatus, o_orderpriority, o_orderstatus AS s_o_orderstatus FROM orders")
+q("passthrough", lambda t: columns.passthrough(t.customer.select("c_custkey", "c_name")), "SELECT c_custkey, c_name FROM customer")
 q("upper_string", lambda t: columns.upper_string(t.part.select("p_partkey", "p_name"), "p_name"), "SELECT p_partkey, upper(p_name) AS p_name FROM part")
 q("round_to_n", lambda t: columns.round_to_n(t.supplier.select("s_suppkey", "s_acctbal"), "s_acctbal", 0), "SELECT s_suppkey, round(s_acctbal, 0) AS s_acctbal FROM supplier")
 q("zscore", lambda t: r(columns.zscore(t.customer.select("c_custkey", "c_acctbal"), "c_acctbal")), "SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal, round((c_acctbal - avg(c_acctbal) OVER ()) / stddev_samp(c_acctbal) OVER (), 6) AS z_score FROM customer")
@@ -96,23 +96,23 @@ q("preview_per_group", lambda t: rows.preview(t.orders, "per_group", 3, column="
 q("preview_time_bucket", lambda t: rows.preview(t.events, "time_bucket", 2, time_column="ts", bucket="day", order_by=["event_id"]), "SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY event_id) <= 2")
 
 # joins
-q("join_inner", lambda t: joins.join(t.nation, t.region, [{"left": "n_regionkey", "right": "r_regionkey"}]), "SELECT n_nationkey, n_name, n_regionkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+q("join_inner", lambda t: joins.join(t.customer.select("c_custkey", "c_nationkey"), t.nation.select("n_nationkey", "n_name"), [{"left": "c_nationkey", "right": "n_nationkey"}]), "SELECT c_custkey, c_nationkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 q("join_left", lambda t: joins.join(t.customer, t.orders.select("o_custkey", "o_orderkey"), [{"left": "c_custkey", "right": "o_custkey"}], "left"), "SELECT customer.*, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 q("join_full", lambda t: joins.join(t.customer.select("c_custkey", "c_name").where("c_custkey % 2 = 0"), t.orders.select("o_custkey", "o_orderkey"), [{"left": "c_custkey", "right": "o_custkey"}], "full"), "SELECT c_custkey, c_name, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey % 2 = 0) FULL JOIN orders ON c_custkey = o_custkey")
 q("join_anti", lambda t: joins.join(t.customer, t.orders, [{"left": "c_custkey", "right": "o_custkey"}], "anti_left"), "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 q("join_anti_right", lambda t: joins.join(t.orders, t.customer, [{"left": "o_custkey", "right": "c_custkey"}], "anti_right"), "SELECT * FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 q("join_semi", lambda t: joins.join(t.customer, t.orders, [{"left": "c_custkey", "right": "o_custkey"}], "semi"), "SELECT * FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
 q("join_between", lambda t: joins.join(t.part.select("p_partkey", "p_size"), t.region.select((F.col("r_regionkey") * 10).alias("lo"), (F.col("r_regionkey") * 10 + 12).alias("hi"), "r_name"), [{"left": "p_size", "op": "between", "right": "lo", "right2": "hi"}], bucket=10), "SELECT p_partkey, p_size, r_regionkey * 10 AS lo, r_regionkey * 10 + 12 AS hi, r_name FROM part JOIN region ON p_size BETWEEN r_regionkey * 10 AND r_regionkey * 10 + 12")
-q("join_fuzzy", lambda t: joins.join(t.nation, t.nation.select(F.concat(F.lit(" "), F.lower("n_name")).alias("key"), F.col("n_nationkey").alias("k2")), [{"left": "n_name", "op": "≈", "right": "key"}]), "SELECT n_nationkey, n_name, n_regionkey, ' ' || lower(n_name) AS key, n_nationkey AS k2 FROM nation")
+q("join_fuzzy", lambda t: joins.join(t.supplier.select("s_suppkey", "s_name"), t.supplier.select(F.concat(F.lit(" "), F.lower("s_name")).alias("key"), F.col("s_suppkey").alias("k2")), [{"left": "s_name", "op": "≈", "right": "key"}]), "SELECT s_suppkey, s_name, ' ' || lower(s_name) AS key, s_suppkey AS k2 FROM supplier")
 q("join_collisions", lambda t: joins.join(t.supplier.withColumnRenamed("s_acctbal", "bal"), t.customer.withColumnRenamed("c_acctbal", "bal"), [{"left": "s_suppkey", "right": "c_custkey"}], suffixes=["_s", "_c"]), "SELECT s_suppkey, s_name, s_nationkey, s_acctbal AS bal_s, c_name, c_nationkey, c_acctbal AS bal_c, c_mktsegment FROM supplier JOIN customer ON s_suppkey = c_custkey")
-q("union", lambda t: joins.union(t.nation, t.region.withColumnRenamed("r_name", "n_name")), "SELECT * FROM nation UNION ALL BY NAME SELECT r_regionkey, r_name AS n_name FROM region")
+q("union", lambda t: joins.union(t.orders.select("o_orderkey", "o_orderstatus"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"))), "SELECT o_orderkey, o_orderstatus FROM orders UNION ALL BY NAME SELECT l_orderkey AS o_orderkey FROM lineitem")
 q("intersect", lambda t: joins.intersect(t.customer.select("c_nationkey"), t.supplier.select(F.col("s_nationkey").alias("c_nationkey"))), "SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")
-q("except", lambda t: joins.except_(t.nation.select("n_nationkey"), t.supplier.select(F.col("s_nationkey").alias("n_nationkey"))), "SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier")
+q("except", lambda t: joins.except_(t.orders.select("o_orderkey"), t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"))), "SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem")
 q("lookup_join", lambda t: joins.lookup_join(t.customer.select("c_custkey", F.col("c_nationkey").cast("string").alias("code")), t.nation, "code", ["n_nationkey", "n_name"], ["n_name", "n_regionkey"]), "SELECT c_custkey, c_nationkey::VARCHAR AS code, n_name, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 q("asof_join", lambda t: joins.asof_join(t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), t.events.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id")), "ts", "click_ts", ["user_id"]), "SELECT p.event_id, p.user_id, p.ts, c.ts AS click_ts, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts")
 q("nearest_neighbors", lambda t: joins.nearest_neighbors(t.embeddings, "embedding", "vec_id", 5, queries=t.embeddings.where("vec_id % 100 = 0")).drop("distance"), "SELECT a.vec_id AS source, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 5")
 q("top_k_similar", lambda t: joins.top_k_similar(t.embeddings, "embedding", "vec_id", 3).select("vec_id", "top_k_indices"))
-q("distance_matrix", lambda t: r(joins.distance_matrix(t.nation.join(t.embeddings, F.col("n_nationkey") == F.col("vec_id")), "embedding", "n_nationkey")), "SELECT a.n_nationkey AS a, b.n_nationkey AS b, round(list_distance(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS distance FROM nation a JOIN embeddings x ON a.n_nationkey = x.vec_id, nation b JOIN embeddings y ON b.n_nationkey = y.vec_id")
+q("distance_matrix", lambda t: r(joins.distance_matrix(t.embeddings, "embedding", "vec_id", queries=t.embeddings.where("vec_id % 100 = 0"))), "SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 
 # grouping
 q("group_aggregate", lambda t: r(grouping.group_aggregate(t.lineitem, [{"fn": f, "column": "l_quantity", "as": f"q_{f}"} for f in ("sum", "mean", "min", "max", "count", "count_distinct", "std")], ["l_returnflag"])), "SELECT l_returnflag, round(sum(l_quantity), 6) AS q_sum, round(avg(l_quantity), 6) AS q_mean, min(l_quantity) AS q_min, max(l_quantity) AS q_max, count(l_quantity) AS q_count, count(DISTINCT l_quantity) AS q_count_distinct, round(stddev_samp(l_quantity), 6) AS q_std FROM lineitem GROUP BY 1")
@@ -123,7 +123,7 @@ q("pivot_wider", lambda t: r(grouping.pivot_wider(t.orders, "o_orderstatus", "o_
 q("pivot_longer", lambda t: grouping.pivot_longer(t.lineitem.select("l_orderkey", "l_partkey", "l_discount", "l_tax"), ["l_discount", "l_tax"], ["l_orderkey", "l_partkey"]), "UNPIVOT (SELECT l_orderkey, l_partkey, l_discount, l_tax FROM lineitem) ON l_discount, l_tax INTO NAME name VALUE value")
 q("correlation_matrix", lambda t: r(grouping.correlation_matrix(t.lineitem, ["l_quantity", "l_extendedprice", "l_tax"])), "SELECT a AS col_a, b AS col_b, round(r, 6) AS r FROM (SELECT 'l_quantity' AS a, 'l_extendedprice' AS b, corr(l_quantity, l_extendedprice) AS r FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_quantity', corr(l_quantity, l_extendedprice) FROM lineitem UNION ALL SELECT 'l_quantity', 'l_tax', corr(l_quantity, l_tax) FROM lineitem UNION ALL SELECT 'l_tax', 'l_quantity', corr(l_quantity, l_tax) FROM lineitem UNION ALL SELECT 'l_extendedprice', 'l_tax', corr(l_extendedprice, l_tax) FROM lineitem UNION ALL SELECT 'l_tax', 'l_extendedprice', corr(l_extendedprice, l_tax) FROM lineitem UNION ALL SELECT c, c, 1.0 FROM (VALUES ('l_quantity'), ('l_extendedprice'), ('l_tax')) v(c))")
 q("correlation_spearman", lambda t: r(grouping.correlation_matrix(t.part, ["p_size", "p_retailprice"], "spearman").where("col_a < col_b")), "WITH k AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0 AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0 AS b FROM part) SELECT 'p_retailprice' AS col_a, 'p_size' AS col_b, round(corr(a, b), 6) AS r FROM k".replace("'p_retailprice' AS col_a, 'p_size' AS col_b", "'p_retailprice' AS col_a, 'p_size' AS col_b"))
-q("correlation_kendall", lambda t: r(grouping.correlation_matrix(t.supplier, ["s_acctbal", "s_nationkey"], "kendall")))
+q("correlation_kendall", lambda t: r(grouping.correlation_matrix(t.part, ["p_size", "p_retailprice"], "kendall")), "WITH k AS (SELECT sign(a.p_size - b.p_size) AS x, sign(a.p_retailprice - b.p_retailprice) AS y FROM part a JOIN part b ON a.p_partkey < b.p_partkey), t AS (SELECT round(sum(x * y) / sqrt(sum(abs(x)) * sum(abs(y))), 6) AS r FROM k) SELECT 'p_size' AS col_a, 'p_retailprice' AS col_b, r FROM t UNION ALL SELECT 'p_retailprice', 'p_size', r FROM t UNION ALL SELECT 'p_size', 'p_size', 1.0::DOUBLE UNION ALL SELECT 'p_retailprice', 'p_retailprice', 1.0::DOUBLE")
 q("bin_numeric", lambda t: grouping.bin_numeric(t.part.select("p_partkey", "p_size"), "p_size", bins=7), "SELECT p_partkey, p_size, least(7, floor((p_size::DOUBLE - lo) / ((hi - lo) / 7.0::DOUBLE)) + 1)::INT AS bin FROM part, (SELECT min(p_size)::DOUBLE AS lo, max(p_size)::DOUBLE AS hi FROM part)")
 q("bin_numeric_breaks", lambda t: grouping.bin_numeric(t.part.select("p_partkey", "p_size"), "p_size", "custom_breaks", breaks="10,30"), "SELECT p_partkey, p_size, CASE WHEN p_size < 10 THEN '< 10' WHEN p_size < 30 THEN '[10, 30)' ELSE '>= 30' END AS bin FROM part")
 q("null_pattern_audit", lambda t: r(grouping.null_pattern_audit(t.part.select(F.when(F.col("p_size") > 10, 1).alias("a"), F.when(F.col("p_size") > 30, 1).alias("b")))), "SELECT CASE WHEN p_size <= 10 THEN 'a, b' WHEN p_size <= 30 THEN 'b' ELSE '' END AS pattern, CASE WHEN p_size <= 10 THEN 2 WHEN p_size <= 30 THEN 1 ELSE 0 END AS n_nulls, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS fraction FROM part GROUP BY 1, 2")
@@ -218,11 +218,11 @@ _MAIL = "CASE WHEN p_size % 3 = 0 THEN ' Ab.C' || p_partkey || '@Example.COM ' W
 q("validate_email", lambda t: scalars.validate_email(t.part.select("p_partkey", F.expr(_MAIL).alias("m")), "m"), f"SELECT p_partkey, {_MAIL} AS m, p_size % 3 = 0 AS email_valid, CASE WHEN p_size % 3 = 0 THEN lower(trim({_MAIL})) END AS email_normalized FROM part")
 q("validate_iban", lambda t: scalars.validate_iban(t.part.select("p_partkey", F.when(F.col("p_size") < 20, "DE89 3704 0044 0532 0130 00").when(F.col("p_size") < 40, "GB82WEST12345698765433").alias("iban")), "iban").select("p_partkey", "iban_valid", "iban_country"), "SELECT p_partkey, p_size < 20 AS iban_valid, CASE WHEN p_size < 20 THEN 'DE' END AS iban_country FROM part")
 q("normalize_phone", lambda t: scalars.normalize_phone(t.part.select("p_partkey", F.when(F.col("p_size") < 20, "(212) 555-01" + "99").when(F.col("p_size") < 30, "+49 30 123456").otherwise("12").alias("p")), "p"), "SELECT p_partkey, CASE WHEN p_size < 20 THEN '(212) 555-0199' WHEN p_size < 30 THEN '+49 30 123456' ELSE '12' END AS p, CASE WHEN p_size < 20 THEN '+12125550199' WHEN p_size < 30 THEN '+4930123456' END AS phone_e164, p_size < 30 AS phone_e164_valid FROM part")
-q("timezone_resolve", lambda t: scalars.timezone_resolve(t.region.withColumn("z", F.when(F.col("r_regionkey") == 0, "utc").when(F.col("r_regionkey") == 1, "nowhere").otherwise("Etc/GMT+5")), "z").select("r_regionkey", "tz_valid", "tz_offset_minutes"), "SELECT r_regionkey, r_regionkey <> 1 AS tz_valid, CASE r_regionkey WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE -300 END::INT AS tz_offset_minutes FROM region")
+q("timezone_resolve", lambda t: scalars.timezone_resolve(t.customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "utc").when(F.col("c_custkey") % 3 == 1, "nowhere").otherwise("Etc/GMT+5").alias("z")), "z").select("c_custkey", "tz_valid", "tz_offset_minutes"), "SELECT c_custkey, c_custkey % 3 <> 1 AS tz_valid, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE -300 END::INT AS tz_offset_minutes FROM customer")
 q("hipaa_deidentify", lambda t: scalars.hipaa_deidentify(t.part.select("p_partkey", "p_name", F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("zip"), (F.col("p_size") * 2).alias("age")), ["p_name"], "zip", "age"), "SELECT p_partkey, lpad(p_partkey::VARCHAR, 5, '0')[1:3] AS zip, CASE WHEN p_size * 2 >= 90 THEN '90+' ELSE (p_size * 2)::VARCHAR END AS age FROM part")
 q("pii_redact", lambda t: scalars.pii_redact(t.part.select("p_partkey", F.expr("'mail ' || p_partkey || '@x.org or 123-45-6789'").alias("s")), ["s"], "email,ssn"), "SELECT p_partkey, 'mail [REDACTED] or [REDACTED]' AS s FROM part")
 q("pii_redact_documents", lambda t: scalars.pii_redact(t.documents.select("doc_id", "text"), ["text"], "email").select("doc_id", F.length("text").alias("n")), r"SELECT doc_id, length(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[REDACTED]', 'g')) AS n FROM documents")
-q("pseudonymize_seeded", lambda t: scalars.pseudonymize_seeded(t.nation, ["n_name"], "seed"))
+q("pseudonymize_seeded", lambda t: scalars.pseudonymize_seeded(t.customer.select("c_custkey", "c_name"), ["c_name"], "seed"))
 q("salt_hash", lambda t: scalars.salt_hash(t.customer.select("c_custkey", "c_name"), ["c_name"], "pepper", 12), "SELECT c_custkey, sha256('pepper' || c_name)[1:12] AS c_name FROM customer")
 q("country_lookup", lambda t: scalars.country_lookup(t.customer.select("c_custkey", "c_nationkey"), t.nation.select(F.substring("n_name", 8, 2).alias("alpha2"), F.col("n_name").alias("alpha3"), F.col("n_nationkey").alias("numeric"), F.lower("n_name").alias("name"), F.col("n_regionkey").alias("region")), "c_nationkey").select("c_custkey", "country_alpha3"), "SELECT c_custkey, n_name AS country_alpha3 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 
@@ -255,9 +255,9 @@ q("psi_drift", lambda t: r(quality.psi_drift(t.events.withColumn("half", F.when(
 q("outliers_isolation_forest", lambda t: quality.outliers_isolation_forest(t.customer.select("c_custkey", "c_acctbal", "c_nationkey"), ["c_acctbal", "c_nationkey"], n_estimators=20).groupBy("is_outlier").agg(F.count("*").alias("n")))
 q("column_lineage_report", lambda t: r(quality.column_lineage_report(t.supplier).select("column", "distinct", "nulls", "mean"), 4), "SELECT 's_suppkey' AS \"column\", count(DISTINCT s_suppkey) AS \"distinct\", count(*) - count(s_suppkey) AS nulls, round(avg(s_suppkey), 4) AS mean FROM supplier UNION ALL SELECT 's_name', count(DISTINCT s_name), count(*) - count(s_name), NULL FROM supplier UNION ALL SELECT 's_nationkey', count(DISTINCT s_nationkey), count(*) - count(s_nationkey), round(avg(s_nationkey), 4) FROM supplier UNION ALL SELECT 's_acctbal', count(DISTINCT s_acctbal), count(*) - count(s_acctbal), round(avg(s_acctbal), 4) FROM supplier")
 q("provenance_certificate", lambda t: quality.provenance_certificate(t.orders, "me", "orders").select("issuer", "dataset", "columns", "rows"), "SELECT 'me' AS issuer, 'orders' AS dataset, 6 AS columns, count(*) AS rows FROM orders")
-q("schema_gate", lambda t: quality.schema_gate(t.nation, "n_name", {"n_nationkey": "int"}), "SELECT * FROM nation")
-q("golden_row_assert", lambda t: quality.golden_row_assert(t.nation, t.nation.select(F.col("n_nationkey").alias("id"), F.lit("n_name").alias("column"), F.when(F.col("n_nationkey") < 20, F.col("n_name")).otherwise("x").alias("value")), "n_nationkey"), "SELECT n_nationkey::VARCHAR AS id, 'n_name' AS \"column\", 'x' AS expected, n_name AS actual, 'differs' AS problem FROM nation WHERE n_nationkey >= 20")
-q("pipeline_snapshot_test", lambda t: quality.pipeline_snapshot_test(t.nation, {"rows": 26, "columns": ["n_nationkey", "n_name", "n_regionkey"]}, 10).select("rows", "passed"), "SELECT count(*) AS rows, true AS passed FROM nation")
+q("schema_gate", lambda t: quality.schema_gate(t.customer.select("c_custkey", "c_name"), "c_name", {"c_custkey": "bigint"}), "SELECT c_custkey, c_name FROM customer")
+q("golden_row_assert", lambda t: quality.golden_row_assert(t.supplier, t.supplier.select(F.col("s_suppkey").alias("id"), F.lit("s_name").alias("column"), F.when(F.col("s_suppkey") % 5 < 4, F.col("s_name")).otherwise("x").alias("value")), "s_suppkey"), "SELECT s_suppkey::VARCHAR AS id, 's_name' AS \"column\", 'x' AS expected, s_name AS actual, 'differs' AS problem FROM supplier WHERE s_suppkey % 5 = 4")
+q("pipeline_snapshot_test", lambda t: quality.pipeline_snapshot_test(t.customer, {"rows": t.customer.count(), "columns": t.customer.columns}, 10).select("rows", "passed"), "SELECT count(*) AS rows, true AS passed FROM customer")
 
 # scaling
 _C = "SELECT c_custkey, round(c_acctbal, 6) AS c_acctbal"
@@ -281,7 +281,7 @@ q("mann_whitney", lambda t: r(statistics.mann_whitney(t.part.where("p_type in ('
 q("ks_test", lambda t: r(statistics.ks_test(t.part.where("p_type in ('ECONOMY', 'SMALL')"), "p_size", "p_type").select("statistic", "n1", "n2")), "WITH c AS (SELECT p_size, count(*) FILTER (p_type = 'ECONOMY') AS a, count(*) FILTER (p_type = 'SMALL') AS b FROM part WHERE p_type IN ('ECONOMY', 'SMALL') GROUP BY 1), d AS (SELECT abs(sum(a) OVER (ORDER BY p_size) / sum(a) OVER () - sum(b) OVER (ORDER BY p_size) / sum(b) OVER ()) AS d, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM c) SELECT round(max(d), 6) AS statistic, any_value(n1)::BIGINT AS n1, any_value(n2)::BIGINT AS n2 FROM d")
 q("bootstrap_ci", lambda t: statistics.bootstrap_ci(t.events, "value", n_iter=200).select(F.round("estimate", 6).alias("estimate")), "SELECT round(avg(value), 6) AS estimate FROM events")
 q("bootstrap_ci_median", lambda t: statistics.bootstrap_ci(t.part, "p_size", "median", n_iter=50).select(F.round("estimate", 6).alias("estimate")), "SELECT round(median(p_size::DOUBLE), 6) AS estimate FROM part")
-q("multiple_comparison_correction", lambda t: r(statistics.multiple_comparison_correction(t.nation.select("n_nationkey", ((F.col("n_nationkey") + 1) / 400).alias("p")), "p")), "WITH p AS (SELECT n_nationkey, (n_nationkey + 1) / 400 AS p, row_number() OVER (ORDER BY n_nationkey) AS k, count(*) OVER () AS m FROM nation) SELECT n_nationkey, round(p, 6) AS p, round(least(1, min(p * m / k) OVER (ORDER BY p DESC)), 6) AS p_adjusted, least(1, min(p * m / k) OVER (ORDER BY p DESC)) <= 0.05 AS significant FROM p")
+q("multiple_comparison_correction", lambda t: r(statistics.multiple_comparison_correction(t.supplier.select("s_suppkey", F.least(F.lit(1.0), (F.col("s_suppkey") + 1) * (F.col("s_suppkey") + 1) / 21000).alias("p")), "p")), "WITH p AS (SELECT s_suppkey, least(1, (s_suppkey + 1) * (s_suppkey + 1) / 21000) AS p, row_number() OVER (ORDER BY s_suppkey) AS k, count(*) OVER () AS m FROM supplier) SELECT s_suppkey, round(p, 6) AS p, round(least(1, min(p * m / k) OVER (ORDER BY p DESC)), 6) AS p_adjusted, least(1, min(p * m / k) OVER (ORDER BY p DESC)) <= 0.05 AS significant FROM p")
 q("kaplan_meier", lambda t: r(statistics.kaplan_meier(t.part.withColumn("e", F.col("p_retailprice") > 950), "p_size", "e", "p_type").drop("lower", "upper")), _KM.format("SELECT p_type AS g, p_size::DOUBLE AS time, (p_retailprice > 950)::INT AS e FROM part", "g AS p_type,", ""))
 q("log_rank_test", lambda t: r(statistics.log_rank_test(t.part.withColumn("e", F.col("p_retailprice") > 950), "p_size", "e", "p_type")))
 q("cox_proportional_hazards", lambda t: r(statistics.cox_proportional_hazards(t.part.withColumn("e", F.col("p_size") % 2 == 0), "p_size", "e", ["p_retailprice"]), 4))
@@ -332,8 +332,8 @@ q("chart_percent_bar", lambda t: r(charts.chart_data(t.orders, "percent_bar", "o
 q("chart_heatmap", lambda t: charts.chart_data(t.part, "heatmap", "p_type", "p_size"), "SELECT p_type AS x, p_size AS y, count(*) AS count FROM part GROUP BY 1, 2")
 q("chart_hexbin", lambda t: charts.chart_data(t.part, "hexbin", "p_size", "p_retailprice", bins=8).agg(F.sum("count").alias("n")), "SELECT count(*)::BIGINT AS n FROM part")
 q("pareto_chart", lambda t: r(charts.pareto_chart(t.orders, "o_orderpriority", "o_totalprice", 3), 2), "WITH s AS (SELECT o_orderpriority AS label, sum(o_totalprice) AS value FROM orders GROUP BY 1 ORDER BY value DESC LIMIT 3) SELECT label, round(value, 2) AS value, round(100 * sum(value) OVER (ORDER BY value DESC) / sum(value) OVER (), 2) AS cumulative_percent FROM s")
-q("funnel_chart", lambda t: r(charts.funnel_chart(t.region, "r_name", "r_regionkey", ["r_regionkey"]), 4), "SELECT r_name AS stage, r_regionkey::DOUBLE AS value, round(100 * r_regionkey / nullif(lag(r_regionkey) OVER (ORDER BY r_regionkey), 0), 4) AS percent_of_previous FROM region")
-q("waterfall_chart", lambda t: r(charts.waterfall_chart(t.nation, "n_name", "n_regionkey", ["n_nationkey"])), "SELECT row_number() OVER (ORDER BY n_nationkey)::INT AS position, n_name AS label, n_regionkey::DOUBLE AS value, (sum(n_regionkey) OVER (ORDER BY n_nationkey) - n_regionkey)::DOUBLE AS start, (sum(n_regionkey) OVER (ORDER BY n_nationkey))::DOUBLE AS \"end\" FROM nation UNION ALL SELECT (count(*) + 1)::INT, 'Total', sum(n_regionkey)::DOUBLE, 0, sum(n_regionkey)::DOUBLE FROM nation")
+q("funnel_chart", lambda t: r(charts.funnel_chart(t.supplier, "s_name", "s_suppkey", ["s_suppkey"]), 4), "SELECT s_name AS stage, s_suppkey::DOUBLE AS value, round(100 * s_suppkey / nullif(lag(s_suppkey) OVER (ORDER BY s_suppkey), 0), 4) AS percent_of_previous FROM supplier")
+q("waterfall_chart", lambda t: r(charts.waterfall_chart(t.supplier, "s_name", "s_nationkey", ["s_suppkey"])), "SELECT row_number() OVER (ORDER BY s_suppkey)::INT AS position, s_name AS label, s_nationkey::DOUBLE AS value, (sum(s_nationkey) OVER (ORDER BY s_suppkey) - s_nationkey)::DOUBLE AS start, (sum(s_nationkey) OVER (ORDER BY s_suppkey))::DOUBLE AS \"end\" FROM supplier UNION ALL SELECT (count(*) + 1)::INT, 'Total', sum(s_nationkey)::DOUBLE, 0, sum(s_nationkey)::DOUBLE FROM supplier")
 q("mosaic_marimekko", lambda t: r(charts.mosaic_marimekko(t.orders, "o_orderstatus", "o_orderpriority", "o_totalprice").drop("value")), "WITH c AS (SELECT o_orderstatus AS row, o_orderpriority AS \"column\", sum(o_totalprice) AS v FROM orders WHERE o_totalprice > 0 GROUP BY 1, 2) SELECT row, \"column\", round(sum(v) OVER (PARTITION BY \"column\") / sum(v) OVER (), 6) AS column_share, round(v / sum(v) OVER (PARTITION BY \"column\"), 6) AS row_share FROM c")
 q("pie_donut", lambda t: r(charts.pie_donut(t.customer, "c_mktsegment", "c_acctbal"), 4), "SELECT c_mktsegment AS label, round(sum(c_acctbal), 4) AS value, round(sum(c_acctbal) / sum(sum(c_acctbal)) OVER (), 4) AS share FROM customer GROUP BY 1")
 q("treemap", lambda t: r(charts.treemap(t.customer, "c_mktsegment", "c_acctbal", "c_nationkey").select("label", "color"), 4), "SELECT c_mktsegment AS label, round(avg(c_nationkey), 4) AS color FROM customer GROUP BY 1")
@@ -356,12 +356,12 @@ q("candlestick_chart", lambda t: charts.ohlc(t.events, "ts", "value", "day", ["e
 q("profile", lambda t: r(tables.profile(t.orders).select("column", "rows", "nulls", "distinct", "mean"), 4), "SELECT c AS \"column\", (SELECT count(*) FROM orders) AS rows, 0::BIGINT AS nulls, d AS \"distinct\", round(m, 4) AS mean FROM (SELECT 'o_orderkey' AS c, count(DISTINCT o_orderkey) AS d, avg(o_orderkey) AS m FROM orders UNION ALL SELECT 'o_custkey', count(DISTINCT o_custkey), avg(o_custkey) FROM orders UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus), NULL FROM orders UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice), avg(o_totalprice) FROM orders UNION ALL SELECT 'o_orderdate', count(DISTINCT o_orderdate), NULL FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), NULL FROM orders)")
 q("top_values", lambda t: tables.top_values(t.part, 3, ["p_type", "p_brand"]), "SELECT c AS \"column\", v AS value, n AS count, row_number() OVER (PARTITION BY c ORDER BY n DESC, v)::INT AS rank FROM (SELECT 'p_type' AS c, p_type AS v, count(*) AS n FROM part GROUP BY 2 UNION ALL SELECT 'p_brand', p_brand, count(*) FROM part GROUP BY 2) QUALIFY rank <= 3")
 q("detect_types", lambda t: tables.detect_types(t.part.select(F.concat("p_partkey", F.lit("@x.org")).alias("a"), F.col("p_size").cast("string").alias("b"))).where("rank = 1").select("column", "type", "score"), "SELECT 'a' AS \"column\", 'email' AS type, 1.0::DOUBLE AS score UNION ALL SELECT 'b', 'integer', 1.0")
-q("diff_keyed", lambda t: tables.diff_keyed(t.nation.where("n_nationkey < 20"), t.nation.where("n_nationkey > 4").withColumn("n_name", F.when(F.col("n_nationkey") == 10, "X").otherwise(F.col("n_name"))), "n_nationkey").select("n_nationkey", "change"), "SELECT n_nationkey, CASE WHEN n_nationkey < 5 THEN 'dropped' WHEN n_nationkey = 10 THEN 'changed' ELSE 'added' END AS change FROM nation WHERE n_nationkey < 5 OR n_nationkey >= 20 OR n_nationkey = 10")
-q("diff_unkeyed", lambda t: tables.diff_unkeyed(t.nation.where("n_nationkey < 20"), t.nation.where("n_nationkey > 4")), "SELECT *, CASE WHEN n_nationkey < 5 THEN 'dropped' ELSE 'added' END AS change FROM nation WHERE n_nationkey < 5 OR n_nationkey >= 20")
-q("schema_drift", lambda t: tables.schema_drift(t.nation.withColumn("x", F.lit(1)), t.nation.drop("n_name")).select("column", "change"))
+q("diff_keyed", lambda t: tables.diff_keyed(t.supplier.select("s_suppkey", "s_name").where("s_suppkey % 5 > 0"), t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 10 == 7, "X").otherwise(F.col("s_name")).alias("s_name")).where("s_suppkey % 5 < 4"), "s_suppkey").select("s_suppkey", "change"), "SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 4 THEN 'dropped' WHEN s_suppkey % 5 = 0 THEN 'added' ELSE 'changed' END AS change FROM supplier WHERE s_suppkey % 5 IN (0, 4) OR s_suppkey % 10 = 7")
+q("diff_unkeyed", lambda t: tables.diff_unkeyed(t.supplier.select("s_suppkey", "s_name").where("s_suppkey % 5 > 0"), t.supplier.select("s_suppkey", "s_name").where("s_suppkey % 5 < 4")), "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 5 = 4 THEN 'dropped' ELSE 'added' END AS change FROM supplier WHERE s_suppkey % 5 IN (0, 4)")
+q("schema_drift", lambda t: tables.schema_drift(t.orders.withColumn("x", F.lit(1)), t.orders.drop("o_orderstatus")).select("column", "change"))
 q("row_count_anomaly", lambda t: tables.row_count_anomaly(t.events.groupBy(F.to_date("ts").alias("d")).agg(F.count("*").alias("n")), "d", "n").select("d", "n", "is_anomaly"), "WITH r AS (SELECT ts::DATE AS d, count(*) AS n FROM events GROUP BY 1), m AS (SELECT *, avg(n) OVER w AS m, stddev_pop(n) OVER w AS s, count(n) OVER w AS c FROM r WINDOW w AS (ORDER BY d ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) SELECT d, n, coalesce(c >= 3 AND abs(n - m) >= 0.1 * m AND (abs(n - m) / nullif(s, 0) >= 2 OR (s = 0 AND n <> m)), false) AS is_anomaly FROM m")
 q("freshness", lambda t: tables.freshness(t.events.groupBy("user_id").agg(F.max("ts").alias("last")), "last", 86400, now="2024-01-31 00:00:00").select("user_id", "status"), "SELECT user_id, CASE WHEN a > 86400 THEN 'stale' WHEN a > 69120 THEN 'due' ELSE 'fresh' END AS status FROM (SELECT user_id, epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts))) AS a FROM events GROUP BY 1)")
-q("row_lineage", lambda t: tables.lineage_aggregate(t.nation.withColumn("row_id", F.col("n_nationkey")), ["n_regionkey"], [{"fn": "count", "as": "n"}]), "SELECT n_regionkey, count(*) AS n, list_sort(list(n_nationkey)) AS source_rows FROM nation GROUP BY 1")
+q("row_lineage", lambda t: tables.lineage_aggregate(t.orders.select("o_orderkey", "o_custkey").withColumn("row_id", F.col("o_orderkey")), ["o_custkey"], [{"fn": "count", "as": "n"}]), "SELECT o_custkey, count(*) AS n, list_sort(list(o_orderkey)) AS source_rows FROM orders GROUP BY 1")
 q("overview", lambda t: tables.overview(t.orders).select("operator"))
 
 # geo

@@ -219,3 +219,22 @@ def test_map_match_is_the_nearest_both_ways(spark):
         got = {r.id: r.matched_distance_m for r in map_match(df, ref, "id", "lat", "lon", "rlat", "rlon", "rid", max_reference=most).collect()}
         for p in own:
             assert abs(got[p[0]] - min(metres(p, q) for q in spots)) < 1e-3 * (1 + got[p[0]]), (most, p)
+
+
+def test_kendall_tau_counts_all_pairs(spark):
+    import numpy as np
+
+    from millrace.operators.grouping import correlation_matrix, kendall_tau
+
+    rng = np.random.default_rng(3)
+    x = np.where(rng.random(400) < 0.34, 5, rng.integers(0, 40, 400))
+    y = np.where(rng.random(400) < 0.3, 2, x + rng.integers(0, 30, 400))
+    a, b = np.sign(x[:, None] - x), np.sign(y[:, None] - y)
+    want = (a * b).sum() / np.sqrt(abs(a).sum() * abs(b).sum())
+    df = spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y, strict=True)] + [(None, 1.0), (2.0, None)], "x double, y double")
+    for rows in (50_000, 30):
+        assert abs(kendall_tau(df, "x", "y", rows) - want) < 1e-12
+    got = {(r.col_a, r.col_b): r.r for r in correlation_matrix(df, ["x", "y"], "kendall").collect()}
+    assert got["x", "x"] == 1.0 and abs(got["y", "x"] - want) < 1e-12
+    assert kendall_tau(df.limit(0), "x", "y") is None
+    assert kendall_tau(df.selectExpr("1.0D as x", "y"), "x", "y") is None
