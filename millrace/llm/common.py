@@ -21,6 +21,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z only, whatever the locale."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def as_bytes(column: str) -> Column:
     """UTF-8 bytes: Arrow hands them to Python without decoding."""
     return F.col(column).cast("binary")

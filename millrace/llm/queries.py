@@ -71,6 +71,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.url_filter import judge
+
+    return judge(_read(spark, sf_dir, "pages"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.prefix_trie import trie
+
+    return trie(_read(spark, sf_dir, "conversations"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from millrace.llm.whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_html_wrapper": op2_html_wrapper,
@@ -82,8 +100,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_radix": op8_suffix_radix,
     "op9_toxicity": op9_toxicity,
     "op10_decontamination": op10_decontamination,
+    "op11_url_filter": op11_url_filter,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_whitening": op13_whitening,
 }
 
+#: crc32 of a string's bytes, the polynomial of zip files.
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ascii(x)::BIGINT)), lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda u, v: xor(u >> 1, 3988292384 * (u & 1)))))"
+
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
@@ -131,4 +155,22 @@ ORACLE_SQL = {
         SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
                sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)""",
+    "op12_prefix_trie": f"""
+        WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS i,
+                          sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, length(coalesce(text, '')) AS n
+                   FROM conversations WHERE conv_id IS NOT NULL),
+        c AS (SELECT c, count(*) AS n, c - c % 100 AS base, {_CRC.format("c::VARCHAR")} % 6 AS h FROM t GROUP BY c),
+        p AS (SELECT c.*, least(h, coalesce(b.n, 0)) AS kept FROM c LEFT JOIN (SELECT c AS base, n FROM c) b USING (base)),
+        r AS (SELECT p.c, kept + i - h AS i, k, t.n FROM t JOIN p ON t.c = p.c AND i >= h
+              UNION ALL SELECT p.c, i, k, t.n FROM p JOIN t ON t.c = p.base AND i < kept),
+        m AS (SELECT c, kept + greatest(n - h, 0) AS total FROM p),
+        x AS (SELECT c, i + 1 AS d, n, sha256(string_agg(k, ',') OVER (PARTITION BY c ORDER BY i)) AS name FROM r
+              UNION ALL SELECT c, 0, 0, '' FROM m),
+        g AS (SELECT d, name, min(c) AS c, count(*) AS n_convs, max(x.n) AS n, string_agg(CASE WHEN total = d THEN c::VARCHAR END, ',' ORDER BY c) AS ends FROM x JOIN m USING (c) GROUP BY d, name),
+        u AS (SELECT g.*, q.c AS parent FROM g LEFT JOIN x ON x.c = g.c AND x.d = g.d - 1 LEFT JOIN g q ON q.d = x.d AND q.name = x.name),
+        k AS (SELECT u.d - 1 AS d, x.name, count(*) AS n_children FROM u JOIN x ON x.c = u.c AND x.d = u.d - 1 GROUP BY ALL),
+        v AS (SELECT u.*, coalesce(n_children, 0) AS n_children FROM u LEFT JOIN k USING (d, name)),
+        s AS (SELECT x.d, x.name, sum((v.n_children = 0)::INT) AS n_leaves, sum((v.n_convs - 1) * v.n) AS saved FROM v JOIN x ON x.c = v.c AND x.d <= v.d GROUP BY ALL)
+        SELECT v.c AS conv_id, d AS depth, parent AS parent_conv_id, n_convs, n_children, n_leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+        FROM v JOIN s USING (d, name)""",
 }
