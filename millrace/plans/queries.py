@@ -220,8 +220,12 @@ q("validate_iban", lambda t: scalars.validate_iban(t.part.select("p_partkey", F.
 q("normalize_phone", lambda t: scalars.normalize_phone(t.part.select("p_partkey", F.when(F.col("p_size") < 20, "(212) 555-01" + "99").when(F.col("p_size") < 30, "+49 30 123456").otherwise("12").alias("p")), "p"), "SELECT p_partkey, CASE WHEN p_size < 20 THEN '(212) 555-0199' WHEN p_size < 30 THEN '+49 30 123456' ELSE '12' END AS p, CASE WHEN p_size < 20 THEN '+12125550199' WHEN p_size < 30 THEN '+4930123456' END AS phone_e164, p_size < 30 AS phone_e164_valid FROM part")
 q("timezone_resolve", lambda t: scalars.timezone_resolve(t.customer.select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, "utc").when(F.col("c_custkey") % 3 == 1, "nowhere").otherwise("Etc/GMT+5").alias("z")), "z").select("c_custkey", "tz_valid", "tz_offset_minutes"), "SELECT c_custkey, c_custkey % 3 <> 1 AS tz_valid, CASE c_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN NULL ELSE -300 END::INT AS tz_offset_minutes FROM customer")
 q("hipaa_deidentify", lambda t: scalars.hipaa_deidentify(t.part.select("p_partkey", "p_name", F.lpad(F.col("p_partkey").cast("string"), 5, "0").alias("zip"), (F.col("p_size") * 2).alias("age")), ["p_name"], "zip", "age"), "SELECT p_partkey, lpad(p_partkey::VARCHAR, 5, '0')[1:3] AS zip, CASE WHEN p_size * 2 >= 90 THEN '90+' ELSE (p_size * 2)::VARCHAR END AS age FROM part")
-q("pii_redact", lambda t: scalars.pii_redact(t.part.select("p_partkey", F.expr("'mail ' || p_partkey || '@x.org or 123-45-6789'").alias("s")), ["s"], "email,ssn"), "SELECT p_partkey, 'mail [REDACTED] or [REDACTED]' AS s FROM part")
-q("pii_redact_documents", lambda t: scalars.pii_redact(t.documents.select("doc_id", "text"), ["text"], "email").select("doc_id", F.length("text").alias("n")), r"SELECT doc_id, length(regexp_replace(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,}', '[REDACTED]', 'g')) AS n FROM documents")
+_NUMBERS = "concat('mail a.b+', p_partkey, '@x.org, call (555) 123-', lpad(cast(p_partkey % 10000 as string), 4, '0'), ' or +49 555.123.4567 or 5551234567, ssn 123-45-6789, card 4111 1111-1111 ', lpad(cast(p_partkey % 10000 as string), 4, '0'), ', order 123456789012')"
+q("pii_redact", lambda t: scalars.pii_redact(t.part.select("p_partkey", F.expr(_NUMBERS).alias("s")), ["s"]), "SELECT p_partkey, 'mail [REDACTED], call [REDACTED] or [REDACTED] or [REDACTED], ssn [REDACTED], card [REDACTED], order 123456789012' AS s FROM part")
+_PII_SQL = "text"
+for _p in (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", r"\b\d{3}-\d{2}-\d{4}\b", r"\b\d(?:[ -]?\d){12,15}\b", r"(?:\+\d{1,3}[ .-]?\(?|\b1[ .-]?\(?|\(|\b)\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}\b"):
+    _PII_SQL = f"regexp_replace({_PII_SQL}, '{_p}', '[REDACTED]', 'g')"
+q("pii_redact_documents", lambda t: scalars.pii_redact(t.documents.select("doc_id", "text"), ["text"]).select("doc_id", F.length("text").alias("n"), F.md5("text").alias("digest")), f"SELECT doc_id, length(x) AS n, md5(x) AS digest FROM (SELECT doc_id, {_PII_SQL} AS x FROM documents)")
 q("pseudonymize_seeded", lambda t: scalars.pseudonymize_seeded(t.customer.select("c_custkey", "c_name"), ["c_name"], "seed"))
 q("salt_hash", lambda t: scalars.salt_hash(t.customer.select("c_custkey", "c_name"), ["c_name"], "pepper", 12), "SELECT c_custkey, sha256('pepper' || c_name)[1:12] AS c_name FROM customer")
 q("country_lookup", lambda t: scalars.country_lookup(t.customer.select("c_custkey", "c_nationkey"), t.nation.select(F.substring("n_name", 8, 2).alias("alpha2"), F.col("n_name").alias("alpha3"), F.col("n_nationkey").alias("numeric"), F.lower("n_name").alias("name"), F.col("n_regionkey").alias("region")), "c_nationkey").select("c_custkey", "country_alpha3"), "SELECT c_custkey, n_name AS country_alpha3 FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
@@ -233,7 +237,19 @@ q("keyword_rake", lambda t: r(text.keyword_rake_yake(t.documents, "text", "doc_i
 q("keyword_yake", lambda t: r(text.keyword_rake_yake(t.documents, "text", "doc_id", "yake", 3)))
 q("tfidf", lambda t: r(text.tfidf(t.part.select("p_partkey", "p_name"), "p_name", "p_partkey", 2), 5).drop("rank"), "WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), tf AS (SELECT p_partkey, w, count(*) AS tf FROM w GROUP BY 1, 2), d AS (SELECT w, count(*) AS d FROM tf GROUP BY 1), x AS (SELECT p_partkey, w, tf * (ln((1 + (SELECT count(*) FROM part)) / (1 + d)) + 1) AS x FROM tf JOIN d USING (w)) SELECT p_partkey, w AS term, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_partkey)), 5) AS tfidf FROM x")
 q("sentiment_lexicon", lambda t: r(text.sentiment_lexicon(t.part, t.part.select(F.explode(F.split("p_name", " ")).alias("word")).distinct().withColumn("valence", F.length("word") - 5.5), "p_name", "p_partkey").select("p_partkey", "compound")), "WITH w AS (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w FROM part), s AS (SELECT p_partkey, sum(length(w) - 5.5)::DOUBLE AS s FROM w GROUP BY 1) SELECT p_partkey, round(s / sqrt(s * s + 15), 6) AS compound FROM s")
-q("language_detect", lambda t: r(text.language_detect(t.documents.select("doc_id", "text", "lang"), "text").groupBy("lang").agg(F.mean((F.col("language") == F.col("lang")).cast("double")).alias("share"))))
+q(
+    "language_detect",
+    lambda t: text.language_detect(t.documents.select("doc_id", "text"), "text", profile=text.language_profile(t.documents.where("crc32(cast(doc_id as string)) % 4 <> 2"), "text", "lang")).select("doc_id", "language"),
+    r"""WITH d AS (SELECT doc_id, lang, ' ' || trim(regexp_replace(lower(text), '[^\p{L}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL),
+        g AS (SELECT doc_id, lang, substr(t, unnest(generate_series(1, length(t) - 2)), 3) AS g FROM d WHERE t <> '  '),
+        crc AS (SELECT doc_id, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                       lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda u, v: xor(u >> 1, 3988292384 * (u & 1))))) % 4 AS fold FROM documents),
+        c AS (SELECT lang, g, count(*) AS n FROM g JOIN crc USING (doc_id) WHERE fold <> 2 GROUP BY lang, g QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) <= 20000),
+        v AS (SELECT count(DISTINCT g) AS v FROM c), s AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
+        p AS (SELECT lang, a.g, ln((coalesce(n, 0) + 0.5) / (total + 0.5 * v)) AS p FROM (SELECT DISTINCT g FROM c) a CROSS JOIN s CROSS JOIN v LEFT JOIN c USING (lang, g)),
+        x AS (SELECT doc_id, p.lang, sum(p) AS score FROM g JOIN p ON p.g = g.g GROUP BY ALL)
+        SELECT documents.doc_id, b.lang AS language FROM documents LEFT JOIN (SELECT doc_id, lang FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1) b USING (doc_id)""",
+)
 q("lda_topics", lambda t: text.lda_topics(t.documents.select("doc_id", "text"), "text", 3).groupBy("topic").agg(F.count("*").alias("n")))
 
 # nested
