@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import num
+from millrace.operators.neighbours import knn_join, unit
 from millrace.plans.registry import operator
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "anti_left": "left_anti", "anti_right": "left_anti", "semi": "left_semi"}
@@ -171,16 +172,39 @@ def _neighbours(queries: DataFrame, base: DataFrame, vector: str, label: str, k:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _by_lists(queries: DataFrame, base: DataFrame, vector: str, label: str, k: int, metric: str, include_self: bool, probes: int | None) -> DataFrame:
+    """As _neighbours, by the lists of millrace.operators.neighbours; cosine is Euclidean between vectors of length one."""
+    if metric not in ("cosine", "euclidean"):
+        raise ValueError(f"an index serves cosine and euclidean, not {metric}")
+    v = F.col(vector).cast("array<double>")
+    pick = lambda df: df.select(F.col(label).alias("id"), (unit(v) if metric == "cosine" else v).alias("v"))
+    near = knn_join(pick(queries), pick(base), k, include_self, probes)
+    far = F.col("distance") * F.col("distance") / 2 if metric == "cosine" else F.col("distance")
+    return near.select("source", "neighbour", far.alias("distance"), "rank")
+
+
+def _near(queries: DataFrame, base: DataFrame, vector: str, label: str, k: int, metric: str, include_self: bool, index: str, probes: int) -> DataFrame:
+    if index not in ("none", "bounds", "lists"):
+        raise ValueError(f"unknown index {index}")
+    if index == "none":
+        return _neighbours(queries, base, vector, label, k, metric, include_self)
+    return _by_lists(queries, base, vector, label, k, metric, include_self, probes if index == "lists" else None)
+
+
 @operator(columns=("embedding_column", "label_column"))
-def nearest_neighbors(df: DataFrame, embedding_column: str, label_column: str, k: int = 5, metric: str = "cosine", queries: DataFrame | None = None) -> DataFrame:
-    """(source, neighbour, distance, rank), one row each; a row is not its own neighbour. Queries default to all rows."""
-    return _neighbours(queries if queries is not None else df, df, embedding_column, label_column, k, metric, False)
+def nearest_neighbors(df: DataFrame, embedding_column: str, label_column: str, k: int = 5, metric: str = "cosine", queries: DataFrame | None = None, index: str = "none", probes: int = 16) -> DataFrame:
+    """(source, neighbour, distance, rank), one row each; a row is not its own neighbour. Queries default to all rows.
+
+    index: none compares every query with every row; bounds is as exact, by lists of rows that triangle bounds leave out where
+    they can; lists visits the ``probes`` nearest lists only and may miss neighbours that lie in others.
+    """
+    return _near(queries if queries is not None else df, df, embedding_column, label_column, k, metric, False, index, probes)
 
 
 @operator(columns=("vectorColumn", "labelColumn"))
-def top_k_similar(df: DataFrame, vectorColumn: str, labelColumn: str, k: int = 5, metric: str = "cosine", includeSelf: bool = False, indicesColumn: str = "top_k_indices", scoresColumn: str = "top_k_scores") -> DataFrame:
+def top_k_similar(df: DataFrame, vectorColumn: str, labelColumn: str, k: int = 5, metric: str = "cosine", includeSelf: bool = False, indicesColumn: str = "top_k_indices", scoresColumn: str = "top_k_scores", index: str = "none", probes: int = 16) -> DataFrame:
     """Arrays of the k most similar rows and their scores (cosine and dot: larger is nearer; euclidean: smaller)."""
-    near = _neighbours(df, df, vectorColumn, labelColumn, k, metric, includeSelf)
+    near = _near(df, df, vectorColumn, labelColumn, k, metric, includeSelf, index, probes)
     score = F.col("distance") if metric == "euclidean" else 1 - F.col("distance") if metric == "cosine" else -F.col("distance")
     lists = near.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("rank", "neighbour", score.alias("score")))).alias("x"))
     lists = lists.select(F.col("source").alias("__s"), F.col("x.neighbour").alias(indicesColumn), F.col("x.score").alias(scoresColumn))

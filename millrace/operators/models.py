@@ -6,7 +6,7 @@ from itertools import product
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import dist
@@ -130,32 +130,120 @@ def kmeans(df: DataFrame, key: str, columns: list[str], k: int = 4, scale: bool
     return _rejoin(df, key, scored, [output_column])
 
 
+#: Halvings of a cell's side after which single points are compared.
+MOST_HALVINGS = 16
+
+
+def _square_gap(lo: str, hi: str, lo2: str, hi2: str, far: bool) -> Column:
+    """Square of the least (or greatest) distance between two boxes given by their corners."""
+    sides = F.arrays_zip(*(F.col(c).alias(f"c{i}") for i, c in enumerate((lo, hi, lo2, hi2))))
+    if far:
+        one = lambda x: F.greatest(x["c1"] - x["c2"], x["c3"] - x["c0"])
+    else:
+        one = lambda x: F.greatest(x["c0"] - x["c3"], x["c2"] - x["c1"], F.lit(0.0))
+    return F.aggregate(sides, F.lit(0.0), lambda s, x: s + one(x) * one(x))
+
+
+def _boxes(points: DataFrame, by: list[str], d: int) -> DataFrame:
+    """The corners of the points of each group."""
+    low, high = ([f(F.get("v", F.lit(i))).alias(f"{n}{i}") for i in range(d)] for f, n in ((F.min, "l"), (F.max, "h")))
+    return points.groupBy(*by).agg(*low, *high).select(*by, F.array(*(f"l{i}" for i in range(d))).alias("lo"), F.array(*(f"h{i}" for i in range(d))).alias("hi"))
+
+
+def _cell_pairs(cells: DataFrame, eps: float, d: int) -> DataFrame:
+    """(cid, other) of different cells whose boxes come within eps, both ways; cells meet over buckets of twice eps in the first three columns."""
+    dims = min(3, d)
+    bucket = [F.floor(F.get("lo", F.lit(i)) / (2 * eps)) for i in range(dims)]
+    steps = F.explode(F.array(*(F.array(*(F.lit(o) for o in step)) for step in product((-1, 0, 1), repeat=dims))))
+    a = cells.select("cid", "lo", "hi", F.array(*bucket).alias("bucket"))
+    b = cells.select(F.col("cid").alias("other"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.array(*bucket).alias("at"), steps.alias("step")).withColumn("bucket", F.zip_with("at", "step", lambda x, y: x + y))
+    return a.join(b, "bucket").where("cid <> other").where(_square_gap("lo", "hi", "lo2", "hi2", False) <= eps * eps).select("cid", "other")
+
+
+def _linked(cores: DataFrame, pairs: DataFrame, eps: float, side: float, d: int) -> DataFrame:
+    """(cid, other) of the pairs of cells that hold two core points within eps.
+
+    Boxes of core points decide: wholly within eps, or wholly apart. What neither holds for is halved, both cells' parts, and
+    in the end single points are compared, so that two crowded cells meet by a few boxes and never point by point.
+    """
+    limit = eps * eps
+    near, far = (_square_gap("lo", "hi", "lo2", "hi2", x) for x in (False, True))
+    box = _boxes(cores.withColumn("part", F.array().cast("array<double>")), ["cid", "part"], d)
+    open_pairs = pairs.select("cid", F.array().cast("array<double>").alias("part"), "other", F.array().cast("array<double>").alias("part2"))
+    done = None
+    for level in range(1, MOST_HALVINGS + 2):
+        other = box.select(F.col("cid").alias("other"), F.col("part").alias("part2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+        judged = settle(open_pairs.join(box, ["cid", "part"]).join(other, ["other", "part2"]).where(near <= limit).withColumn("sure", far <= limit), "dbscan-boxes")
+        sure = judged.where("sure").select("cid", "other").distinct()
+        done = sure if done is None else done.unionByName(sure)
+        unsure = settle(judged.where("not sure").join(sure, ["cid", "other"], "left_anti").select("cid", "part", "other", "part2"), "dbscan-unsure")
+        if not unsure.limit(1).count() or level > MOST_HALVINGS:
+            break
+        cells = unsure.select("cid").unionByName(unsure.select(F.col("other").alias("cid"))).distinct()
+        step = side / 2**level
+        at = lambda s: F.transform("v", lambda x: F.floor(x / s).cast("double"))
+        parent = F.array().cast("array<double>") if level == 1 else at(2 * step)
+        part = at(step) if level < MOST_HALVINGS else F.col("v")
+        inside = cores.join(cells, "cid", "left_semi").select("cid", "v", parent.alias("parent"), part.alias("part"))
+        split = settle(_boxes(inside, ["cid", "parent", "part"], d), "dbscan-parts")
+        one = split.select("cid", F.col("parent").alias("part"), F.col("part").alias("new"))
+        two = split.select(F.col("cid").alias("other"), F.col("parent").alias("part2"), F.col("part").alias("new2"))
+        open_pairs = unsure.join(one, ["cid", "part"]).join(two, ["other", "part2"]).select("cid", F.col("new").alias("part"), "other", F.col("new2").alias("part2"))
+        box = split.select("cid", "part", "lo", "hi")
+    return done
+
+
 @operator()
 def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_samples: int = 5, scale: bool = True, output_column: str = "cluster") -> DataFrame:
-    """Density clusters named by their least key, -1 for noise, NULL for incomplete rows.
+    """Density clusters named by the least key of their core points, -1 for noise, NULL for rows with a missing or infinite value.
 
-    Points meet only those in neighbouring cells of an eps grid over the first three columns; cores are joined into components.
+    Points fall into cells whose diagonal is eps. All points of a cell with min_samples points are cores, uncounted; only
+    points of sparser cells are compared with the points of cells around. Cores of one cell belong together, so cells are what
+    is joined into clusters, by boxes around their cores. A border point goes to the cluster of the least name. Labels have
+    the key's type; repeated keys are rows of their own.
     """
-    stats = {f"m{i}": F.mean(num(c)) for i, c in enumerate(columns)} | {f"s{i}": F.stddev_pop(num(c)) for i, c in enumerate(columns)}
-    base = with_stats(df.dropna(subset=columns), **{f"__{k}": v for k, v in stats.items()})
-    unit = lambda i, c: (num(c) - F.col(f"__m{i}")) / F.when(F.coalesce(f"__s{i}", F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"__s{i}")) if scale else num(c)
-    pts = settle(base.select(F.col(key).alias("k"), F.array(*(unit(i, c) for i, c in enumerate(columns))).alias("v")), "dbscan-points")
-    dims = min(3, len(columns))
-    cell = [F.floor(F.get("v", F.lit(i)) / eps) for i in range(dims)]
-    near = F.explode(F.array(*(F.struct(*(F.lit(o[i]).alias(f"o{i}") for i in range(dims))) for o in product((-1, 0, 1), repeat=dims))))
-    a = pts.select(F.col("k").alias("a"), F.col("v").alias("x"), near.alias("o"), *(c.alias(f"d{i}") for i, c in enumerate(cell))).select("a", "x", *((F.col(f"d{i}") + F.col(f"o.o{i}")).alias(f"c{i}") for i in range(dims)))
-    b = pts.select(F.col("k").alias("b"), F.col("v").alias("y"), *(c.alias(f"c{i}") for i, c in enumerate(cell)))
-    gap = F.aggregate(F.zip_with("x", "y", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t)
-    pairs = settle(a.join(b, [f"c{i}" for i in range(dims)]).where(gap <= float(eps * eps)).select("a", "b"), "dbscan-pairs")
-    cores = settle(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("core")), "dbscan-cores")
-    links = pairs.join(cores, pairs["a"] == cores["core"], "left_semi").join(cores, pairs["b"] == cores["core"], "left_semi")
-    comp = connected_components(links, "a", "b")
-    border = pairs.join(comp, pairs["b"] == comp["node"]).groupBy("a").agg(F.min("component").alias("c"))
-    label = border.join(comp.select(F.col("node").alias("a"), "component"), "a", "left").select(F.col("a").alias("__k"), F.coalesce("component", "c").alias("__c"))
-    whole = F.col(columns[0]).isNotNull()
-    for c in columns[1:]:
-        whole = whole & F.col(c).isNotNull()
-    return df.join(label, df[key] == F.col("__k"), "left").withColumn(output_column, F.when(whole, F.coalesce(F.col("__c").cast("long"), F.lit(-1)))).drop("__k", "__c")
+    d, own = len(columns), settle(df.withColumn("__row", F.monotonically_increasing_id()), "dbscan-rows")
+    values = [num(c) for c in columns]
+    whole = F.lit(True)
+    for v in values:
+        whole = whole & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf"))
+    complete = own.where(whole)
+    stats = {f"m{i}": F.mean(v) for i, v in enumerate(values)} | {f"s{i}": F.stddev_pop(v) for i, v in enumerate(values)}
+    base = with_stats(complete, **{f"__{k}": v for k, v in stats.items()})
+    unit = lambda i, v: (v - F.col(f"__m{i}")) / F.when(F.coalesce(f"__s{i}", F.lit(0.0)) == 0, 1.0).otherwise(F.col(f"__s{i}")) if scale else v
+    side = float(eps) / d**0.5 * (1 - 1e-9)
+    pts = settle(base.select(F.col("__row").alias("row"), F.col(key).alias("k"), F.array(*(unit(i, v) for i, v in enumerate(values))).alias("v")).withColumn("cell", F.transform("v", lambda x: F.floor(x / side))), "dbscan-points")
+    sizes = pts.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+    cells = _boxes(pts, ["cell"], d).join(sizes, "cell")
+    cells = settle(settle(cells, "dbscan-cells").select(F.monotonically_increasing_id().alias("cid"), "*"), "dbscan-cells")
+    pts = settle(pts.join(cells.select("cell", "cid", (F.col("n") >= min_samples).alias("dense")), "cell").select("row", "k", "v", "cid", "dense"), "dbscan-points")
+    pairs = settle(_cell_pairs(cells, float(eps), d), "dbscan-pairs")
+
+    sparse = pts.where("not dense").select("row", "cid", F.col("v").alias("x"))
+    around = pairs.unionByName(cells.select("cid", F.col("cid").alias("other")))
+    gap = F.aggregate(F.zip_with("x", "v", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, t: s + t)
+    asked = sparse.join(around, "cid").select("row", "x", "other")
+    hits = asked.join(pts.select(F.col("cid").alias("other"), "v"), "other").where(gap <= float(eps * eps)).groupBy("row", "other").agg(F.count(F.lit(1)).alias("n"))
+    hits = settle(hits, "dbscan-hits")
+    counted = hits.groupBy("row").agg((F.sum("n") >= min_samples).alias("core"))
+    pts = settle(pts.join(counted, "row", "left").withColumn("core", F.col("dense") | F.coalesce("core", F.lit(False))), "dbscan-cores")
+    cores = pts.where("core")
+
+    links = _linked(cores.select("cid", "v"), pairs.where("cid < other"), float(eps), side, d)
+    comp = connected_components(links, "cid", "other").withColumnRenamed("node", "cid")
+    held = cores.groupBy("cid").agg(F.min("k").alias("least")).join(comp, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    label = held.join(held.groupBy("component").agg(F.min("least").alias("label")), "component").select("cid", "label")
+    label = settle(label, "dbscan-labels")
+
+    border = pts.where("not core").select("row", F.col("v").alias("x"))
+    dense = cells.where(F.col("n") >= min_samples).select(F.col("cid").alias("other"))
+    by_cell = hits.join(border.select("row"), "row", "left_semi").join(dense, "other", "left_semi").select("row", "other")
+    by_point = border.join(hits.select("row", "other"), "row").join(cores.where("not dense").select(F.col("cid").alias("other"), "v"), "other").where(gap <= float(eps * eps)).select("row", "other")
+    edge = by_cell.unionByName(by_point).join(label.withColumnRenamed("cid", "other"), "other").groupBy("row").agg(F.min("label").alias("__label"))
+    inner = cores.join(label, "cid").select("row", F.col("label").alias("__label"))
+    found = inner.unionByName(edge).withColumnRenamed("row", "__row")
+    noise = F.lit(-1).cast(df.schema[key].dataType)
+    return own.join(found, "__row", "left").withColumn(output_column, F.when(whole, F.coalesce("__label", noise))).drop("__row", "__label")
 
 
 @operator()
@@ -315,10 +403,10 @@ def calibration_curve(df: DataFrame, actualColumn: str, probaColumn: str, bins:
 
 def _by_score(df: DataFrame, actual: str, score: str, key: str, positive: str) -> DataFrame:
     """Rows numbered by falling score (ties by key), without one task for all."""
-    from millrace.operators.rows import _numbered
+    from millrace.operators.rows import numbered
 
     rows = df.select(F.col(key).alias("k"), (F.col(actual).cast("string") == positive).cast("int").alias("y"), num(score).alias("p")).dropna()
-    return _numbered(rows, [{"column": "p", "desc": True}, "k"], "rn").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))))
+    return numbered(rows, [{"column": "p", "desc": True}, "k"], "rn").crossJoin(F.broadcast(rows.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("pos"))))
 
 
 @operator()

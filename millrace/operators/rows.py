@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import num, order, safe_expr
+from millrace.operators.neighbours import knn_join
 from millrace.plans.registry import operator
 from millrace.scratch import settle
 
@@ -35,7 +36,7 @@ def _shuffled(seed: int, order_by: list | None = None) -> Column:
     return F.xxhash64(F.lit(seed), *order_by) if order_by else F.rand(seed)
 
 
-def _numbered(df: DataFrame, order_by: list, name: str = "__rn") -> DataFrame:
+def numbered(df: DataFrame, order_by: list, name: str = "__rn") -> DataFrame:
     """Consecutive numbers from 1 in a global order, without one task for all rows: range-sorted partitions plus their offsets."""
     ordered = df.orderBy(*order(order_by)).withColumn("__part", F.spark_partition_id()).withColumn("__id", F.monotonically_increasing_id())
     ordered = settle(ordered, "numbered")  # written, so that the offsets fit also after an executor is lost
@@ -83,7 +84,7 @@ def sample_reservoir(df: DataFrame, sampleSize: int = 1000, seed: int = 42, orde
 @operator()
 def sample_systematic(df: DataFrame, order_by: list, sampleSize: int = 1000, seed: int = 42, every: int | None = None) -> DataFrame:
     """Every k-th row from a start that the seed sets, k = rows // sampleSize or ``every``."""
-    rows = _numbered(df, order_by)
+    rows = numbered(df, order_by)
     k = F.lit(max(2, every)) if every else F.greatest(F.lit(1), F.floor(F.col("__all") / sampleSize))
     if not every:
         rows = rows.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__all"))))
@@ -121,7 +122,7 @@ def train_test_split(df: DataFrame, key: list[str], test_size: float = 0.2, stra
     if stratify_by:
         ranked = df.withColumn("__rn", F.row_number().over(w)).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(stratify_by)))
     else:
-        ranked = _numbered(df.withColumn("__h", F.xxhash64(F.lit(seed), *key)), ["__h", *key]).drop("__h").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__n"))))
+        ranked = numbered(df.withColumn("__h", F.xxhash64(F.lit(seed), *key)), ["__h", *key]).drop("__h").crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("__n"))))
     return ranked.withColumn(output_column, F.when(F.col("__rn") <= F.ceil(F.col("__n") * test_size), "test").otherwise("train")).drop("__rn", "__n")
 
 
@@ -131,43 +132,46 @@ def kfold_split(df: DataFrame, key: list[str], n_splits: int = 5, stratify_by: s
     if stratify_by:
         ranked = df.withColumn("__rn", F.row_number().over(Window.partitionBy(stratify_by).orderBy(F.xxhash64(F.lit(seed), *key), *key)))
     else:
-        ranked = _numbered(df.withColumn("__h", F.xxhash64(F.lit(seed), *key)), ["__h", *key]).drop("__h")
+        ranked = numbered(df.withColumn("__h", F.xxhash64(F.lit(seed), *key)), ["__h", *key]).drop("__h")
     return ranked.withColumn(output_column, ((F.col("__rn") - 1) % n_splits).cast("int")).drop("__rn")
 
 
 @operator(columns=("targetColumn", "featureColumns"))
 def smote_oversample(df: DataFrame, targetColumn: str, featureColumns: list[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """Classes are filled up to the largest with points between a row and one of its k nearest of the class.
+    """Classes are filled up to the largest with points between a row and one of its k nearest of the class (true neighbours, by an exact search).
 
-    Neighbours are found inside cells of about 1,000 rows of a class, cut by random projections.
+    Each complete row of a class gives as many points as any other, or one more; which rows, neighbours and places between them follow
+    seeded hashes, so reruns on the same files agree. Ties between neighbours are broken by place in the table. Rows lacking a feature
+    stay but give no points; a class with a single complete row repeats it, one without any stays as it is; a NULL class is a class.
     """
-    cols = [targetColumn, *featureColumns]
-    counts = df.groupBy(targetColumn).agg(F.count(F.lit(1)).alias("__n")).withColumn("__most", F.max("__n").over(Window.partitionBy()))
-    small = df.select(*cols).dropna(subset=featureColumns).join(F.broadcast(counts), targetColumn).where("__n < __most")
-    direction = sum(((num(c)) * float(((seed * 2654435761 + i * 40503) % 1000) / 1000 - 0.5) for i, c in enumerate(featureColumns)), F.lit(0.0))
-    small = small.withColumn("__cell", F.floor(F.percent_rank().over(Window.partitionBy(targetColumn).orderBy(direction)) * F.ceil(F.col("__n") / 1000)))
-
-    def fill(pdf):
-        import numpy as np
-        import pandas as pd
-
-        rng = np.random.default_rng(seed)
-        x = pdf[featureColumns].to_numpy(float)
-        need = int(round((pdf["__most"].iloc[0] - pdf["__n"].iloc[0]) * len(pdf) / pdf["__n"].iloc[0]))
-        if need <= 0 or len(x) < 2:
-            return pdf.head(0)[cols]
-        d = ((x[:, None] - x[None]) ** 2).sum(-1)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1)[:, : min(k, len(x) - 1)]
-        a = rng.integers(len(x), size=need)
-        b = near[a, rng.integers(near.shape[1], size=need)]
-        new = x[a] + rng.random((need, 1)) * (x[b] - x[a])
-        return pd.DataFrame({targetColumn: pdf[targetColumn].iloc[0], **{c: new[:, i] for i, c in enumerate(featureColumns)}})[cols]
-
-    kind = f"`{targetColumn}` {dict(df.dtypes)[targetColumn]}, " + ", ".join(f"`{c}` double" for c in featureColumns)
-    made = small.groupBy(targetColumn, "__cell").applyInPandas(fill, kind)
+    x = [num(c) for c in featureColumns]
+    counts = df.groupBy(F.col(targetColumn).alias("__y")).agg(F.count(F.lit(1)).alias("n")).collect()
+    most = max((r.n for r in counts), default=0)
+    whole = settle(df.withColumn("__v", F.array(*x)).where(~F.exists("__v", lambda v: v.isNull() | F.isnan(v))).select(F.col(targetColumn).alias("__y"), "__v"), "smote-rows")
+    made = []
+    for c in counts:
+        if c.n == most:
+            continue
+        rows = numbered(whole.where(F.col("__y").eqNullSafe(F.lit(c["__y"]))).select("__v", F.xxhash64(F.lit(seed), "__v").alias("__h")), ["__h", "__v"], "id").select("id", F.col("__v").alias("v"))
+        rows = settle(rows, "smote-class")
+        n = rows.count()
+        if not n:
+            continue
+        need, rest = divmod(most - c.n, n)
+        near = knn_join(rows, rows, k).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour")))["neighbour"].alias("near"))
+        seeds = rows.withColumn("copies", F.lit(need) + F.when(F.col("id") <= rest, 1).otherwise(0)).where("copies > 0")
+        each = seeds.join(near, seeds["id"] == near["source"], "left").select("id", "v", "near", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        one = F.coalesce(F.get("near", F.pmod(F.xxhash64(F.lit(seed), F.lit(1), "id", "copy"), F.greatest(F.size("near"), F.lit(1))).cast("int")), F.col("id"))
+        share = F.pmod(F.xxhash64(F.lit(seed), F.lit(2), "id", "copy"), F.lit(1 << 30)) / float(1 << 30)
+        ends = each.withColumns({"__other": one, "__share": share}).join(rows.select(F.col("id").alias("__other"), F.col("v").alias("w")), "__other")
+        between = F.zip_with("v", "w", lambda a, b: b - a)
+        ends = ends.withColumn("__new", F.zip_with("v", F.transform(between, lambda d: d * F.col("__share")), lambda a, d: a + d))
+        made.append(ends.select(F.lit(c["__y"]).cast(df.schema[targetColumn].dataType).alias(targetColumn), *(F.get("__new", F.lit(i)).alias(f) for i, f in enumerate(featureColumns))))
     base = df.select(targetColumn, *(num(c).alias(c) for c in featureColumns))
-    return base.withColumn("synthetic", F.lit(False)).unionByName(made.withColumn("synthetic", F.lit(True)))
+    out = base.withColumn("synthetic", F.lit(False))
+    for points in made:
+        out = out.unionByName(points.withColumn("synthetic", F.lit(True)))
+    return out
 
 
 @operator()
@@ -191,5 +195,5 @@ def preview(df: DataFrame, method: str = "head", size: int = 500, every_n: int =
     if method == "bootstrap":
         total = df.count()
         draws = df.sparkSession.range(size).select((F.floor(F.rand(seed) * total) + 1).alias("__rn"))
-        return _numbered(df, order_by or [df.columns[0]]).join(F.broadcast(draws), "__rn").drop("__rn")
+        return numbered(df, order_by or [df.columns[0]]).join(F.broadcast(draws), "__rn").drop("__rn")
     return sample_rows(df, "head", size, order_by=order_by)

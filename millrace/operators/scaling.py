@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import finite, num, numeric_columns, percentile, with_stats
+from millrace.operators.neighbours import knn_join
+from millrace.operators.rows import numbered
 from millrace.plans.registry import operator
+from millrace.scratch import settle
 
 
 def _scaled(df: DataFrame, stats: dict, new: dict) -> DataFrame:
@@ -85,37 +88,32 @@ def impute_mean_median_mode(df: DataFrame, columns: list[str], strategy: str = "
 
 @operator(columns=("columns",))
 def impute_knn(df: DataFrame, columns: list[str], key: str, k: int = 5) -> DataFrame:
-    """The mean of the k nearest rows by distance over the columns that both have, scaled for those that they lack.
+    """Missing values become the mean over the k nearest complete rows, by Euclidean distance over the columns that the row has; ties go to the least key.
 
-    Incomplete rows meet complete ones in blocks; each block keeps its best k, so pairs never leave a task.
+    One exact search by lists for each pattern of missing columns. Rows without any value take the mean over
+    the k complete rows of least key; without any complete row nothing is filled in. Repeated keys are filled each by its own
+    values; a NULL key asks like any other.
     """
-    spark, parts = df.sparkSession, 4 * df.sparkSession.sparkContext.defaultParallelism
-    vec = F.array(*(num(c) for c in columns))
-    rows = df.select(F.col(key).alias("k"), vec.alias("v"))
-    holes = F.exists("v", lambda x: x.isNull())
-    asked = rows.where(holes).withColumn("b", F.pmod(F.xxhash64("k"), F.lit(parts))).groupBy("b").agg(F.collect_list(F.struct("k", "v")).alias("q"))
-    known = rows.where(~holes).withColumn("p", F.pmod(F.xxhash64("k"), F.lit(parts))).groupBy("p").agg(F.collect_list("v").alias("w"))
-    kind = dict(df.dtypes)[key]
-
-    def best(frames):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in frames:
-            for q, w in zip(pdf["q"], pdf["w"], strict=True):
-                y = np.array([list(r) for r in w], float)
-                for r in q:
-                    x = np.array([np.nan if v is None else v for v in r["v"]], float)
-                    seen = ~np.isnan(x)
-                    d = np.sqrt(((y[:, seen] - x[seen]) ** 2).sum(1) * len(x) / max(1, seen.sum())) if seen.any() else np.zeros(len(y))
-                    at = np.argsort(d, kind="stable")[:k]
-                    yield pd.DataFrame({"k": [r["k"]] * len(at), "d": d[at], "w": [list(y[i]) for i in at]})
-
-    del spark
-    near = asked.crossJoin(known).mapInPandas(best, f"k {kind}, d double, w array<double>")
-    near = near.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("d", "w"))).where(F.col("rn") <= k)
-    means = near.groupBy("k").agg(*(F.mean(F.get("w", F.lit(i))).alias(f"__v{i}") for i in range(len(columns))))
-    return df.join(means, df[key] == means["k"], "left").withColumns({c: F.coalesce(num(c), F.col(f"__v{i}")) for i, c in enumerate(columns)}).select(*df.columns)
+    values = [F.when(~F.isnan(num(c)), num(c)) for c in columns]
+    own = settle(df.withColumns({"__pattern": F.array(*(v.isNull() for v in values)), "__values": F.array(*values), "__row": F.monotonically_increasing_id()}), "impute-rows")
+    holes = own.where(F.array_contains("__pattern", True))
+    # numbered in the order of keys, so that the least number is the least key
+    complete = settle(numbered(own.where(~F.array_contains("__pattern", True)), [key, "__row"], "__n").select("__n", "__values"), "impute-complete")
+    found = []
+    for (pattern,) in holes.select("__pattern").distinct().collect():
+        asked = holes.where(F.col("__pattern") == F.array(*(F.lit(x) for x in pattern)))
+        seen = [i for i, gone in enumerate(pattern) if not gone]
+        if seen:
+            part = F.array(*(F.get("__values", F.lit(i)) for i in seen))
+            near = knn_join(asked.select(F.col("__row").alias("id"), part.alias("v")), complete.select(F.col("__n").alias("id"), part.alias("v")), k, include_self=True)
+            found.append(near.select(F.col("source").alias("__row"), F.col("neighbour").alias("__n")).join(complete, "__n").select("__row", "__values"))
+        else:
+            first = complete.where(F.col("__n") <= k).select("__values")
+            found.append(asked.select("__row").crossJoin(F.broadcast(first)))
+    if not found:
+        return df
+    means = reduce(DataFrame.unionByName, found).groupBy("__row").agg(*(F.mean(F.get("__values", F.lit(i))).alias(f"__v{i}") for i in range(len(columns))))
+    return own.join(means, "__row", "left").withColumns({c: F.coalesce(v, F.col(f"__v{i}")) for i, (c, v) in enumerate(zip(columns, values, strict=True))}).select(*df.columns)
 
 
 @operator(columns=("columns",))

@@ -89,7 +89,7 @@ q("sample_reservoir", lambda t: rows.sample_reservoir(t.events, 300, order_by=["
 q("sample_systematic", lambda t: rows.sample_systematic(t.orders, ["o_orderkey"], every=50), "SELECT * FROM orders QUALIFY (row_number() OVER (ORDER BY o_orderkey) - 1) % 50 = 0")
 q("sample_weighted", lambda t: rows.sample_weighted(t.part, "p_retailprice", 200, order_by=["p_partkey"]))
 q("undersample", lambda t: grouping.group_aggregate(rows.undersample(t.labels, "toxic", order_by=["doc_id"]), [{"fn": "count", "as": "n"}], ["toxic"]), "SELECT toxic, (SELECT min(n) FROM (SELECT count(*) AS n FROM labels GROUP BY toxic)) AS n FROM labels GROUP BY toxic")
-q("smote_oversample", lambda t: rows.smote_oversample(t.customer.withColumn("y", (F.col("c_nationkey") < 5).cast("int")), "y", ["c_acctbal", "c_custkey"]).groupBy("y").agg(F.count("*").alias("n")))
+q("smote_oversample", lambda t: rows.smote_oversample(t.customer.withColumn("y", (F.col("c_nationkey") < 5).cast("int")), "y", ["c_acctbal", "c_custkey"]).groupBy("y").agg(F.count("*").alias("n")), "SELECT y, (max(n) OVER ())::BIGINT AS n FROM (SELECT (c_nationkey < 5)::INT AS y, count(*) AS n FROM customer GROUP BY 1)")
 q("train_test_split", lambda t: rows.train_test_split(t.orders, ["o_orderkey"], 0.2, "o_orderstatus").groupBy("o_orderstatus", "split").agg(F.count("*").alias("n")), "SELECT o_orderstatus, s AS split, CASE s WHEN 'test' THEN ceil(n * 0.2)::BIGINT ELSE n - ceil(n * 0.2)::BIGINT END AS n FROM (SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1), (VALUES ('test'), ('train')) v(s)")
 q("kfold_split", lambda t: rows.kfold_split(t.orders, ["o_orderkey"], 5).groupBy("fold").agg(F.count("*").alias("n")), "SELECT f::INT AS fold, (n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END) AS n FROM (SELECT count(*) AS n FROM orders), range(5) x(f)")
 q("preview_per_group", lambda t: rows.preview(t.orders, "per_group", 3, column="o_orderpriority", order_by=["o_orderkey"]), "SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 3")
@@ -111,7 +111,9 @@ q("except", lambda t: joins.except_(t.orders.select("o_orderkey"), t.lineitem.se
 q("lookup_join", lambda t: joins.lookup_join(t.customer.select("c_custkey", F.col("c_nationkey").cast("string").alias("code")), t.nation, "code", ["n_nationkey", "n_name"], ["n_name", "n_regionkey"]), "SELECT c_custkey, c_nationkey::VARCHAR AS code, n_name, n_regionkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 q("asof_join", lambda t: joins.asof_join(t.events.where("event_type = 'purchase'").select("event_id", "user_id", "ts"), t.events.where("event_type = 'click'").select("user_id", F.col("ts").alias("click_ts"), F.col("event_id").alias("click_id")), "ts", "click_ts", ["user_id"]), "SELECT p.event_id, p.user_id, p.ts, c.ts AS click_ts, c.event_id AS click_id FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.ts")
 q("nearest_neighbors", lambda t: joins.nearest_neighbors(t.embeddings, "embedding", "vec_id", 5, queries=t.embeddings.where("vec_id % 100 = 0")).drop("distance"), "SELECT a.vec_id AS source, b.vec_id AS neighbour, row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY rank <= 5")
-q("top_k_similar", lambda t: joins.top_k_similar(t.embeddings, "embedding", "vec_id", 3).select("vec_id", "top_k_indices"))
+q("top_k_similar", lambda t: joins.top_k_similar(t.embeddings, "embedding", "vec_id", 3).select("vec_id", F.explode("top_k_indices").alias("neighbour")), "SELECT a.vec_id, b.vec_id AS neighbour FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) <= 3")
+q("nearest_neighbors_bounds", lambda t: joins.nearest_neighbors(t.embeddings, "embedding", "vec_id", 5, "euclidean", queries=t.embeddings.where("vec_id % 100 = 0"), index="bounds").select("source", "neighbour", F.round("distance", 6).alias("distance")), "SELECT a.vec_id AS source, b.vec_id AS neighbour, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), b.vec_id) <= 5")
+q("nearest_neighbors_lists", lambda t: joins.nearest_neighbors(t.embeddings, "embedding", "vec_id", 5, queries=t.embeddings.where("vec_id % 100 = 0"), index="lists"))
 q("distance_matrix", lambda t: r(joins.distance_matrix(t.embeddings, "embedding", "vec_id", queries=t.embeddings.where("vec_id % 100 = 0"))), "SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0")
 
 # grouping
@@ -247,7 +249,8 @@ q(
         c AS (SELECT lang, g, count(*) AS n FROM g JOIN crc USING (doc_id) WHERE fold <> 2 GROUP BY lang, g QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, g) <= 20000),
         v AS (SELECT count(DISTINCT g) AS v FROM c), s AS (SELECT lang, sum(n) AS total FROM c GROUP BY lang),
         p AS (SELECT lang, a.g, ln((coalesce(n, 0) + 0.5) / (total + 0.5 * v)) AS p FROM (SELECT DISTINCT g FROM c) a CROSS JOIN s CROSS JOIN v LEFT JOIN c USING (lang, g)),
-        x AS (SELECT doc_id, p.lang, sum(p) AS score FROM g JOIN p ON p.g = g.g GROUP BY ALL)
+        h AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY doc_id, g),
+        x AS (SELECT doc_id, p.lang, sum(n * p) AS score FROM h JOIN p ON p.g = h.g GROUP BY ALL)
         SELECT documents.doc_id, b.lang AS language FROM documents LEFT JOIN (SELECT doc_id, lang FROM x QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, lang) = 1) b USING (doc_id)""",
 )
 q("lda_topics", lambda t: text.lda_topics(t.documents.select("doc_id", "text"), "text", 3).groupBy("topic").agg(F.count("*").alias("n")))
@@ -283,7 +286,11 @@ q("scale_robust", lambda t: r(scaling.scale_robust(t.customer.select("c_custkey"
 q("polynomial_features", lambda t: r(scaling.polynomial_features(t.part.select("p_partkey", "p_size", "p_retailprice"), ["p_size", "p_retailprice"]), 4), "SELECT p_partkey, p_size, round(p_retailprice, 4) AS p_retailprice, pow(p_size, 2)::DOUBLE AS p_size_pow2, round(pow(p_retailprice, 2), 4) AS p_retailprice_pow2, round(p_size * p_retailprice, 4) AS p_size_x_p_retailprice FROM part")
 q("yeo_johnson", lambda t: r(scaling.yeo_johnson(t.events.select("event_id", "value"), ["value"]), 2))
 q("impute_mean_median_mode", lambda t: scaling.impute_mean_median_mode(t.part.select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_size")).alias("n"), F.when(F.col("p_size") > 10, F.col("p_type")).alias("s")), ["n", "s"]), "WITH p AS (SELECT p_partkey, CASE WHEN p_size > 10 THEN p_size END AS n, CASE WHEN p_size > 10 THEN p_type END AS s FROM part) SELECT p_partkey, coalesce(n::DOUBLE, (SELECT median(n)::DOUBLE FROM p)) AS n, coalesce(s, (SELECT s FROM p WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)) AS s FROM p")
-q("impute_knn", lambda t: r(scaling.impute_knn(t.supplier.select("s_suppkey", F.when(F.col("s_suppkey") % 7 > 0, F.col("s_acctbal")).alias("b"), F.col("s_nationkey").cast("double").alias("n")), ["b", "n"], "s_suppkey"), 4))
+q("impute_knn", lambda t: r(scaling.impute_knn(t.customer.select("c_custkey", F.when(F.col("c_custkey") % 7 > 0, F.col("c_acctbal")).alias("b"), F.col("c_nationkey").cast("double").alias("n"), F.col("c_custkey").cast("double").alias("c")), ["b", "n", "c"], "c_custkey"), 4),
+  """WITH x AS (SELECT c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_acctbal END AS b, c_nationkey::DOUBLE AS n, c_custkey::DOUBLE AS c FROM customer),
+     p AS (SELECT q.c_custkey, w.b FROM x q JOIN x w ON q.b IS NULL AND w.b IS NOT NULL QUALIFY row_number() OVER (PARTITION BY q.c_custkey ORDER BY (q.n - w.n) ** 2 + (q.c - w.c) ** 2, w.c_custkey) <= 5),
+     m AS (SELECT c_custkey, avg(b) AS b FROM p GROUP BY c_custkey)
+     SELECT c_custkey, round(coalesce(x.b, m.b), 4) AS b, n, c FROM x LEFT JOIN m USING (c_custkey)""")
 q("impute_mice", lambda t: r(scaling.impute_mice(t.part.select("p_partkey", F.when(F.col("p_partkey") % 5 > 0, F.col("p_retailprice")).alias("b"), F.col("p_size").cast("double").alias("n"), F.col("p_partkey").cast("double").alias("k")), ["b", "n", "k"]), 1))
 
 # statistics
@@ -321,7 +328,18 @@ q("glm_probit", lambda t: r(models.glm_probit(t.part.withColumn("y", (F.col("p_s
 q("glm_poisson", lambda t: r(models.glm_poisson(t.lineitem, "l_linenumber", ["l_tax"]).select("term", "estimate"), 3))
 q("pca", lambda t: r(models.pca(t.lineitem, "l_orderkey", ["l_quantity", "l_extendedprice", "l_tax"], ratios=True), 4))
 q("kmeans", lambda t: models.kmeans(t.customer, "c_custkey", ["c_acctbal", "c_nationkey"], 3, report=True).select("size"))
-q("dbscan", lambda t: models.dbscan(t.supplier, "s_suppkey", ["s_acctbal", "s_nationkey"], 0.4, 4).select("s_suppkey", "cluster"))
+q(
+    "dbscan",
+    lambda t: models.dbscan(t.customer.select("c_custkey", "c_acctbal", "c_nationkey"), "c_custkey", ["c_acctbal", "c_nationkey"], 0.06, 5).select("c_custkey", "cluster"),
+    """WITH RECURSIVE p AS (SELECT c_custkey AS k, (c_acctbal - avg(c_acctbal) OVER ()) / stddev_pop(c_acctbal) OVER () AS x, (c_nationkey - avg(c_nationkey) OVER ()) / stddev_pop(c_nationkey) OVER () AS y FROM customer),
+       e AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.06 ** 2),
+       c AS (SELECT a AS k FROM e GROUP BY a HAVING count(*) >= 5),
+       l AS (SELECT a, b FROM e WHERE a IN (FROM c) AND b IN (FROM c)),
+       w AS (SELECT k AS a, k AS b FROM c UNION SELECT w.a, l.b FROM w JOIN l ON w.b = l.a),
+       n AS (SELECT b AS k, min(a) AS label FROM w GROUP BY b),
+       d AS (SELECT e.a AS k, min(label) AS label FROM e JOIN n ON e.b = n.k WHERE e.a NOT IN (FROM c) GROUP BY e.a)
+       SELECT c_custkey, coalesce(n.label, d.label, -1) AS cluster FROM customer LEFT JOIN n ON n.k = c_custkey LEFT JOIN d ON d.k = c_custkey""",
+)
 q("semantic_cluster", lambda t: models.semantic_cluster(t.embeddings, "vec_id", "embedding", 4).groupBy("cluster").agg(F.count("*").alias("n")))
 q("permutation_importance", lambda t: models.permutation_importance(t.part.withColumn("y", F.col("p_size") * 2.0), "y", ["p_size", "p_retailprice"], "regression", 1).select("feature", "rank"))
 q("partial_dependence", lambda t: models.partial_dependence(t.part.withColumn("y", F.col("p_size") * 2.0), "y", ["p_size", "p_retailprice"], "p_size", "regression", 5).select("value"))
