@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import names, num, order, window, with_stats
+from millrace.operators.rows import numbered
 from millrace.plans.registry import operator
 from millrace.scratch import settle
 
@@ -182,74 +183,136 @@ def acf_pacf(df: DataFrame, value: str, order_by: list, max_lag: int = 40) -> Da
     return df.sparkSession.createDataFrame([(k, r[k], pacf[k], 1.96 / math.sqrt(n)) for k in range(max_lag + 1)], "lag int, acf double, pacf double, bound double")
 
 
-def _ols(x, y):
-    import numpy as np
+#: Rows of a series that one group of a test holds, besides the overlap.
+SERIES_BLOCK = 50_000
 
-    inv = np.linalg.pinv(x.T @ x)
-    b = inv @ x.T @ y
-    e = y - x @ b
-    s2 = float(e @ e) / max(1, len(y) - x.shape[1])
-    return b, np.sqrt(np.maximum(np.diag(inv) * s2, 0)), e
+
+def _series_rows(df: DataFrame, value: str, order_by: str, series: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(s, i, y) of the rows with a value, numbered from 0 in each series through range partitions, and (s, n, series...) of all series as written tables. ``s`` is a struct of the series' columns."""
+    head = F.struct(*series) if series else F.struct(F.lit(0).alias("all"))
+    rows = df.select(head.alias("s"), F.col(order_by).alias("t"), num(value).alias("y"))
+    at = numbered(rows.where(F.col("y").isNotNull() & ~F.isnan("y")), ["s", "t"], "g")
+    starts = at.groupBy("s").agg(F.min("g").alias("first"), F.count(F.lit(1)).alias("n"))
+    every = rows.select("s").distinct().join(starts, "s", "left")
+    every = settle(every.withColumn("n", F.coalesce("n", F.lit(0))), "series")
+    # few columns of each series, so a long series is the skewed side of a join that AQE splits
+    placed = at.join(every.select("s", "first", "n"), "s").select("s", (F.col("g") - F.col("first")).alias("i"), "y", "n")
+    return settle(placed, "series-rows"), every
+
+
+def _blocks(rows: DataFrame, before: Column) -> DataFrame:
+    """Rows by block of SERIES_BLOCK places, each block with the ``before`` places that precede it (of any earlier block)."""
+    block = F.floor(F.col("i") / SERIES_BLOCK)
+    last = F.least(F.floor((F.col("i") + before) / SERIES_BLOCK), F.floor((F.col("n") - 1) / SERIES_BLOCK))
+    return rows.withColumn("block", F.explode(F.sequence(block, last)))
+
+
+def _most_lags(n: Column, max_lag: int | None) -> Column:
+    usual = F.least(F.ceil(12 * F.pow(n / 100, F.lit(0.25))), F.greatest(F.lit(0), F.floor(n / 2) - 3))
+    return F.lit(max_lag).cast("long") if max_lag is not None else usual.cast("long")
 
 
 @operator()
 def adf_test(df: DataFrame, value: str, order_by: str, series: By = None, regression: str = "c", max_lag: int | None = None) -> DataFrame:
-    """Augmented Dickey-Fuller statistic of each series, lags by AIC, MacKinnon's asymptotic critical values, and a verdict."""
+    """Augmented Dickey-Fuller statistic of each series, lags by AIC, MacKinnon's asymptotic critical values, and a verdict.
+
+    Blocks of a series with the lagged rows before them give products of all regressors, which are added up; what is
+    solved for a series is one small matrix, so a single long series is many tasks. Fewer than 8 values give NULLs.
+    """
     critical = {"n": (-2.56574, -1.94100, -1.61682), "c": (-3.43035, -2.86154, -2.56677), "ct": (-3.95877, -3.41049, -3.12705), "ctt": (-4.37113, -3.83239, -3.55326)}[regression]
+    trends = {"n": 0, "c": 1, "ct": 2, "ctt": 3}[regression]
+    rows, every = _series_rows(df, value, order_by, series or [])
+    rows = rows.where("n >= 8").withColumn("most", _most_lags(F.col("n"), max_lag))
 
-    def run(pdf):
+    def products(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values("i")
+        n, most, block = int(pdf["n"].iloc[0]), int(pdf["most"].iloc[0]), int(pdf["block"].iloc[0])
+        y, first = pdf["y"].to_numpy(float), int(pdf["i"].iloc[0])
+        d = np.diff(y)  # d[j] = y[j + 1] - y[j]; the regression is of d at places most, most + 1, ... of the series
+        at = np.arange(max(most, block * SERIES_BLOCK - 1), min(n - 1, (block + 1) * SERIES_BLOCK - 1)) - first
+        if not len(at):
+            return pd.DataFrame({"r": [], "c": [], "p": []})
+        trend = (at + first - most + 1) / n
+        x = np.column_stack([d[at], y[at], *(np.power(trend, k) for k in range(trends)), *(d[at - k] for k in range(1, most + 1))])
+        gram = x.T @ x
+        r, c = np.indices(gram.shape)
+        return pd.DataFrame({"r": r.ravel(), "c": c.ravel(), "p": gram.ravel()})
+
+    def keyed(key, pdf):
+        out = products(pdf)
+        out["k"] = [int(pdf["g"].iloc[0])] * len(out)
+        return out[["k", "r", "c", "p"]]
+
+    ids = settle(every.where("n >= 8").select(F.monotonically_increasing_id().alias("g"), "s", "n", _most_lags(F.col("n"), max_lag).alias("most")), "series-ids")
+    dealt = _blocks(rows.join(ids.select("s", "g"), "s"), F.col("most") + 1).drop("s")
+    gram = dealt.groupBy("g", "block").applyInPandas(keyed, "k long, r int, c int, p double").groupBy("k", "r", "c").agg(F.sum("p").alias("p"))
+
+    def solve(key, pdf):
         import numpy as np
         import pandas as pd
 
-        y = pdf.sort_values(order_by)[value].dropna().to_numpy(float)
-        n = len(y)
-        most = max_lag if max_lag is not None else min(int(np.ceil(12 * (n / 100) ** 0.25)), max(0, n // 2 - 3))
-        if n < 8 or most < 0:
-            return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in series or []}, "statistic": None, "lags": None, "n_obs": n, "crit_1": critical[0], "crit_5": critical[1], "crit_10": critical[2], "stationary": None}])
-        d = np.diff(y)
-        best = None
+        size = int(pdf["r"].max()) + 1
+        g = np.zeros((size, size))
+        g[pdf["r"], pdf["c"]] = pdf["p"]
+        most, best = size - 2 - trends, None
+        n_obs = int(pdf["n"].iloc[0]) - 1 - most
         for p in range(most + 1):
-            t = d[most:]
-            cols = [y[most:-1], *(d[most - k : -k] for k in range(1, p + 1))]
-            trend = np.arange(1, len(t) + 1, dtype=float)
-            cols += {"n": [], "c": [np.ones(len(t))], "ct": [np.ones(len(t)), trend], "ctt": [np.ones(len(t)), trend, trend**2]}[regression]
-            x = np.column_stack(cols)
-            b, se, e = _ols(x, t)
-            aic = len(t) * np.log(max(float(e @ e) / len(t), 1e-300)) + 2 * x.shape[1]
+            use = np.arange(1, 2 + trends + p)
+            scale = np.sqrt(np.maximum(np.diag(g)[use], 1e-300))
+            inv = np.linalg.pinv(g[np.ix_(use, use)] / np.outer(scale, scale)) / np.outer(scale, scale)
+            beta = inv @ g[use, 0]
+            rest = max(float(g[0, 0] - beta @ g[use, 0]), 0.0)
+            error = np.sqrt(max(inv[0, 0] * rest / max(1, n_obs - len(use)), 0.0))
+            aic = n_obs * np.log(max(rest / n_obs, 1e-300)) + 2 * len(use)
             if best is None or aic < best[0]:
-                best = (aic, b[0] / se[0] if se[0] else float("nan"), p, len(t))
-        return pd.DataFrame([{**{c: pdf[c].iloc[0] for c in series or []}, "statistic": best[1], "lags": best[2], "n_obs": best[3], "crit_1": critical[0], "crit_5": critical[1], "crit_10": critical[2], "stationary": bool(best[1] < critical[1])}])
+                best = (aic, beta[0] / error if error else None, p)
+        return pd.DataFrame([{"g": key[0], "statistic": best[1], "lags": best[2], "n_obs": n_obs}])
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in series or []), "statistic double, lags int, n_obs int, crit_1 double, crit_5 double, crit_10 double, stationary boolean"])
-    cols = [*(series or []), order_by, value]
-    return df.select(*cols).groupBy(*(series or [F.lit(0).alias("__all")])).applyInPandas(run, schema)
+    solved = gram.join(ids.select(F.col("g").alias("k"), "n"), "k").groupBy("k").applyInPandas(solve, "g long, statistic double, lags int, n_obs int").join(ids.select("g", "s"), "g")
+    out = every.select("s", F.col("n").alias("__n")).join(solved, "s", "left").withColumn("n_obs", F.coalesce("n_obs", F.col("__n").cast("int")))
+    levels = [F.lit(c).alias(f"crit_{k}") for k, c in zip((1, 5, 10), critical, strict=True)]
+    return out.select(*(F.col(f"s.{c}").alias(c) for c in series or []), "statistic", "lags", "n_obs", *levels, (F.col("statistic") < critical[1]).alias("stationary"))
 
 
 @operator()
 def kpss_test(df: DataFrame, value: str, order_by: str, series: By = None, regression: str = "c") -> DataFrame:
-    """KPSS statistic of each series with a Bartlett window of ceil(12 (n/100)^1/4) lags, and a verdict at 5 %."""
-    critical = {"c": 0.463, "ct": 0.146}[regression]
+    """KPSS statistic of each series with a Bartlett window of ceil(12 (n/100)^1/4) lags, and a verdict at 5 %.
 
-    def run(pdf):
+    The fitted line comes from sums; blocks of the residuals, with those before them, give products by lag and running sums that are
+    carried from block to block. Fewer than 4 values give NULLs.
+    """
+    critical = {"c": 0.463, "ct": 0.146}[regression]
+    rows, every = _series_rows(df, value, order_by, series or [])
+    x = F.col("i") / F.col("n") - 0.5
+    mean, slope = F.avg("y"), F.try_divide(F.covar_pop(x, F.col("y")), F.var_pop(x)) if regression == "ct" else F.lit(0.0)
+    fit = rows.where("n >= 4").groupBy("s").agg(mean.alias("m"), slope.alias("b"), F.avg(x).alias("mx"), F.max("n").alias("n"))
+    fit = settle(fit.select(F.monotonically_increasing_id().alias("g"), "s", "m", "b", "mx", F.least(F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))), F.col("n") - 1).cast("int").alias("lags")), "series-fits")
+    rest = rows.join(fit, "s").select("g", "i", "n", "lags", (F.col("y") - F.col("m") - F.col("b") * (x - F.col("mx"))).alias("e"))
+
+    def products(key, pdf):
         import numpy as np
         import pandas as pd
 
-        y = pdf.sort_values(order_by)[value].dropna().to_numpy(float)
-        n = len(y)
-        head = {c: pdf[c].iloc[0] for c in series or []}
-        if n < 4:
-            return pd.DataFrame([{**head, "statistic": None, "lags": None, "critical_5": critical, "stationary": None}])
-        x = np.ones((n, 1)) if regression == "c" else np.column_stack([np.ones(n), np.arange(n)])
-        e = _ols(x, y)[2]
-        lags = min(int(np.ceil(12 * (n / 100) ** 0.25)), n - 1)
-        s2 = float(e @ e) / n + 2 * sum((1 - k / (lags + 1)) * float(e[k:] @ e[:-k]) for k in range(1, lags + 1)) / n
-        stat = float((np.cumsum(e) ** 2).sum() / n**2 / s2) if s2 > 0 else float("nan")
-        return pd.DataFrame([{**head, "statistic": stat, "lags": lags, "critical_5": critical, "stationary": bool(stat < critical)}])
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in series or []), "statistic double, lags int, critical_5 double, stationary boolean"])
-    return df.select(*(series or []), order_by, value).groupBy(*(series or [F.lit(0).alias("__all")])).applyInPandas(run, schema)
+        pdf = pdf.sort_values("i")
+        e, lags = pdf["e"].to_numpy(float), int(pdf["lags"].iloc[0])
+        own = int((pdf["i"] < key[1] * SERIES_BLOCK).sum())  # places of the overlap
+        mine = e[own:]
+        starts = [max(own, k) for k in range(min(lags, len(e) - 1) + 1)]
+        by_lag = [float(e[at:] @ e[at - k : len(e) - k]) for k, at in enumerate(starts)]
+        run = np.cumsum(mine)
+        weighted = by_lag[0] + 2 * sum((1 - k / (lags + 1)) * v for k, v in enumerate(by_lag[1:], 1))
+        return pd.DataFrame([{"g": key[0], "block": key[1], "rows": len(mine), "weighted": weighted, "total": float(run[-1]), "runs": float(run.sum()), "squares": float(run @ run)}])
+
+    blocks = _blocks(rest, F.col("lags").cast("long")).groupBy("g", "block").applyInPandas(products, "g long, block long, rows long, weighted double, total double, runs double, squares double")
+    before = F.coalesce(F.sum("total").over(Window.partitionBy("g").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    carried = settle(blocks, "series-blocks").withColumn("c", before)
+    sums = carried.groupBy("g").agg(F.sum("weighted").alias("w"), F.sum(F.col("rows") * F.col("c") * F.col("c") + 2 * F.col("c") * F.col("runs") + F.col("squares")).alias("q"), F.sum("rows").alias("n"))
+    stat = fit.join(sums, "g").select("s", "lags", F.when(F.col("w") > 0, F.col("q") / F.col("n") / F.col("w")).alias("statistic"))
+    out = every.select("s").join(stat, "s", "left")
+    return out.select(*(F.col(f"s.{c}").alias(c) for c in series or []), "statistic", "lags", F.lit(critical).alias("critical_5"), (F.col("statistic") < critical).alias("stationary"))
 
 
 @operator(columns=("time_column", "value_column"))

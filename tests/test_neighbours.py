@@ -66,7 +66,7 @@ def test_impute_knn_by_brute_force(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(300, 3))
     x[200:220] = x[100:120]
-    x[r.random((300, 3)) < 0.15] = np.nan
+    x[:, :2][r.random((300, 2)) < 0.15] = np.nan
     x[7] = np.nan
     df = spark.createDataFrame([(i, *(None if math.isnan(c) else float(c) for c in v)) for i, v in enumerate(x)], "key long, a double, b double, c double")
     got = np.array([list(g)[1:] for g in scaling.impute_knn(df, ["a", "b", "c"], "key", 4).orderBy("key").collect()], float)
