@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+import inspect
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -42,3 +44,20 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tupl
 def one_row_for(df: DataFrame, key: str) -> DataFrame:
     """Distinct non-null keys."""
     return df.select(key).where(F.col(key).isNotNull()).distinct()
+
+
+def extras_apart(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions of (docs, ..., *_col) that return docs' own columns: columns that no *_col parameter names are called otherwise while fn works, so that none clashes with fn's own."""
+    known = inspect.signature(fn)
+
+    @functools.wraps(fn)
+    def wrapped(docs: DataFrame, *args, **kw) -> DataFrame:
+        bound = known.bind(docs, *args, **kw)
+        bound.apply_defaults()
+        used = {v for k, v in bound.arguments.items() if k.endswith("_col")}
+        named = {c: c if c in used else f"extra_{i}_of_docs" for i, c in enumerate(docs.columns)}
+        quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+        out = fn(docs.select(*(quoted(c).alias(n) for c, n in named.items())), *args, **kw)
+        return out.select(*(quoted(n).alias(c) for c, n in named.items()))
+
+    return wrapped

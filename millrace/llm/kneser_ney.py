@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import as_bytes, rows_of
+from millrace.llm.common import as_bytes, extras_apart, rows_of
 from millrace.scratch import settle
 
 ORDER, MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 5, 10, 20, 5
@@ -402,6 +402,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", tex
     return out.select("text_key", "doc_id", *_STATS, "base_failed", "perplexity", "lower", "upper", kept.alias("kept"))
 
 
+@extras_apart
 def keep_good(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", **kw) -> DataFrame:
     """``docs`` without the documents that the base rules or their language's band reject; columns and their order are kept.
 

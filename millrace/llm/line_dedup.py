@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import as_bytes, rows_of
+from millrace.llm.common import as_bytes, extras_apart, rows_of
 from millrace.scratch import settle
 
 MIN_CHARS, MIN_DOCS, LEAST_BITS, MOST_BITS, SEGMENT = 20, 3, 16, 30, 1 << 16
@@ -169,6 +169,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs
     return ready.mapInArrow(cut, T.StructType([T.StructField(f.name, f.dataType) for f in fields] + own))
 
 
+@extras_apart
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, log2_bits: int | None = None) -> DataFrame:
     """``docs`` without the lines whose key (stripped, A-Z lower-cased, at least min_chars code points) is found in
     at least min_docs documents, except in the largest id that holds it. Other lines and columns stay as they are.

@@ -17,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import as_bytes, rows_of
+from millrace.llm.common import as_bytes, extras_apart, rows_of
 from millrace.scratch import settle
 
 SPAN, ENOUGH, AT_LEAST = 3, 30, 10
-_SENTENCE = re.compile(rb"[^\n]*?[.!?]+(?=[ \t\r\n]|\Z)[ \t\r]*|[^\n]+|\n")
+# a single mark before the blank, so that a run of marks is passed once
+_SENTENCE = re.compile(rb"[^\n]*?[.!?](?=[ \t\r\n]|\Z)[ \t\r]*|[^\n]+|\n")
 
 
 def sentences(text: bytes) -> list[bytes]:
@@ -102,6 +103,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, span: int, enough: int,
     return joined.select(*others, as_bytes(text_col).alias("__text"), "__runs").mapInArrow(cut, T.StructType(kinds))
 
 
+@extras_apart
 def drop_repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, enough: int = ENOUGH, at_least: int = AT_LEAST) -> DataFrame:
     """``docs`` without the sentences that lie in a repeated run of sentences, except in its first occurrence.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.graph import connected_components
-from millrace.llm.common import as_bytes, rows_of, words
+from millrace.llm.common import as_bytes, extras_apart, rows_of, words
 from millrace.scratch import settle
 
 BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
@@ -102,6 +102,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _placed(docs, id_col, text_col).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@extras_apart
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component stays: that with the smallest id. Columns and their order are kept.
 

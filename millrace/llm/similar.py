@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.graph import connected_components
-from millrace.llm.common import as_bytes, rows_of, words
+from millrace.llm.common import as_bytes, extras_apart, rows_of, words
 from millrace.scratch import settle
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -170,6 +170,7 @@ def similar_sets(reps: DataFrame, texts: DataFrame, shingle: int, similarity: fl
     return known
 
 
+@extras_apart
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each component: that with the smallest id. Columns and their order are kept.
 

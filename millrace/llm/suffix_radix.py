@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import as_bytes
+from millrace.llm.common import as_bytes, extras_apart
 from millrace.scratch import settle
 
 LENGTH, GRAM, FINE, SEGMENT = 200, 96, 4, 1 << 19
@@ -230,6 +230,7 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, length: int, gram: int,
     return joined.select(*others, as_bytes(text_col).alias("__text"), "__runs").mapInArrow(cut, T.StructType(kinds))
 
 
+@extras_apart
 def drop_repeated_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """``docs`` without the bytes that any ``length``-byte string found in two or more places covers, first place included.
 
