@@ -13,6 +13,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,7 +32,8 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 
 
 def _name(page_id: object) -> str:
-    return f"<urn:page:{page_id}>"
+    """Percent-encoded, so that an id may hold any character; a null id has a name of its own."""
+    return "<urn:page-without-id>" if page_id is None else f"<urn:page:{quote(str(page_id), safe='')}>"
 
 
 def record(page_id: object, url: str | None, payload: bytes, digest: str, refers_to: object, date: str) -> bytes:
@@ -62,17 +64,17 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
 
     Of the rows whose payloads are equal and at least min_revisit bytes long, that with the smallest id is a response and the
     others revisit it; shorter payloads are responses each. Null html is an empty payload, a null url leaves the header
-    out, rows with a null id are responses; rows that repeat an id and a payload are records of their own, of
-    which none refers to itself; an empty table writes an empty index. Other columns are not read.
+    out, rows with a null id revisit like others but are never referred to; rows that repeat an id and a payload are records
+    of their own, of which none refers to itself; an empty table writes an empty index. Other columns are not read.
     """
     spark = pages.sparkSession
     folder = folder or fresh_path(spark, "warc")
     kind = pages.schema[id_col].dataType.simpleString()
     own = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(as_bytes(html_col), F.lit(b"")).alias("payload"))
-    marks = own.where(F.octet_length("payload") >= min_revisit).where("page_id is not null").select("page_id", F.sha2("payload", 256).alias("digest"))
-    first = marks.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
-    again = marks.join(first, "digest").where("page_id <> first").select(F.col("page_id").alias("again"), F.col("digest").alias("of"), "first").distinct()
-    ready = own.join(again, (F.col("page_id") == F.col("again")) & (F.sha2("payload", 256) == F.col("of")), "left").select("page_id", "url", "payload", "first")
+    marks = own.where(F.octet_length("payload") >= min_revisit).select("page_id", F.sha2("payload", 256).alias("digest"))
+    first = marks.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    again = marks.join(first, "digest").where("page_id is null or page_id <> first").select(F.col("page_id").alias("again"), F.col("digest").alias("of"), "first").distinct()
+    ready = own.join(again, F.col("page_id").eqNullSafe(F.col("again")) & (F.sha2("payload", 256) == F.col("of")), "left").select("page_id", "url", "payload", "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = _open(folder)
@@ -136,8 +138,8 @@ def read_records(index: DataFrame, gap: int = GAP, stretch: int = STRETCH) -> Da
     n = F.pmod(F.xxhash64("file", key), F.lit(1 << 20))
     dealt = index.select("file", "offset", "length").repartition(n).sortWithinPartitions("file", "offset")
     found = dealt.mapInArrow(fetch, "file string, offset long, record_id string, target_uri string, record_type string, refers string, digest string, block binary")
-    ident = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
-    return found.select("file", "offset", ident("record_id").alias("page_id"), "target_uri", "record_type", F.when(F.col("refers").isNotNull(), ident("refers")).alias("refers_to"), "digest", "block")
+    ident = lambda c: F.when(c.rlike("^<urn:page:.*>$"), F.url_decode(F.regexp_extract(c, "^<urn:page:(.*)>$", 1)))
+    return found.select("file", "offset", ident(F.col("record_id")).alias("page_id"), "target_uri", "record_type", ident(F.col("refers")).alias("refers_to"), "digest", "block")
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **kw) -> DataFrame:
@@ -147,7 +149,7 @@ def round_trip(spark: SparkSession, pages: DataFrame, **kw) -> DataFrame:
     """
     index = write_archives(pages, **kw)
     kind = index.schema["page_id"].dataType
-    read = read_records(index).select(F.when(F.col("page_id") != "None", F.col("page_id")).cast(kind).alias("page_id"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "digest", F.octet_length("block").cast("long").alias("n"), F.sha2("block", 256).alias("sha"))
+    read = read_records(index).select(F.col("page_id").cast(kind).alias("page_id"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"), "digest", F.octet_length("block").cast("long").alias("n"), F.sha2("block", 256).alias("sha"))
     read = settle(read, "warc-read")
     full = read.where("record_type = 'response'").select("page_id", "record_type", "refers_to", F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"))
     again = read.where("record_type = 'revisit'").select("page_id", "record_type", "refers_to", F.col("digest").alias("payload_digest"))
