@@ -75,8 +75,11 @@ def _apply(docs: DataFrame, id_col: str, text_col: str, span: int, enough: int,
     rows = docs.select(ident.alias("rid"), F.col(id_col).alias("doc_id"), text.alias("text")).mapInArrow(find, f"key binary, rid long, doc_id {kind}, first int, last int")
     rows = settle(rows, "span-keys")
     place = F.struct("doc_id", "rid", "first")
-    again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("origin")).where("n > 1").select("key", "origin")
-    later = rows.join(again, "key").where(~F.struct("doc_id", "rid", "first").eqNullSafe(F.col("origin"))).select("doc_id", "rid", "first", "last")
+    # which keys recur is asked first, by nothing but the keys; places are compared among the rows of those
+    again = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    repeats = settle(rows.join(again, "key"), "span-repeats")
+    origins = repeats.groupBy("key").agg(F.min(place).alias("origin"))
+    later = repeats.join(origins, "key").where(~F.struct("doc_id", "rid", "first").eqNullSafe(F.col("origin"))).select("doc_id", "rid", "first", "last")
     lost = settle(later.groupBy("doc_id", "rid").agg(F.collect_set(F.struct("first", "last")).alias("runs")), "span-runs")
     others = [c for c in docs.columns if c != text_col]
     kinds = [docs.schema[c] for c in others]
