@@ -192,17 +192,18 @@ def _near(queries: DataFrame, base: DataFrame, vector: str, label: str, k: int,
 
 
 @operator(columns=("embedding_column", "label_column"))
-def nearest_neighbors(df: DataFrame, embedding_column: str, label_column: str, k: int = 5, metric: str = "cosine", queries: DataFrame | None = None, index: str = "none", probes: int = 16) -> DataFrame:
+def nearest_neighbors(df: DataFrame, embedding_column: str, label_column: str, k: int = 5, metric: str = "cosine", queries: DataFrame | None = None, index: str = "none", probes: int = 32) -> DataFrame:
     """(source, neighbour, distance, rank), one row each; a row is not its own neighbour. Queries default to all rows.
 
     index: none compares every query with every row; bounds is as exact, by lists of rows that triangle bounds leave out where
-    they can; lists visits the ``probes`` nearest lists only and may miss neighbours that lie in others.
+    they can; lists visits the ``probes`` nearest lists only and may miss neighbours that lie in others: measure the recall on
+    some queries against none, and take more probes where it is below what is wanted.
     """
     return _near(queries if queries is not None else df, df, embedding_column, label_column, k, metric, False, index, probes)
 
 
 @operator(columns=("vectorColumn", "labelColumn"))
-def top_k_similar(df: DataFrame, vectorColumn: str, labelColumn: str, k: int = 5, metric: str = "cosine", includeSelf: bool = False, indicesColumn: str = "top_k_indices", scoresColumn: str = "top_k_scores", index: str = "none", probes: int = 16) -> DataFrame:
+def top_k_similar(df: DataFrame, vectorColumn: str, labelColumn: str, k: int = 5, metric: str = "cosine", includeSelf: bool = False, indicesColumn: str = "top_k_indices", scoresColumn: str = "top_k_scores", index: str = "none", probes: int = 32) -> DataFrame:
     """Arrays of the k most similar rows and their scores (cosine and dot: larger is nearer; euclidean: smaller)."""
     near = _near(df, df, vectorColumn, labelColumn, k, metric, includeSelf, index, probes)
     score = F.col("distance") if metric == "euclidean" else 1 - F.col("distance") if metric == "cosine" else -F.col("distance")

@@ -131,9 +131,19 @@ def language_profile(df: DataFrame, textColumn: str, langColumn: str, mostGrams:
     return counted.withColumn("rank", rank).where(F.col("rank") <= mostGrams).drop("rank")
 
 
-def _function_words(df: DataFrame) -> DataFrame:
-    """Texts of the built-in function words, from which a profile is counted where none is given."""
-    return df.sparkSession.createDataFrame(list(STOP_WORDS.items()), "lang string, t string")
+def _by_function_words(df: DataFrame, textColumn: str, outputColumn: str) -> DataFrame:
+    """The language whose function words are most frequent, and its share of all such words; NULL for texts without any."""
+    own = "__millrace_language"
+    out = df.withColumn(own, F.regexp_extract_all(F.lower(textColumn), F.lit(WORDS), F.lit(0)))
+
+    def among(listed: str):
+        return lambda w: w.isin(listed.split())
+
+    hits = F.array(*(F.struct(F.size(F.filter(own, among(v))).alias("n"), F.lit(k).alias("lang")) for k, v in STOP_WORDS.items()))
+    out = out.withColumn(own, hits)
+    total = F.aggregate(own, F.lit(0), lambda a, x: a + x["n"])
+    best = F.array_max(own)
+    return out.withColumns({outputColumn: F.when(total > 0, best["lang"]), f"{outputColumn}_probability": F.when(total > 0, best["n"] / total)}).drop(own)
 
 
 @operator(columns=("textColumn",))
@@ -141,13 +151,15 @@ def language_detect(df: DataFrame, textColumn: str, outputColumn: str = "languag
     """The likeliest language of each text and its probability, by naive Bayes over three-character grams with equal priors.
 
     profile is a table of language_profile, from texts whose language is known (written and read back, if wanted); without
-    one, a profile of the built-in function words tells en, de, fr and es apart, and less surely. Texts without any letter, or without any
+    one, the shares of built-in function words tell en, de, fr and es apart, and less surely. Texts without any letter, or without any
     gram of the profile, are NULL; ties go to the first language by name. Whole texts are read, at no cost but
     their length: grams are looked up in sorted arrays that each task holds (languages times MOST_GRAMS entries).
     """
     import numpy as np
 
-    found = (profile if profile is not None else language_profile(_function_words(df), "t", "lang")).select(F.col("lang").cast("string"), "gram", "n").orderBy("lang", "gram").toPandas()
+    if profile is None:
+        return _by_function_words(df, textColumn, outputColumn)
+    found = profile.select(F.col("lang").cast("string"), "gram", "n").orderBy("lang", "gram").toPandas()
     langs = sorted(found["lang"].unique(), key=lambda x: x.encode())
     grams = np.unique(found["gram"].to_numpy(np.int64))
     counts = np.zeros((len(grams), len(langs)))
