@@ -14,6 +14,7 @@ from graphlib import CycleError, TopologicalSorter
 from pyspark.sql import DataFrame, SparkSession
 
 import millrace.operators  # noqa: F401  registers the operators
+from millrace.plans.published import Published, expose, lookup
 from millrace.plans.registry import OPERATORS
 from millrace.plans.templates import render_all
 from millrace.sources import files
@@ -44,7 +45,7 @@ def validate(spec: dict) -> list[str]:
     return found
 
 
-def build(spark: SparkSession, spec: dict, pipelines: dict[str, dict] | None = None, variables: dict | None = None, inputs: dict[str, DataFrame] | None = None, now: datetime | None = None, _open: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+def build(spark: SparkSession, spec: dict, pipelines: dict[str, dict] | Published | None = None, variables: dict | None = None, inputs: dict[str, DataFrame] | None = None, now: datetime | None = None, _open: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """Output name -> DataFrame. Only ancestors of outputs are built; nothing runs. ``inputs`` replaces datasets by id."""
     spec = render_all(spec, now or datetime.now(UTC), variables)
     if problems := validate(spec):
@@ -66,11 +67,12 @@ def build(spark: SparkSession, spec: dict, pipelines: dict[str, dict] | None = N
         n = nodes[s]
         params = dict(n.get("params", {}))
         if n["op"] == "subpipeline":
-            name = params["pipeline_id"]
+            name, inner = lookup(pipelines, params)
             if name in _open:
                 raise ValueError(f"pipeline {name} contains itself")
             bound = {port: made[src] for port, src in (n.get("inputs") or {}).items()}
-            out = build(spark, (pipelines or {})[name], pipelines, {**(variables or {}), **params.get("params", {})}, bound, now, (*_open, name))
+            inner, values = expose(inner, params.get("params", {}))
+            out = build(spark, inner, pipelines, {**(variables or {}), **values}, bound, now, (*_open, name))
             made[s] = out[params["output_id"]] if "output_id" in params else next(iter(out.values()))
             if params.get("sample_rows"):
                 made[s] = made[s].limit(params["sample_rows"])
