@@ -375,37 +375,16 @@ def regression_discontinuity(df: DataFrame, outcomeColumn: str, runningColumn: s
 
 
 @operator()
-def propensity_score_matching(df: DataFrame, key: str, treatmentColumn: str, covariateColumns: list[str], caliper: float = 0.1, rounds: int = 10) -> DataFrame:
-    """(treated, control, treated_score, control_score): logistic scores, then rounds in which rows that are each other's nearest within the caliper are paired and leave."""
+def propensity_score_matching(df: DataFrame, key: str, treatmentColumn: str, covariateColumns: list[str], caliper: float = 0.1) -> DataFrame:
+    """(treated, control, treated_score, control_score): logistic scores, then the closest pairs first until no two unlike rows within the caliper are left (``matching.closest_pairs``). Rows without a treatment or a covariate take no part."""
     from pyspark.ml.functions import vector_to_array
 
+    from millrace.operators.matching import closest_pairs
     from millrace.operators.models import assemble, logistic_model
 
-    rows = assemble(df.withColumn("__y", F.col(treatmentColumn).cast("int").cast("double")), covariateColumns)
-    scored = logistic_model(rows, "__y").transform(rows).select(F.col(key).alias("k"), F.col("__y").alias("y"), vector_to_array("probability")[1].alias("p")).persist()
-    from millrace.scratch import settle
-
-    left, done = scored, None
-    for _ in range(rounds):
-        cell = F.floor(F.col("p") / caliper)
-        a = left.where("y = 1").select(F.col("k").alias("t"), F.col("p").alias("tp"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("c"))
-        b = left.where("y = 0").select(F.col("k").alias("u"), F.col("p").alias("up"), cell.alias("c"))
-        # only the nearest controls on either side in the cell can be nearest, so each cell is one ordered window, not pairs
-        both = a.select("c", F.col("tp").alias("p"), F.struct("t", "tp").alias("x"), F.lit(None).cast(b.select(F.struct("u", "up").alias("z")).schema[0].dataType).alias("z")).unionByName(b.select("c", F.col("up").alias("p"), F.lit(None).cast(a.select(F.struct("t", "tp").alias("x")).schema[0].dataType).alias("x"), F.struct("u", "up").alias("z")))
-        w = Window.partitionBy("c").orderBy("p")
-        near = both.withColumn("z1", F.last("z", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("z2", F.first("z", True).over(w.rowsBetween(0, Window.unboundedFollowing))).where("x is not null")
-        pairs = near.select("x.t", "x.tp", F.explode(F.array("z1", "z2")).alias("z")).where("z is not null").select("t", "tp", "z.u", "z.up").withColumn("d", F.abs(F.col("tp") - F.col("up"))).where(F.col("d") <= caliper).distinct()
-        best = F.row_number().over(Window.partitionBy("t").orderBy("d", "u"))
-        own = pairs.withColumn("r", best).where("r = 1").withColumn("s", F.row_number().over(Window.partitionBy("u").orderBy("d", "t"))).where("s = 1").select("t", "u", "tp", "up")
-        own = settle(own, "matches")
-        if not own.limit(1).count():
-            break
-        done = own if done is None else done.unionByName(own)
-        left = settle(left.join(own.select(F.col("t").alias("k")).unionByName(own.select(F.col("u").alias("k"))), "k", "left_anti"), "unmatched")
-    if done is None:
-        kind = dict(scored.dtypes)["k"]
-        return df.sparkSession.createDataFrame([], f"treated {kind}, control {kind}, treated_score double, control_score double")
-    return done.select(F.col("t").alias("treated"), F.col("u").alias("control"), F.col("tp").alias("treated_score"), F.col("up").alias("control_score"))
+    rows = assemble(df.withColumn("__y", F.col(treatmentColumn).cast("int").cast("double")).where("__y is not null"), covariateColumns)
+    scored = logistic_model(rows, "__y").transform(rows).select(F.col(key).alias("k"), F.col("__y").alias("y"), vector_to_array("probability")[1].alias("p"))
+    return closest_pairs(scored, caliper)
 
 
 @operator()

@@ -317,7 +317,7 @@ q("best_bayesian_ab", lambda t: statistics.best_bayesian_ab(t.events.withColumn(
 q("diff_in_diff", lambda t: r(statistics.diff_in_diff(t.orders.withColumn("treated", F.col("o_orderstatus") == "F").withColumn("post", F.year("o_orderdate") > 1998), "o_totalprice", "treated", "post").where("term = 'treated_x_post'").select("estimate"), 2), "WITH m AS (SELECT o_orderstatus = 'F' AS t, year(o_orderdate) > 1998 AS p, avg(o_totalprice) AS m FROM orders GROUP BY 1, 2) SELECT round(sum(CASE WHEN t = p THEN m ELSE -m END), 2) AS estimate FROM m")
 q("instrumental_variables", lambda t: r(statistics.instrumental_variables(t.lineitem, "l_extendedprice", "l_quantity", ["l_linenumber"]).where("term = 'l_quantity'").select("estimate"), 0))
 q("regression_discontinuity", lambda t: r(statistics.regression_discontinuity(t.part, "p_retailprice", "p_size", 25, 10).select("jump", "n_left", "n_right"), 4), "WITH x AS (SELECT p_retailprice AS y, p_size - 25 AS x FROM part WHERE abs(p_size - 25) <= 10) SELECT round(regr_intercept(y, x) FILTER (x >= 0) - regr_intercept(y, x) FILTER (x < 0), 4) AS jump, count(*) FILTER (x < 0) AS n_left, count(*) FILTER (x >= 0) AS n_right FROM x")
-q("propensity_score_matching", lambda t: statistics.propensity_score_matching(t.customer.withColumn("y", (F.col("c_acctbal") > 7000).cast("int")).withColumn("x", F.col("c_nationkey") + F.col("c_acctbal") / 5000), "c_custkey", "y", ["c_nationkey"], rounds=4).agg(F.count_distinct("treated").alias("a"), F.count_distinct("control").alias("b"), F.count("*").alias("n")))
+q("propensity_score_matching", lambda t: statistics.propensity_score_matching(t.customer.withColumn("y", (F.col("c_acctbal") > 7000).cast("int")).withColumn("x", F.col("c_nationkey") + F.col("c_acctbal") / 5000), "c_custkey", "y", ["c_nationkey"]).select("treated", "control", F.round("treated_score", 6).alias("treated_score"), F.round("control_score", 6).alias("control_score")))
 q("synthetic_control", lambda t: r(statistics.synthetic_control(t.events.groupBy("event_type", F.dayofmonth("ts").alias("d")).agg(F.sum("value").alias("v")), "event_type", "d", "v", "purchase", 20).select("time", "observed"), 4), "SELECT day(ts)::INT AS time, round(sum(value), 4) AS observed FROM events WHERE event_type = 'purchase' GROUP BY 1")
 
 # models
