@@ -247,8 +247,18 @@ def dbscan(df: DataFrame, key: str, columns: list[str], eps: float = 0.5, min_sa
 
 
 @operator()
-def semantic_cluster(df: DataFrame, key: str, embedding_column: str, n_clusters: int = 8, seed: int = 42, output_column: str = "cluster") -> DataFrame:
-    """Bisecting k-means by cosine distance: a top-down hierarchy that scales, in place of agglomeration."""
+def semantic_cluster(df: DataFrame, key: str, embedding_column: str, n_clusters: int = 8, seed: int = 42, output_column: str = "cluster", linkage: str = "single") -> DataFrame:
+    """Clusters by cosine distance, numbered from 0; NULL for rows without a vector, with a gap in it or of length zero.
+
+    single: agglomerative clustering with single linkage, exact, from a minimum spanning tree (``linkage.single_linkage``);
+    fewer rows than clusters are an error. bisecting: bisecting k-means, a top-down hierarchy.
+    """
+    if linkage == "single":
+        from millrace.operators.linkage import single_linkage
+
+        return single_linkage(df, key, embedding_column, n_clusters, seed, output_column)
+    if linkage != "bisecting":
+        raise ValueError(f"linkage {linkage!r} is neither single nor bisecting")
     from pyspark.ml.clustering import BisectingKMeans
     from pyspark.ml.functions import array_to_vector
 

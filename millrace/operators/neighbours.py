@@ -101,14 +101,18 @@ def _visit(queries: DataFrame, centroids: np.ndarray, size: np.ndarray, radius:
 
 
 def _search(visits: DataFrame, lists: DataFrame, sizes: DataFrame, k: int, include_self: bool) -> DataFrame:
-    """(row, source, neighbour, distance): the k best of each query in each slab that it visits."""
+    """(row, source, neighbour, distance): the k best of each query in each slab that it visits.
+
+    Where both sides have a column ``kind``, rows of the query's own kind are left out in place of those of its id.
+    """
+    kind = ["kind"] if "kind" in visits.columns else []
     source, neighbour = dict(visits.dtypes)["id"], dict(lists.dtypes)["id"]
     blocks = visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     plan = settle(sizes.select("list", F.ceil(F.col("n") / SLAB).alias("slabs")).join(blocks, "list").coalesce(1), "neighbour-plan")
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     # at most MOST_LISTS rows
-    b = lists.join(F.broadcast(plan), "list").select("list", (F.col("row") % F.col("slabs")).alias("slab"), every(F.col("blocks")).alias("block"), "id", "v", "gap")
-    q = visits.join(F.broadcast(plan), "list").select("list", every(F.col("slabs")).alias("slab"), F.pmod(F.xxhash64("row"), F.col("blocks")).alias("block"), "row", "id", "v", "away", "limit")
+    b = lists.join(F.broadcast(plan), "list").select("list", (F.col("row") % F.col("slabs")).alias("slab"), every(F.col("blocks")).alias("block"), "id", "v", "gap", *kind)
+    q = visits.join(F.broadcast(plan), "list").select("list", every(F.col("slabs")).alias("slab"), F.pmod(F.xxhash64("row"), F.col("blocks")).alias("block"), "row", "id", "v", "away", "limit", *kind)
 
     def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -123,7 +127,8 @@ def _search(visits: DataFrame, lists: DataFrame, sizes: DataFrame, k: int, inclu
                 # rows of the list whose distance to the centroid differs too much from the query's
                 d[np.abs(gap[None] - part["away"].to_numpy()[:, None]) > limit + 1e-6 * (1 + np.where(np.isfinite(limit), limit, 0) + gap[None])] = np.inf
                 if not include_self:
-                    d[part["id"].to_numpy()[:, None] == ids[None]] = np.inf
+                    own = kind[0] if kind else "id"
+                    d[part[own].to_numpy()[:, None] == held[own].to_numpy()[None]] = np.inf
                 m = min(len(y), k + 16)
                 pick = np.argpartition(d, m - 1, axis=1)[:, :m] if m < len(y) else np.broadcast_to(np.arange(len(y)), d.shape)
                 edge = np.take_along_axis(d, pick, 1).max(1)

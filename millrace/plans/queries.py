@@ -340,7 +340,8 @@ q(
        d AS (SELECT e.a AS k, min(label) AS label FROM e JOIN n ON e.b = n.k WHERE e.a NOT IN (FROM c) GROUP BY e.a)
        SELECT c_custkey, coalesce(n.label, d.label, -1) AS cluster FROM customer LEFT JOIN n ON n.k = c_custkey LEFT JOIN d ON d.k = c_custkey""",
 )
-q("semantic_cluster", lambda t: models.semantic_cluster(t.embeddings, "vec_id", "embedding", 4).groupBy("cluster").agg(F.count("*").alias("n")))
+q("semantic_cluster", lambda t: models.semantic_cluster(t.embeddings, "vec_id", "embedding", 4).select("vec_id", "cluster"))
+q("semantic_cluster_bisecting", lambda t: models.semantic_cluster(t.embeddings, "vec_id", "embedding", 4, linkage="bisecting").groupBy("cluster").agg(F.count("*").alias("n")))
 q("permutation_importance", lambda t: models.permutation_importance(t.part.withColumn("y", F.col("p_size") * 2.0), "y", ["p_size", "p_retailprice"], "regression", 1).select("feature", "rank"))
 q("partial_dependence", lambda t: models.partial_dependence(t.part.withColumn("y", F.col("p_size") * 2.0), "y", ["p_size", "p_retailprice"], "p_size", "regression", 5).select("value"))
 _SC = "SELECT toxic AS y, (doc_id * 7919 % 101) / 100 AS p FROM labels"
