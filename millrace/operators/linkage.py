@@ -54,6 +54,25 @@ def _shortest(edges: DataFrame, component: DataFrame) -> DataFrame:
     return across.withColumn("e", e).select(F.explode(F.array("ca", "cb")).alias("c"), "e").groupBy("c").agg(F.min("e").alias("e"))
 
 
+def _merged(best: DataFrame) -> DataFrame:
+    """(c, to): the component that each component becomes part of, from best(c, e), by following the chosen edges.
+
+    Each component points at the other end of its edge; the two that chose the same edge are the end of every way, and
+    the less of them gives the name.
+    """
+    end = F.col("c").eqNullSafe(F.col("e.low")) & F.col("e").eqNullSafe(F.col("f"))
+    other = best.select(F.col("c").alias("to"), F.col("e").alias("f"))
+    ways = best.withColumn("to", F.when(F.col("c") == F.col("e.low"), F.col("e.high")).otherwise(F.col("e.low"))).join(other, "to")
+    ways = settle(ways.select("c", F.when(end, F.col("c")).otherwise(F.col("to")).alias("to")), "linkage-ways")
+    step = lambda w: w.join(w.select(F.col("c").alias("to"), F.col("to").alias("next")), "to").select("c", F.col("next").alias("to"))
+    while True:
+        further = step(step(ways)).withColumnRenamed("to", "next")
+        further = settle(ways.join(further, "c").select("c", F.col("next").alias("to"), (F.col("next") != F.col("to")).alias("moved")), "linkage-ways")
+        ways = further.select("c", "to")
+        if not further.where("moved").limit(1).count():
+            return ways
+
+
 def spanning_tree(points: DataFrame, seed: int = 42) -> DataFrame:
     """(a, b, d): a minimum spanning tree of points(id long, v) by Euclidean distance; ids are unique, and so are vectors."""
     lists = _Lists(points, seed)
@@ -80,11 +99,10 @@ def spanning_tree(points: DataFrame, seed: int = 42) -> DataFrame:
         asked = settle(blind.join(best, "c").where("reach < e.d").select("id", "v", F.col("e.d").alias("limit")), "linkage-open")
         if asked.limit(1).count():
             more = _shortest(lists.outside(asked, component), component)
-            best = best.unionByName(more).groupBy("c").agg(F.min("e").alias("e"))
+            best = settle(best.unionByName(more).groupBy("c").agg(F.min("e").alias("e")), "linkage-best")
         picked = settle(best.select("e.*").distinct(), "linkage-picked")
         tree = picked.select("a", "b", "d") if tree is None else tree.unionByName(picked.select("a", "b", "d"))
-        joined = connected_components(picked, "low", "high").select(F.col("node").alias("c"), F.col("component").alias("to"))
-        component = settle(component.join(joined, "c").select("id", F.col("to").alias("c")), "linkage-components")
+        component = settle(component.join(_merged(best), "c").select("id", F.col("to").alias("c")), "linkage-components")
     if tree is None:
         return points.sparkSession.createDataFrame([], "a long, b long, d double")
     return tree
