@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import names, num, numeric_columns, percentile, row_hash, safe_expr, with_stats
+from millrace.functions.quantiles import exact_quantiles
 from millrace.plans.registry import operator
 
 
@@ -173,7 +174,8 @@ def outliers_isolation_forest(df: DataFrame, columns: list[str], contamination:
         return pd.Series(out)
 
     scored = df.withColumn("anomaly_score", score(*(num(c) for c in columns))).withColumn("anomaly_score", F.when(~F.isnan("anomaly_score"), F.col("anomaly_score"))).persist()
-    return with_stats(scored, __cut=F.percentile("anomaly_score", 1 - contamination)).withColumn(output_column, F.coalesce(F.col("anomaly_score") > F.col("__cut"), F.lit(False))).drop("__cut")
+    (cut,) = exact_quantiles(scored, "anomaly_score", [1 - contamination])
+    return scored.withColumn(output_column, F.coalesce(F.col("anomaly_score") > F.lit(cut).cast("double"), F.lit(False)))
 
 
 @operator()

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.expressions import finite, num, numeric_columns, percentile, with_stats
+from millrace.functions.expressions import finite, num, numeric_columns, with_stats
+from millrace.functions.quantiles import exact_quantiles
 from millrace.operators.neighbours import knn_join
 from millrace.operators.rows import numbered
 from millrace.plans.registry import operator
@@ -36,10 +37,12 @@ def scale_minmax(df: DataFrame, columns: list[str], rangeMin: float = 0.0, range
 
 @operator(columns=("columns",))
 def scale_robust(df: DataFrame, columns: list[str], suffix: str = "_robust") -> DataFrame:
-    """(x - median) / interquartile range, with interpolated quantiles; a range of 0 counts as 1."""
-    stats = {f"__q{c}": percentile(c, [0.25, 0.5, 0.75]) for c in columns}
-    q = lambda c, i: F.get(F.col(f"__q{c}"), F.lit(i))
-    return _scaled(df, stats, {c + suffix: (num(c) - q(c, 1)) / F.when(q(c, 2) == q(c, 0), F.lit(1.0)).otherwise(q(c, 2) - q(c, 0)) for c in columns})
+    """(x - median) / interquartile range, with interpolated quantiles (exact, in passes over the table); a range of 0 counts as 1, NaN does not count."""
+    new = {}
+    for c in columns:
+        low, mid, high = (F.lit(q).cast("double") for q in exact_quantiles(df, c, [0.25, 0.5, 0.75]))
+        new[c + suffix] = (num(c) - mid) / F.when(high == low, F.lit(1.0)).otherwise(high - low)
+    return df.withColumns(new)
 
 
 @operator(columns=("columns",))
