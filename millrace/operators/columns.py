@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import NAME, finite, math_expr, num, place, safe_expr, with_stats
+from millrace.plans.lineage import by_expression, computed, constant, origin, per_column
 from millrace.plans.registry import operator
 
 BASE_TYPES = {"string": "string", "integer": "bigint", "double": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp_ntz"}
@@ -35,23 +36,29 @@ def reorder_columns(df: DataFrame, order: list[str]) -> DataFrame:
     return df.select(*order, *(c for c in df.columns if c not in order))
 
 
-@operator()
+def _rules(df: DataFrame, mapping: list[dict] | dict[str, str]) -> dict[str, str]:
+    """Column -> new name, of the columns that there are."""
+    rules = {k.lower(): v for k, v in (mapping.items() if isinstance(mapping, dict) else ((m["from"], m["to"]) for m in mapping))}
+    return {c: rules[c.lower()] for c in df.columns if c.lower() in rules}
+
+
+@operator(lineage=lambda inputs, p, outputs: {new: origin("df", old, "rename") for old, new in _rules(inputs["df"], p["mapping"]).items()})
 def rename_columns(df: DataFrame, mapping: list[dict] | dict[str, str]) -> DataFrame:
-    """Batch rename; two rules with one target, or a target that another column has, are errors."""
-    rules = mapping if isinstance(mapping, dict) else {m["from"]: m["to"] for m in mapping}
-    left = [c for c in df.columns if c not in rules]
-    if len(set(rules.values())) < len(rules) or set(left) & set(rules.values()):
+    """Batch rename, all rules at once, so that names can be swapped; two rules with one target, or a target that another column has, are errors."""
+    rules = _rules(df, mapping)
+    out = [rules.get(c, c) for c in df.columns]
+    if len(set(out)) < len(out) and len(set(df.columns)) == len(out):
         raise ValueError("two columns would have one name")
-    return df.withColumnsRenamed(rules)
+    return df.toDF(*out)
 
 
-@operator()
+@operator(lineage=constant("name", "defaultValue"))
 def add_column(df: DataFrame, name: str, columnType: str = "string", defaultValue=None, position: str = "end", reference: str | None = None) -> DataFrame:
     """A typed constant, or a typed NULL."""
     return place(df, name, F.lit(defaultValue).cast(spark_type(columnType)), position, reference)
 
 
-@operator()
+@operator(lineage=constant("name", "template"))
 def add_runtime_column(df: DataFrame, name: str, template: str, columnType: str = "string", position: str = "end", now: datetime | None = None, variables: dict | None = None) -> DataFrame:
     """A constant rendered once for each run from a {{ }} template; times are UTC."""
     from millrace.plans.templates import render
@@ -60,7 +67,7 @@ def add_runtime_column(df: DataFrame, name: str, template: str, columnType: str
     return place(df, name, F.lit(text).cast(spark_type(columnType)), position)
 
 
-@operator()
+@operator(lineage=by_expression("name", "expression", safe_expr))
 def derive_column(df: DataFrame, name: str, expression: str) -> DataFrame:
     """A column from a SQL expression."""
     if not NAME.match(name):
@@ -68,13 +75,13 @@ def derive_column(df: DataFrame, name: str, expression: str) -> DataFrame:
     return df.withColumn(name, safe_expr(expression))
 
 
-@operator()
+@operator(lineage=by_expression("resultName", "equation", math_expr))
 def math_equation(df: DataFrame, resultName: str, equation: str, position: str = "end", reference: str | None = None) -> DataFrame:
     """A column from an equation in which ^ is a power and log has base 10; NaN and infinities become NULL."""
     return place(df, resultName, finite(math_expr(equation).cast("double")), position, reference)
 
 
-@operator(columns=("column",))
+@operator(columns=("column",), lineage=per_column("column", "cast"))
 def cast_type(df: DataFrame, column: str, targetType: str = "string", strict: bool = False) -> DataFrame:
     """Cast in place to a base or semantic type; what cannot be cast becomes NULL, or with strict an error."""
     c, kind = F.col(column), spark_type(targetType)
@@ -89,21 +96,21 @@ def cast_report(df: DataFrame, column: str, targetType: str = "string") -> DataF
     return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(c.isNull()).alias("source_null"), F.count(c).alias("source_non_null"), F.count_if(failed).alias("cast_failures"))
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=computed("as_", "columns", transform="coalesce"))
 def coalesce_columns(df: DataFrame, columns: list[str], as_: str, drop: bool = False) -> DataFrame:
     """The first value that is not NULL."""
     out = df.withColumn(as_, F.coalesce(*columns))
     return out.drop(*(c for c in columns if c != as_)) if drop else out
 
 
-@operator()
+@operator(lineage=computed("outputColumn", "fields", transform="struct"))
 def pack_struct(df: DataFrame, outputColumn: str, fields: list) -> DataFrame:
     """Columns as one struct; the columns stay."""
     pairs = [(f, f) if isinstance(f, str) else (f["column"], f.get("name", f["column"])) for f in fields]
     return df.withColumn(outputColumn, F.struct(*(F.col(c).alias(n) for c, n in pairs)))
 
 
-@operator(columns=("column",))
+@operator(columns=("column",), lineage=lambda inputs, p, outputs: {p["outputPrefix"] + f: origin("df", p["column"], "field", f) for f in p["fields"]})
 def unpack_struct(df: DataFrame, column: str, fields: list[str], outputPrefix: str = "") -> DataFrame:
     """Struct fields as columns; the struct goes."""
     return df.select(*(c for c in df.columns if c != column), *(F.col(f"{column}.{f}").alias(outputPrefix + f) for f in fields))
@@ -114,17 +121,17 @@ def passthrough(df: DataFrame) -> DataFrame:
     return df
 
 
-@operator(columns=("column",))
+@operator(columns=("column",), lineage=per_column("column", "upper"))
 def upper_string(df: DataFrame, column: str) -> DataFrame:
     return df.withColumn(column, F.upper(column))
 
 
-@operator(columns=("column",))
+@operator(columns=("column",), lineage=per_column("column", "round"))
 def round_to_n(df: DataFrame, column: str, decimals: int = 2) -> DataFrame:
     return df.withColumn(column, F.round(column, decimals))
 
 
-@operator(columns=("column",))
+@operator(columns=("column",), lineage=computed("output_column", "column", transform="zscore"))
 def zscore(df: DataFrame, column: str, output_column: str = "z_score") -> DataFrame:
     """(x - mean) / sample deviation; 0 where the deviation is 0 or NULL."""
     s = with_stats(df, __m=F.mean(num(column)), __s=F.stddev_samp(num(column)))

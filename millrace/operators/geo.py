@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import finite, num
+from millrace.plans.lineage import computed, origin
 from millrace.plans.registry import operator
 from millrace.scratch import settle
 
@@ -24,7 +25,7 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
-@operator()
+@operator(lineage=computed("outputColumn", "lat1Column", "lon1Column", "lat2Column", "lon2Column", transform="distance"))
 def geo_distance(df: DataFrame, lat1Column: str, lon1Column: str, lat2Column: str, lon2Column: str, outputColumn: str = "distance_m") -> DataFrame:
     """Great-circle metres, NULL if a coordinate is."""
     return df.withColumn(outputColumn, haversine(num(lat1Column), num(lon1Column), num(lat2Column), num(lon2Column)))
@@ -177,7 +178,7 @@ def point_in_rings(x: Column, y: Column, rings: Column) -> Column:
     return F.aggregate(rings, F.lit(0), lambda s, r: s + crossings(r)) % 2 == 1
 
 
-@operator(ports=("left", "right"))
+@operator(ports=("left", "right"), lineage=lambda inputs, p, outputs: {c + p["rightSuffix"] if c in inputs["left"].columns else c: origin("right", c, "join") for c in inputs["right"].columns})
 def spatial_join(left: DataFrame, right: DataFrame, leftGeometry: str, rightGeometry: str, predicate: str = "within", joinType: str = "inner", rightSuffix: str = "_r", cell: float = 1.0) -> DataFrame:
     """within (left points in right polygons), contains (the reverse), and intersects by bounding boxes, through an equality join on grid cells."""
     if predicate == "contains":

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.expressions import finite, names, num, numeric_columns, order, percentile, with_stats
+from millrace.plans.lineage import origin
 from millrace.plans.registry import operator
 from millrace.scratch import settle
 
@@ -29,7 +30,12 @@ def aggregate(spec: dict) -> Column:
     return c.alias(spec.get("as") or f"{fn}_{column or 'rows'}")
 
 
-@operator(columns=("groupBy",))
+def _aggregated(inputs, p, outputs):
+    read = {a.get("as") or f"{a['fn'].lower()}_{a.get('column') or 'rows'}": a for a in p["aggregates"]}
+    return {o: origin("df", [a["column"]] if a.get("column") else [], "aggregate", f"{a['fn']}({a.get('column') or '*'})") for o, a in read.items()}
+
+
+@operator(columns=("groupBy",), lineage=_aggregated)
 def group_aggregate(df: DataFrame, aggregates: list[dict], groupBy: list[str] | None = None, mode: str = "group", sets: list[list[str]] | None = None) -> DataFrame:
     """Aggregates [{fn, column, as}] by group, over the whole table without groups; mode also rollup, cube, grouping_sets."""
     keys = groupBy or []
@@ -40,13 +46,21 @@ def group_aggregate(df: DataFrame, aggregates: list[dict], groupBy: list[str] |
     return grouped.agg(*(aggregate(a) for a in aggregates))
 
 
-@operator()
+def _widened(inputs, p, outputs):
+    return {o: origin("df", [p["names_from"], p["values_from"]], "pivot", f"{p['agg']}({p['values_from']})") for o in outputs if o not in (p["id"] or [])}
+
+
+@operator(lineage=_widened)
 def pivot_wider(df: DataFrame, names_from: str, values_from: str, id: list[str] | None = None, agg: str = "sum", values: list | None = None) -> DataFrame:
     """Distinct names become columns; give ``values`` to save the job that finds them."""
     return df.groupBy(*(id or [])).pivot(names_from, values).agg(FUNCTIONS[agg](values_from))
 
 
-@operator(columns=("value_cols",))
+def _lengthened(inputs, p, outputs):
+    return {p["names_to"]: origin("df", [], "column names"), p["values_to"]: origin("df", p["value_cols"], "unpivot")}
+
+
+@operator(columns=("value_cols",), lineage=_lengthened)
 def pivot_longer(df: DataFrame, value_cols: list[str], id: list[str] | None = None, names_to: str = "name", values_to: str = "value") -> DataFrame:
     """Columns become rows; rows whose value is NULL are dropped."""
     return df.unpivot(id or [], value_cols, names_to, values_to).where(F.col(values_to).isNotNull())

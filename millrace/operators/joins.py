@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import num
 from millrace.operators.neighbours import knn_join, unit
+from millrace.plans.lineage import Origin, both_ports, origin
 from millrace.plans.registry import operator
 
 KINDS = {"inner": "inner", "left": "left", "right": "right", "full": "full", "anti_left": "left_anti", "anti_right": "left_anti", "semi": "left_semi"}
@@ -24,7 +25,28 @@ def _condition(key: dict) -> Column:
     return {"=": a == b, "between": a == b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
 
 
-@operator(ports=("left", "right"))
+def _joined(inputs, p, outputs):
+    left, right = inputs["left"].columns, inputs["right"].columns
+    kind, rule, (x, y) = p["kind"], p["columnCollisions"], p["suffixes"]
+    if kind == "anti_right":
+        return {c: origin("right", c, "join") for c in right}
+    if kind in ("anti_left", "semi"):
+        return {c: origin("left", c, "join") for c in left}
+    keys = {} if kind == "cross" else {k["right"]: k["left"] for k in p["keys"] if k.get("op", "=") == "="}
+    both = {c for c in left if c in right and c not in keys}
+    made = {}
+    for c in left:
+        others = {("right", r) for r, k in keys.items() if k == c} if p["coalesce_keys"] else set()
+        if c in both and rule == "coalesce" and kind != "cross":
+            others = {("right", c)}
+        made[c + x if c in both and rule == "keep_both" and kind != "cross" else c] = Origin(frozenset({("left", c)} | others), "join")
+    for c in right:
+        if kind == "cross" or c not in keys and not (c in left and rule in ("keep_left", "coalesce")):
+            made[c + y if c in left and (kind == "cross" or c in both and rule == "keep_both") else c] = origin("right", c, "join")
+    return made
+
+
+@operator(ports=("left", "right"), lineage=_joined)
 def join(left: DataFrame, right: DataFrame, keys: list[dict] | None = None, kind: str = "inner", columnCollisions: str = "keep_both", suffixes: list[str] | tuple[str, str] = ("_x", "_y"), coalesce_keys: bool = False, bucket: float | None = None) -> DataFrame:
     """Join on keys [{left, op, right, right2?}] with ops = < <= > >= ≈ between, all of which must hold.
 
@@ -68,7 +90,7 @@ def join(left: DataFrame, right: DataFrame, keys: list[dict] | None = None, kind
     return joined.select(*out)
 
 
-@operator(ports=("top", "bottom"))
+@operator(ports=("top", "bottom"), lineage=both_ports)
 def union(top: DataFrame, bottom: DataFrame, distinct: bool = False) -> DataFrame:
     """Rows of both, columns by name, missing ones NULL."""
     out = top.unionByName(bottom, allowMissingColumns=True)
@@ -85,7 +107,7 @@ def except_(top: DataFrame, bottom: DataFrame, all: bool = False) -> DataFrame:
     return top.exceptAll(bottom.select(*top.columns)) if all else top.subtract(bottom.select(*top.columns))
 
 
-@operator(ports=("df", "reference"))
+@operator(ports=("df", "reference"), lineage=lambda inputs, p, outputs: {p["prefix"] + c: origin("reference", c, "lookup") for c in p["outputs"]})
 def lookup_join(df: DataFrame, reference: DataFrame, column: str, keys: list[str], outputs: list[str], normalise: bool = True, prefix: str = "") -> DataFrame:
     """Columns of a reference table by a code or name, which may be in any of its key columns; the first key column wins.
 
@@ -97,7 +119,12 @@ def lookup_join(df: DataFrame, reference: DataFrame, column: str, keys: list[str
     return df.withColumn("__key", clean(column)).join(best, "__key", "left").select(*df.columns, *(F.col(f"__v.{prefix + o}").alias(prefix + o) for o in outputs))
 
 
-@operator(ports=("left", "right"))
+def _as_of(inputs, p, outputs):
+    left = inputs["left"].columns
+    return {c if c not in left else f"{c}_r": origin("right", c, "as-of join") for c in inputs["right"].columns if c not in (p["by"] or [])}
+
+
+@operator(ports=("left", "right"), lineage=_as_of)
 def asof_join(left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: list[str] | None = None, tolerance: float | None = None) -> DataFrame:
     """Each left row with the last right row of its group at or before it; one union and one window, no pairs."""
     own = [c for c in right.columns if c not in (by or [])]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import names, num, order, window, with_stats
 from millrace.operators.rows import numbered
+from millrace.plans.lineage import origin, per_column
 from millrace.plans.registry import operator
 from millrace.scratch import settle
 
@@ -23,7 +24,13 @@ def _upto(by: By, order_by: list):
     return _rows(by, order_by, Window.unboundedPreceding, 0)
 
 
-@operator()
+def _over_window(inputs, p, outputs):
+    keys = [k if isinstance(k, str) else k["column"] for k in p["orderBy"] or []]
+    read = [p["column"]] if p["column"] else [] if p["fn"] == "count" else keys
+    return {p["as_"] or f"{p['fn']}_{p['column'] or 'rows'}": origin("df", read, "window", f"{p['fn']}({p['column'] or '*'})")}
+
+
+@operator(lineage=_over_window)
 def window_aggregate(df: DataFrame, fn: str, column: str | None = None, partitionBy: By = None, orderBy: list | None = None, as_: str | None = None, frame: str | None = None, start: int | None = None, end: int | None = None, offset: int = 1, buckets: int = 4) -> DataFrame:
     """sum, mean, min, max, count, rank, dense_rank, percent_rank, ntile, row_number, lag, lead, first, last; the frame is SQL's default unless given as rows or range."""
     w = window(partitionBy, orderBy)
@@ -47,7 +54,11 @@ def window_aggregate(df: DataFrame, fn: str, column: str | None = None, partitio
 _ROLL = {"mean": F.mean, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "count": F.count}
 
 
-@operator(columns=("time_column",))
+def _rolled(inputs, p, outputs):
+    return {x.get("as") or f"{x['column']}_{x['fn']}_{x['window']}": origin("df", x["column"], "window", f"{x['fn']}({x['column']})") for x in p["windows"]}
+
+
+@operator(columns=("time_column",), lineage=_rolled)
 def rolling(df: DataFrame, time_column: str, windows: list[dict], min_periods: int = 1, partition_by: By = None) -> DataFrame:
     """windows [{column, fn, window, as}]: window is a number of rows, or a time such as 7d that covers (t - w, t]."""
     t = F.unix_micros(F.col(time_column).cast("timestamp"))
@@ -64,13 +75,13 @@ def rolling(df: DataFrame, time_column: str, windows: list[dict], min_periods: i
     return out.drop("__t")
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "lag"))
 def lag_features(df: DataFrame, columns: list[str], sortColumn: str, lags: str | list = "1", groupColumn: str | None = None) -> DataFrame:
     w = window([groupColumn] if groupColumn else None, [sortColumn])
     return df.withColumns({f"{c}_lag{n}": F.lag(c, int(n)).over(w) for c in columns for n in names(str(lags) if isinstance(lags, int) else lags)})
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "impute"))
 def impute_forward_backward(df: DataFrame, columns: list[str], sortColumn: str, direction: str = "forward", groupColumn: str | None = None) -> DataFrame:
     by = [groupColumn] if groupColumn else None
     ahead, back = _upto(by, [sortColumn]), _rows(by, [sortColumn], 0, Window.unboundedFollowing)
@@ -78,7 +89,7 @@ def impute_forward_backward(df: DataFrame, columns: list[str], sortColumn: str,
     return df.withColumns({c: fill(c) for c in columns})
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "impute"))
 def impute_interpolation(df: DataFrame, columns: list[str], sortColumn: str, method: str = "linear", groupColumn: str | None = None) -> DataFrame:
     """Linear by row place inside gaps; ``nearest`` fills forward, then backward."""
     by = [groupColumn] if groupColumn else None

@@ -10,24 +10,25 @@ from pyspark.sql import functions as F
 
 from millrace.functions.expressions import names, num
 from millrace.operators.joins import lookup_join
+from millrace.plans.lineage import computed, per_column
 from millrace.plans.registry import operator
 
 
-@operator(columns=("column",))
+@operator(columns=("column",), lineage=per_column("column", "clean"))
 def clean_whitespace(df: DataFrame, column: str, collapse: bool = True, lowercase: bool = False) -> DataFrame:
     c = F.trim(F.col(column))
     c = F.regexp_replace(c, r"\s+", " ") if collapse else c
     return df.withColumn(column, F.lower(c) if lowercase else c)
 
 
-@operator(columns=("column",))
+@operator(columns=("column",), lineage=per_column("column", "replace"))
 def replace_text(df: DataFrame, column: str, find: str, replace: str = "", regex: bool = False) -> DataFrame:
     """All occurrences, of a literal or of a pattern; \\1 in the replacement is a group."""
     c = F.regexp_replace(F.col(column), find, re.sub(r"\\(\d)", r"$\1", replace)) if regex else F.replace(F.col(column), F.lit(find), F.lit(replace))
     return df.withColumn(column, c)
 
 
-@operator(columns=("column",))
+@operator(columns=("column",), lineage=computed("as_", "column", transform="extract"))
 def extract_pattern(df: DataFrame, column: str, pattern: str, group: int = 1, as_: str = "extracted") -> DataFrame:
     """A group of the first match (0 counts as 1), '' without a match."""
     return df.withColumn(as_, F.regexp_extract(F.col(column), pattern, group or 1))
@@ -217,7 +218,7 @@ PII = {
 }
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "redact"))
 def pii_redact(df: DataFrame, columns: list[str], patterns: str | list[str] = "email,phone,ssn,credit_card", replacement: str = "[REDACTED]") -> DataFrame:
     """Replaces personal data in text columns; unknown pattern names are an error.
 
@@ -238,7 +239,7 @@ def pii_redact(df: DataFrame, columns: list[str], patterns: str | list[str] = "e
     return df.withColumns({c: clean(c) for c in columns})
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "pseudonym"))
 def pseudonymize_seeded(df: DataFrame, columns: list[str], seed: str, prefix: str = "px_") -> DataFrame:
     """Prefix and the first 16 hex digits of HMAC-SHA256 of the value's text, from built-in functions."""
     key = seed.encode() if len(seed.encode()) <= 64 else hashlib.sha256(seed.encode()).digest()
@@ -252,6 +253,6 @@ def pseudonymize_seeded(df: DataFrame, columns: list[str], seed: str, prefix: st
     return df.withColumns({c: mac(c) for c in columns})
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "hash"))
 def salt_hash(df: DataFrame, columns: list[str], salt: str, truncate: int = 16) -> DataFrame:
     return df.withColumns({c: F.substring(F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")).cast("binary"), 256), 1, truncate) for c in columns})

@@ -11,6 +11,7 @@ from millrace.functions.expressions import finite, num, numeric_columns, with_st
 from millrace.functions.quantiles import exact_quantiles
 from millrace.operators.neighbours import knn_join
 from millrace.operators.rows import numbered
+from millrace.plans.lineage import origin, per_column
 from millrace.plans.registry import operator
 from millrace.scratch import settle
 
@@ -20,14 +21,14 @@ def _scaled(df: DataFrame, stats: dict, new: dict) -> DataFrame:
     return out.withColumns(new).drop(*stats)
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "scale"))
 def scale_standard(df: DataFrame, columns: list[str], suffix: str = "_scaled") -> DataFrame:
     """(x - mean) / sample deviation, 0 where that is 0."""
     stats = {f"__m{c}": F.mean(num(c)) for c in columns} | {f"__s{c}": F.stddev_samp(num(c)) for c in columns}
     return _scaled(df, stats, {c + suffix: F.when(F.coalesce(f"__s{c}", F.lit(0.0)) == 0, F.lit(0.0)).otherwise((num(c) - F.col(f"__m{c}")) / F.col(f"__s{c}")) for c in columns})
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "scale"))
 def scale_minmax(df: DataFrame, columns: list[str], rangeMin: float = 0.0, rangeMax: float = 1.0, suffix: str = "_minmax") -> DataFrame:
     """To [rangeMin, rangeMax]; a span of 0 counts as 1."""
     stats = {f"__l{c}": F.min(num(c)) for c in columns} | {f"__h{c}": F.max(num(c)) for c in columns}
@@ -35,7 +36,7 @@ def scale_minmax(df: DataFrame, columns: list[str], rangeMin: float = 0.0, range
     return _scaled(df, stats, {c + suffix: (num(c) - F.col(f"__l{c}")) / span(c) * (rangeMax - rangeMin) + rangeMin for c in columns})
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "scale"))
 def scale_robust(df: DataFrame, columns: list[str], suffix: str = "_robust") -> DataFrame:
     """(x - median) / interquartile range, with interpolated quantiles (exact, in passes over the table); a range of 0 counts as 1, NaN does not count."""
     new = {}
@@ -59,7 +60,7 @@ def _yeo(x, l: float):  # noqa: E741
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "scale"))
 def yeo_johnson(df: DataFrame, columns: list[str], suffix: str = "_yj") -> DataFrame:
     """The power transform of largest likelihood, standardised. Two grids of exponents, each one aggregate for all columns."""
     best = dict.fromkeys(columns, 0.0)
@@ -79,7 +80,7 @@ def yeo_johnson(df: DataFrame, columns: list[str], suffix: str = "_yj") -> DataF
     return _scaled(df, stats, {c + suffix: finite((new[c] - F.col(f"__m{c}")) / F.nullif(F.col(f"__s{c}"), F.lit(0.0))) for c in columns})
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=per_column("columns", "impute"))
 def impute_mean_median_mode(df: DataFrame, columns: list[str], strategy: str = "auto") -> DataFrame:
     """auto: the median of numbers, the mode of others (the least of equally frequent values)."""
     numeric = set(numeric_columns(df))
@@ -89,7 +90,7 @@ def impute_mean_median_mode(df: DataFrame, columns: list[str], strategy: str = "
     return _scaled(df, stats, {c: F.coalesce(num(c) if pick(c) != "mode" else F.col(c), F.col(f"__v{c}")) for c in columns})
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=lambda inputs, p, outputs: {c: origin("df", p["columns"], "impute") for c in p["columns"]})
 def impute_knn(df: DataFrame, columns: list[str], key: str, k: int = 5) -> DataFrame:
     """Missing values become the mean over the k nearest complete rows, by Euclidean distance over the columns that the row has; ties go to the least key.
 
@@ -119,7 +120,7 @@ def impute_knn(df: DataFrame, columns: list[str], key: str, k: int = 5) -> DataF
     return own.join(means, "__row", "left").withColumns({c: F.coalesce(v, F.col(f"__v{i}")) for i, (c, v) in enumerate(zip(columns, values, strict=True))}).select(*df.columns)
 
 
-@operator(columns=("columns",))
+@operator(columns=("columns",), lineage=lambda inputs, p, outputs: {c: origin("df", p["columns"], "impute") for c in p["columns"]})
 def impute_mice(df: DataFrame, columns: list[str], maxIter: int = 10) -> DataFrame:
     """Chained least squares: each column's gaps from the others, round by round. A round is one aggregate of products and one select."""
     import numpy as np

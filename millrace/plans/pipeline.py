@@ -8,12 +8,16 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import partial
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.sql import DataFrame, SparkSession
 
 import millrace.operators  # noqa: F401  registers the operators
+from millrace.plans.lineage import origins
 from millrace.plans.published import Published, expose, lookup
 from millrace.plans.registry import OPERATORS
 from millrace.plans.templates import render_all
@@ -45,14 +49,26 @@ def validate(spec: dict) -> list[str]:
     return found
 
 
-def build(spark: SparkSession, spec: dict, pipelines: dict[str, dict] | Published | None = None, variables: dict | None = None, inputs: dict[str, DataFrame] | None = None, now: datetime | None = None, _open: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """Output name -> DataFrame. Only ancestors of outputs are built; nothing runs. ``inputs`` replaces datasets by id."""
-    spec = render_all(spec, now or datetime.now(UTC), variables)
+@dataclass
+class Step:
+    """A node as it was built: its operator's name, inputs by port, parameters, result, and for a subpipeline its inside."""
+
+    op: str
+    inputs: dict[str, DataFrame]
+    params: dict
+    frame: DataFrame
+    inside: tuple[dict, dict[str, Step], str] | None = None
+
+
+def _fold(spark: SparkSession, spec: dict, pipelines: dict[str, dict] | Published | None, variables: dict | None, inputs: dict[str, DataFrame] | None, now: datetime, wanted: list[str] | None = None, _open: tuple[str, ...] = ()) -> tuple[dict, dict[str, DataFrame], dict[str, Step]]:
+    """(document with templates rendered, DataFrame of each source, built nodes): those that ``wanted`` or else the outputs need."""
+    spec = render_all(spec, now, variables)
     if problems := validate(spec):
         raise ValueError("; ".join(problems))
     nodes, datasets = {n["id"]: n for n in spec.get("nodes", [])}, {d["id"]: d for d in spec.get("datasets", [])}
     made: dict[str, DataFrame] = dict(inputs or {})
-    needed, todo = set(), [o["source"] for o in spec["outputs"]]
+    steps: dict[str, Step] = {}
+    needed, todo = set(), wanted or [o["source"] for o in spec["outputs"]]
     while todo:
         if (s := todo.pop()) not in needed:
             needed.add(s)
@@ -72,16 +88,24 @@ def build(spark: SparkSession, spec: dict, pipelines: dict[str, dict] | Publishe
                 raise ValueError(f"pipeline {name} contains itself")
             bound = {port: made[src] for port, src in (n.get("inputs") or {}).items()}
             inner, values = expose(inner, params.get("params", {}))
-            out = build(spark, inner, pipelines, {**(variables or {}), **values}, bound, now, (*_open, name))
-            made[s] = out[params["output_id"]] if "output_id" in params else next(iter(out.values()))
-            if params.get("sample_rows"):
-                made[s] = made[s].limit(params["sample_rows"])
+            inner, frames, inside = _fold(spark, inner, pipelines, {**(variables or {}), **values}, bound, now, None, (*_open, name))
+            by_name = {o["name"]: o["source"] for o in inner["outputs"]}
+            source = by_name[params["output_id"]] if "output_id" in params else next(iter(by_name.values()))
+            made[s] = frames[source].limit(params["sample_rows"]) if params.get("sample_rows") else frames[source]
+            steps[s] = Step(n["op"], bound, params, made[s], (inner, inside, source))
             continue
         op = OPERATORS[n["op"]]
         args = {port: made[n["inputs"][port]] for port in op.ports}
         if problems := op.check(params, args):
             raise ValueError("; ".join(f"{s}: {p}" for p in problems))
         made[s] = op.fn(*args.values(), **params)
+        steps[s] = Step(n["op"], args, params, made[s])
+    return spec, made, steps
+
+
+def build(spark: SparkSession, spec: dict, pipelines: dict[str, dict] | Published | None = None, variables: dict | None = None, inputs: dict[str, DataFrame] | None = None, now: datetime | None = None) -> dict[str, DataFrame]:
+    """Output name -> DataFrame. Only ancestors of outputs are built; nothing runs. ``inputs`` replaces datasets by id."""
+    spec, made, _ = _fold(spark, spec, pipelines, variables, inputs, now or datetime.now(UTC))
     return {o["name"]: made[o["source"]] for o in spec["outputs"]}
 
 
@@ -108,23 +132,48 @@ def run_pipeline(spark: SparkSession, spec: dict, run_log: str | None = None, no
     return outputs
 
 
-def trace_column(spec: dict, source: str, column: str) -> set[tuple[str, str]]:
-    """(dataset, column) pairs that a column of a node comes from, read off the parameters: names that occur in a node's parameters count as its inputs."""
-    import re
-
-    nodes = {n["id"]: n for n in spec.get("nodes", [])}
-    if source not in nodes:
-        return {(source, column)}
-    n = nodes[source]
-    p = n.get("params", {})
-    made = {"derive_column": p.get("name"), "math_equation": p.get("resultName"), "coalesce_columns": p.get("as_"), "window_aggregate": p.get("as_"), "geo_distance": p.get("outputColumn")}.get(n["op"])
-    if n["op"] == "rename_columns":
-        rules = p["mapping"] if isinstance(p["mapping"], dict) else {m["from"]: m["to"] for m in p["mapping"]}
-        column = {v: k for k, v in rules.items()}.get(column, column)
-    wanted = {column}
-    if n["op"] == "group_aggregate":
-        wanted = {a["column"] for a in p["aggregates"] if a.get("column") and (a.get("as") or f"{a['fn']}_{a['column']}") == column} or ({column} & set(p.get("groupBy") or []))
-    elif made == column:
-        text = " ".join(str(v) for k, v in p.items() if k not in ("name", "resultName", "as_", "outputColumn"))
-        wanted = set(re.findall(r"[A-Za-z_]\w*", text))
-    return {x for s in _sources(n) for c in wanted for x in trace_column(spec, s, c)}
+def column_lineage(spec: dict, source: str, column: str, spark: SparkSession | None = None, pipelines: dict[str, dict] | Published | None = None, variables: dict | None = None, inputs: dict[str, DataFrame] | None = None, now: datetime | None = None) -> list[dict]:
+    """Steps from a column of a node back to the datasets: {node, column, transform, expression, declared, sources: [(node, column)]}.
+
+    Nodes are built as for a run, so names are those that joins, pivots and suffixes really give; operators that run jobs when
+    they are called run them. Nodes inside a subpipeline are written ``node/inner``; its datasets that are not bound to an
+    input are roots. Columns of datasets are listed with the transform ``source``.
+    """
+    spark = spark or SparkSession.active()
+    spec, _, steps = _fold(spark, spec, pipelines, variables, inputs, now or datetime.now(UTC), [source])
+    found: dict[tuple[str, str], dict] = {}
+
+    def walk(spec: dict, steps: dict[str, Step], prefix: str, bound: dict[str, Callable[[str], tuple[str, str]]], source: str, column: str) -> tuple[str, str]:
+        """Note the column and what it comes from; the name under which it was noted. ``bound`` maps datasets of a subpipeline to the caller's notes."""
+        key = (prefix + source, column)
+        if source not in steps:
+            if source in bound:
+                return bound[source](column)
+            found.setdefault(key, {"node": key[0], "column": column, "transform": "source", "expression": None, "declared": True, "sources": []})
+            return key
+        if key in found:
+            return key
+        step = steps[source]
+        if column not in step.frame.columns:
+            raise ValueError(f"{key[0]}: no column {column}")
+        wired = next(n for n in spec["nodes"] if n["id"] == source).get("inputs") or {}
+        entry = found[key] = {"node": key[0], "column": column, "transform": "subpipeline", "expression": None, "declared": True, "sources": []}
+        if step.inside:
+            inner, inside, at = step.inside
+            outer = {port: partial(walk, spec, steps, prefix, bound, src) for port, src in wired.items()}
+            entry["sources"] = [walk(inner, inside, f"{key[0]}/", outer, at, column)]
+            return key
+        op = OPERATORS[step.op]
+        defaults = {k: p.default for k, p in op.params.items() if p.default is not p.empty}
+        made = origins(step.inputs, step.params, step.frame.columns, op.lineage, defaults)[column]
+        entry |= {"transform": made.transform, "expression": made.expression, "declared": made.declared}
+        entry["sources"] = [walk(spec, steps, prefix, bound, wired[port], c) for port, c in sorted(made.sources)]
+        return key
+
+    walk(spec, steps, "", {}, source, column)
+    return list(found.values())
+
+
+def trace_column(spec: dict, source: str, column: str, spark: SparkSession | None = None, **kw) -> set[tuple[str, str]]:
+    """(dataset, column) pairs that a column of a node comes from; see ``column_lineage``."""
+    return {(x["node"], x["column"]) for x in column_lineage(spec, source, column, spark, **kw) if x["transform"] == "source"}

@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from millrace.plans.lineage import Declaration
+
 
 @dataclass
 class Operator:
@@ -15,7 +17,7 @@ class Operator:
     fn: Callable[..., DataFrame]
     ports: tuple[str, ...]
     params: dict[str, inspect.Parameter]
-    lineage: Callable[..., dict] | None = None
+    lineage: Declaration | None = None
     columns: tuple[str, ...] = field(default=())
 
     def check(self, params: dict, inputs: dict[str, DataFrame] | None = None) -> list[str]:
@@ -38,7 +40,7 @@ class Operator:
 OPERATORS: dict[str, Operator] = {}
 
 
-def operator(name: str | None = None, ports: tuple[str, ...] = ("df",), columns: tuple[str, ...] = (), lineage: Callable[..., dict] | None = None):
+def operator(name: str | None = None, ports: tuple[str, ...] = ("df",), columns: tuple[str, ...] = (), lineage: Declaration | None = None):
     """Register a function whose first parameters are the input ports."""
 
     def add(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
@@ -49,6 +51,6 @@ def operator(name: str | None = None, ports: tuple[str, ...] = ("df",), columns:
     return add
 
 
-def register_op(name: str, fn: Callable[..., DataFrame], ports: tuple[str, ...] = ("df",)) -> None:
+def register_op(name: str, fn: Callable[..., DataFrame], ports: tuple[str, ...] = ("df",), lineage: Declaration | None = None) -> None:
     """Add a user's operator; the body may use pandas_udf, applyInPandas or mapInPandas."""
-    operator(name, ports)(fn)
+    operator(name, ports, lineage=lineage)(fn)
