@@ -1,6 +1,6 @@
 """Toxicity from subword bags: word and character n-gram embeddings are averaged over the text into a linear softmax.
 
-Embeddings and softmax are trained jointly in numpy, by Adam on minibatches, from a bounded sample of labelled rows. A misspelling
+Embeddings (by gradient steps) and softmax (by Adam) are trained jointly in numpy, on minibatches of a bounded sample of labelled rows. A misspelling
 never seen in training shares most of its n-grams with the word it stands for, and so its vectors. Once trained, every
 n-gram adds a number to the text's margin, so scoring looks up one sum a word and all texts are scored whole, in one pass.
 """
@@ -22,9 +22,12 @@ from millrace.llm.common import as_bytes, rows_of
 BUCKETS, DIM, SIZES, EPOCHS, BATCH, RATE = 1 << 19, 8, (3, 4, 5), 8, 64, 0.05
 #: The classifier is fitted on at most this many labelled rows, those that come first by a hash of their ids.
 MAX_TRAIN = 3_000
-THRESHOLD, HELD_WORDS, DECAY = 0.3, 300_000, 1e-3
-#: N-grams in a smaller share of the training rows have no vector: they would learn these rows by heart.
-MIN_SHARE = 0.03
+THRESHOLD, HELD_WORDS = 0.3, 300_000
+#: An n-gram in a share q of the training rows weighs SMOOTH / (SMOOTH + q) in a text's average, so that a few rare words are not
+#: lost among common ones. Its vector moves by plain gradient steps: what few rows hold moves little, and no n-gram is left out.
+SMOOTH, STEP = 0.03, 4000.0
+#: Rows of label 1 count this often; the softmax starts with its two directions this far apart, whatever the seed.
+POSITIVE, SPREAD = 4.0, 1.2
 _EDGE = ".,;:!?%*&$#|\"'()[]<>-_"
 
 
@@ -86,54 +89,53 @@ def bags(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, min_share: float = MIN_SHARE, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(margin of each bucket, bias) of the fitted softmax: class 1 against class 0."""
-    rng = np.random.default_rng(seed)
-    emb = rng.standard_normal((BUCKETS, DIM), np.float32) * np.float32(0.05)
-    soft, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
+def train(texts: list[bytes | None], labels: list[int], epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(margin of each bucket, bias) of the fitted softmax: class 1 against class 0. N-grams that no text has add nothing."""
     if not texts:
         return np.zeros(BUCKETS, np.float32), 0.0
-    held = bags(texts)
-    texts_with = np.zeros(BUCKETS, np.int32)
-    for b, _ in held:
-        texts_with[b] += 1
-    common = texts_with >= min_share * len(texts)
-    held = [(b[common[b]], w[common[b]]) for b, w in held]
-    y = np.array(labels)
-    bias[:] = np.log([max(1, (y == c).sum()) / len(y) for c in (0, 1)])
-    m, v = np.zeros_like(emb), np.zeros_like(emb)
+    return fit(bags(texts), np.array(labels), epochs, seed)
+
+
+def fit(held: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+    """``train`` of texts whose bags are made."""
+    rng = np.random.default_rng(seed)
+    sizes = np.array([len(b) for b, _ in held])
+    starts = np.r_[0, np.cumsum(sizes)]
+    known, every = np.unique(np.concatenate([b for b, _ in held]), return_inverse=True)
+    rarity = (SMOOTH / (SMOOTH + np.bincount(every, minlength=len(known)) / len(held))).astype(np.float32)
+    weight = np.concatenate([w for _, w in held]) * rarity[every]
+    emb = rng.standard_normal((len(known), DIM), np.float32) * np.float32(0.05)
+    soft, bias = rng.normal(0, 1, (DIM, 2)).astype(np.float32), np.log([max(1, (y == c).sum()) / len(y) for c in (0, 1)]).astype(np.float32)
+    soft *= SPREAD / np.linalg.norm(soft[:, 1] - soft[:, 0])
+    cost = np.where(y == 1, POSITIVE, 1.0).astype(np.float32)
     ms, vs, mb, vb = np.zeros_like(soft), np.zeros_like(soft), np.zeros(2, np.float32), np.zeros(2, np.float32)
-    step = 0
+    flat, places, step = emb.reshape(-1), np.arange(DIM), 0
     for _ in range(epochs):
         order = rng.permutation(len(held))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            sizes = [len(held[r][0]) for r in rows]
-            if not sum(sizes):
+            owner = np.repeat(np.arange(len(rows)), sizes[rows])
+            if not len(owner):
                 continue
             step += 1
-            ids, w = np.concatenate([held[r][0] for r in rows]), np.concatenate([held[r][1] for r in rows])
-            owner = np.repeat(np.arange(len(rows)), sizes)
-            used, inverse = np.unique(ids, return_inverse=True)
-            part = np.zeros((len(rows), len(used)), np.float32)
-            part[owner, inverse] = w
-            own = emb[used]
-            mean = part @ own
+            take = np.concatenate([np.arange(starts[r], starts[r + 1]) for r in rows])
+            ids, w = every[take], weight[take]
+            mean = np.stack([np.bincount(owner, w * emb[ids, d], len(rows)) for d in places], axis=1).astype(np.float32)
             z = mean @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
-            g_soft, g_bias, g_emb = mean.T @ p, p.sum(axis=0), part.T @ (p @ soft.T)
+            p *= cost[rows, None] / len(rows)
+            g_soft, g_bias = mean.T @ p, p.sum(axis=0)
+            np.add.at(flat, (ids[:, None] * DIM + places).ravel(), ((-STEP * w)[:, None] * (p @ soft.T)[owner]).ravel())
             fix1, fix2 = 1 - 0.9**step, 1 - 0.999**step
-            m[used] = 0.9 * m[used] + 0.1 * g_emb
-            v[used] = 0.999 * v[used] + 0.001 * g_emb**2
-            emb[used] = own * (1 - DECAY) - RATE * (m[used] / fix1) / (np.sqrt(v[used] / fix2) + 1e-8)
             for x, g, a, b in ((soft, g_soft, ms, vs), (bias, g_bias, mb, vb)):
                 a[...] = 0.9 * a + 0.1 * g
                 b[...] = 0.999 * b + 0.001 * g * g
                 x -= RATE * (a / fix1) / (np.sqrt(b / fix2) + 1e-8)
-    return np.where(common, emb @ (soft[:, 1] - soft[:, 0]), 0).astype(np.float32), float(bias[1] - bias[0])
+    margin = np.zeros(BUCKETS, np.float32)
+    margin[known] = rarity * (emb @ (soft[:, 1] - soft[:, 0]))
+    return margin, float(bias[1] - bias[0])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:

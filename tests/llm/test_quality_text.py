@@ -212,6 +212,33 @@ def test_toxicity_on_held_out_rows_and_misspellings(spark):
     assert score(make(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_rare_words_and_their_misspellings_have_vectors():
+    from millrace.llm.toxicity import bags, train
+
+    rng = random.Random(6)
+    texts, labels = [], []
+    for i in range(1000):
+        w = prose(rng, 40).split()
+        bad = i % 8 == 0
+        if bad:
+            # one word is in 5 rows of 1,000, the others share the rest
+            w[rng.randrange(40)] = "wretchkopf" if i % 200 == 0 else rng.choice(["horrible", "disgusting", "stupid"])
+        texts.append(" ".join(w).encode())
+        labels.append(int(bad))
+    assert sum(b"wretchkopf" in t for t in texts) == 5
+    margin, bias = train(texts, labels)
+
+    def scores(probes):
+        return [1 / (1 + math.exp(-bias - float(margin[b] @ w))) for b, w in bags(probes)]
+
+    clean = [prose(rng, 12) for _ in range(200)]
+    plain = scores([t.encode() for t in clean])
+    for word in ("wretchkopf", "wretchkopff", "wretchk0pf", "disgustting"):
+        marked = scores([f"{t} {word}".encode() for t in clean])
+        assert sum(m >= 0.3 for m in marked) > 0.9 * len(marked), word
+    assert sum(x >= 0.3 for x in plain) < 0.05 * len(plain)
+
+
 def brute_margin(token, margin):
     from millrace.llm import toxicity as tx
 
