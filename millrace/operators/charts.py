@@ -125,17 +125,26 @@ def chord_diagram(df: DataFrame, sourceColumn: str, targetColumn: str, valueColu
 
 @operator()
 def sankey_flow(df: DataFrame, sourceColumn: str, targetColumn: str, valueColumn: str, max_depth: int = 20) -> DataFrame:
-    """Edge sums and the levels of their ends: the longest way from a source, cut at max_depth in cycles."""
+    """Edge sums and the levels of their ends: the longest way from a source, however long it is.
+
+    Each round takes away the nodes without edges into them; a node's level is the number of rounds that it outlasts. Nodes
+    on a cycle or behind one have no longest way; when only those are left they get max_depth, or the round's number if it is larger.
+    """
     from millrace.scratch import settle
 
     e = settle(_edges(df, sourceColumn, targetColumn, valueColumn).where("source <> target"), "sankey-edges")
     nodes = e.select(F.col("source").alias("n")).unionByName(e.select(F.col("target").alias("n"))).distinct()
     level = settle(nodes.withColumn("level", F.lit(0)), "sankey-levels")
-    for depth in range(1, max_depth + 1):
-        up = e.join(level.where(F.col("level") == depth - 1), F.col("source") == F.col("n")).select(F.col("target").alias("n")).distinct().withColumn("new", F.lit(depth))
-        if not up.limit(1).count():
+    left, before, depth = e.select("source", "target"), level.count(), 0
+    while before:
+        ahead = settle(left.select(F.col("target").alias("n")).distinct(), "sankey-ahead")
+        held, depth = ahead.count(), depth + 1
+        reached = depth if held < before else max(depth, max_depth)
+        if held:
+            level = settle(level.join(ahead.withColumn("new", F.lit(reached)), "n", "left").select("n", F.coalesce("new", "level").alias("level")), "sankey-levels")
+        if held == before:
             break
-        level = settle(level.join(up, "n", "left").select("n", F.coalesce("new", "level").alias("level")), "sankey-levels")
+        left, before = settle(left.join(ahead, left["source"] == ahead["n"], "left_semi"), "sankey-left"), held
     a, b = level.select(F.col("n").alias("source"), F.col("level").alias("source_level")), level.select(F.col("n").alias("target"), F.col("level").alias("target_level"))
     return e.join(a, "source").join(b, "target").select("source", "target", "value", "source_level", "target_level")
 

@@ -84,7 +84,7 @@ def write(df: DataFrame, uri: str, format: str | None = None, mode: str = "overw
     """parquet, csv, tsv, json (a line each), orc, text or feather; parquet is written with zstd unless told otherwise."""
     kind = format_of(uri, format)
     if kind == "feather":
-        return write_feather(df, uri)
+        return write_feather(df, uri, mode)
     w = df.write.mode(mode).options(**options)
     if compression or kind == "parquet":
         w = w.option("compression", compression or "zstd")
@@ -117,28 +117,52 @@ def read_feather(spark: SparkSession, uri: str) -> DataFrame:
     return files.select("content").mapInArrow(load, schema)
 
 
-def write_feather(df: DataFrame, uri: str) -> None:
-    """One Arrow IPC file for each partition, written by the tasks through Arrow's file systems."""
+def write_feather(df: DataFrame, uri: str, mode: str = "overwrite") -> None:
+    """One Arrow IPC file for each partition that has rows, written by the tasks through Arrow's file systems.
+
+    Each attempt of a task writes a file of its own in a hidden folder; only the files of attempts whose results Spark took are
+    moved to their places (one move a partition), so retried and speculative tasks leave nothing behind. Files of earlier
+    writes are replaced (overwrite) or kept (append); error raises if there are any, and ignore does nothing then.
+    """
     import uuid
 
     from pyarrow import fs
 
+    def place() -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+    job = uuid.uuid4().hex
+    store, base = place()
+    store.create_dir(base, recursive=True)
+    old = [f.path for f in store.get_file_info(fs.FileSelector(base)) if f.path.endswith(".feather")]
+    if old and mode in ("error", "errorifexists"):
+        raise FileExistsError(f"{uri} holds data")
+    if old and mode == "ignore":
+        return
+
     def save(batches):
-        store, base = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
-        store.create_dir(base, recursive=True)
-        name, writer, rows = f"{base}/part-{uuid.uuid4().hex}.feather", None, 0
+        store, base = place()
+        store.create_dir(f"{base}/_temporary-{job}", recursive=True)
+        name, writer = uuid.uuid4().hex, None
         for batch in batches:
-            if writer is None:
-                out = store.open_output_stream(name)
+            if batch.num_rows and writer is None:
+                out = store.open_output_stream(f"{base}/_temporary-{job}/{name}")
                 writer = pa.ipc.new_file(out, batch.schema)
-            writer.write_batch(batch)
-            rows += batch.num_rows
+            if batch.num_rows:
+                writer.write_batch(batch)
         if writer is not None:
             writer.close()
             out.close()
-        yield pa.RecordBatch.from_pydict({"rows": pa.array([rows], pa.int64())})
-
-    df.mapInArrow(save, "rows long").agg(F.sum("rows")).collect()
+            yield pa.RecordBatch.from_pydict({"name": pa.array([name])})
+
+    done = [r.name for r in df.mapInArrow(save, "name string").collect()]
+    if mode == "overwrite":
+        for path in old:
+            store.delete_file(path)
+    for k, name in enumerate(done):
+        store.move(f"{base}/_temporary-{job}/{name}", f"{base}/part-{k:05d}-{job}.feather")
+    if done:
+        store.delete_dir(f"{base}/_temporary-{job}")
 
 
 def read_numpy(spark: SparkSession, uri: str, member: str | None = None) -> DataFrame:
