@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import inspect
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space; Java and Python read the pattern alike.
@@ -41,6 +42,18 @@ def rows_of(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[tupl
             yield part, [c.to_pylist() for c in part.columns]
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 256) -> Iterator[None]:
+    """Jobs that run meanwhile hand Python at most ``rows`` rows at once (10,000 are usual), so that neither side holds thousands of texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, min(rows, before) if before > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def one_row_for(df: DataFrame, key: str) -> DataFrame:
     """Distinct non-null keys."""
     return df.select(key).where(F.col(key).isNotNull()).distinct()

@@ -5,8 +5,9 @@ among the first n - ceil(0.8 n) + 1 of each, so texts meet in these prefixes and
 shingles that are frequent in a sample of texts last, which keeps the buckets small; the sample decides nothing else.
 
 Members of small buckets are all compared. In large ones members are first compared with one pivot a round, and what is
-still in another component than most of its bucket with all the bucket's members. A pair's prefixes bound how much its texts
-can share, so only pairs with enough common prefix are compared as whole texts, by their exact similarity.
+still in another component than most of its bucket with all the bucket's members. A set's parity map has a bit or two for
+each of its shingles; two sets differ by at least as many shingles as their maps by bits, so only pairs whose maps differ
+little are compared as whole texts, by their exact similarity.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.graph import connected_components
-from millrace.llm.common import as_bytes, extras_apart, rows_of, words
+from millrace.llm.common import as_bytes, extras_apart, rows_of, small_batches, words
 from millrace.scratch import settle
 
 SHINGLE, SIMILARITY, SEED = 5, 0.8, 42
@@ -62,15 +63,30 @@ def prefix(found: np.ndarray, similarity: float, frequent: np.ndarray) -> np.nda
     return found[:size]
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """A map of as many bits as there are shingles, up to the next power of two (64 at least), as longs: a bit is 1 if an odd number of shingles falls on it."""
+    bits = 64
+    while bits < len(found):
+        bits *= 2
+    odd = np.bincount(found & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def _bits_apart(a: Column, b: Column) -> Column:
+    """How many bits two parity maps differ in, the longer one folded to half its length; NULL if that leaves other lengths."""
+
+    def folded(x: Column, y: Column) -> Column:
+        half = F.shiftright(F.size(x), 1)
+        return F.when(F.size(x) > F.size(y), F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda u, v: u.bitwiseXOR(v))).otherwise(x)
+
+    return F.aggregate(F.zip_with(folded(a, b), folded(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda n, x: n + x)
+
+
 def _row_key(id_col: str, text_col: str) -> Column:
     """128 bits of a row's id and text."""
     return F.unhex(F.md5(F.to_json(F.struct(F.col(id_col).cast("string").alias("i"), F.md5(F.col(text_col).cast("binary")).alias("t")), {"ignoreNullFields": "false"}).cast("binary")))
 
 
-def _prefix_size(n: Column, similarity: float) -> Column:
-    return n - F.ceil(similarity * n - 1e-9) + 1
-
-
 def _shingles(texts: DataFrame, key: str, shingle: int) -> DataFrame:
     """(key, found): the whole shingle set of each key's text. Rows that repeat a key give one set a task."""
 
@@ -94,22 +110,23 @@ def _frequent(docs: DataFrame, text_col: str, shingle: int) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """(id, rkey, digest, n, prefix) of every row; rows of equal sets share the digest."""
+    """(id, rkey, digest, n, bits, prefix) of every row; rows of equal sets share the digest. bits: the parity map."""
     kind = docs.schema[id_col].dataType.simpleString()
     frequent = _frequent(docs, text_col, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (_, _, texts) in rows_of(batches):
-            sids, sizes, heads = [], [], []
+            sids, sizes, bits, heads = [], [], [], []
             for t in texts:
                 found = shingle_set(t, shingle)
                 sids.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 sizes.append(len(found))
+                bits.append(parity(found))
                 heads.append(prefix(found, similarity, frequent))
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(heads, pa.list_(pa.int64()))], names=["id", "rkey", "digest", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(sids, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bits, pa.list_(pa.int64())), pa.array(heads, pa.list_(pa.int64()))], names=["id", "rkey", "digest", "n", "bits", "prefix"])
 
     rows = docs.select(F.col(id_col).alias("id"), _row_key(id_col, text_col).alias("rkey"), as_bytes(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, rkey binary, digest binary, n long, prefix array<long>")
+    return rows.mapInArrow(run, f"id {kind}, rkey binary, digest binary, n long, bits array<long>, prefix array<long>")
 
 
 def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -119,13 +136,14 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int
     pairs = settle(pairs.distinct(), "similar-pairs")
     at_most = pairs.count()
     files = at_most // PAIRS_PER_FILE + 8
-    few = lambda keys: F.broadcast(keys) if 2 * at_most <= MOST_KEYS else keys
-    heads = reps.join(few(ends(pairs)), "sid").select("sid", "n", "prefix")
-    # what is beyond the shorter-sighted prefix is at most that set's rest
-    rest = F.greatest(F.col("n_a") - _prefix_size(F.col("n_a"), similarity), F.col("n_b") - _prefix_size(F.col("n_b"), similarity))
-    able = F.size(F.array_intersect("prefix_a", "prefix_b")) + rest + 1e-9 >= similarity / (1 + similarity) * (F.col("n_a") + F.col("n_b"))
-    pairs = settle(sides(pairs, heads, "n", "prefix").where(able).select("a", "b").coalesce(files), "similar-able")
-    wanted = settle(reps.join(few(ends(pairs)), "sid").select("rkey", "sid"), "similar-wanted")
+    few = 2 * at_most <= MOST_KEYS
+    heads = reps.select("sid", "n", "bits")
+    heads = heads.join(F.broadcast(ends(pairs)), "sid") if few else heads
+    # sets of that similarity differ by at most this many shingles
+    able = _bits_apart(F.col("bits_a"), F.col("bits_b")) <= (1 - similarity) / (1 + similarity) * (F.col("n_a") + F.col("n_b")) + 1e-9
+    pairs = settle(sides(pairs, heads, "n", "bits").where(F.coalesce(able, F.lit(True))).select("a", "b").coalesce(files), "similar-able")
+    wanted = ends(pairs)
+    wanted = settle(reps.select("rkey", "sid").join(F.broadcast(wanted) if few else wanted, "sid"), "similar-wanted")
     held = texts.join(F.broadcast(wanted) if wanted.count() <= MOST_KEYS else wanted, "rkey").select("sid", "text")
     sets = settle(_shingles(held, "sid", shingle), "similar-sets").dropDuplicates(["sid"])
     common = F.size(F.array_intersect("found_a", "found_b"))
@@ -134,7 +152,7 @@ def _confirmed(pairs: DataFrame, reps: DataFrame, texts: DataFrame, shingle: int
 
 
 def similar_sets(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, component) over the sid that are linked to some other one. ``reps``: (sid, rkey, n, prefix), one a set; ``texts``: (rkey, text)."""
+    """(node, component) over the sid that are linked to some other one. ``reps``: (sid, rkey, n, bits, prefix), one a set; ``texts``: (rkey, text)."""
     # dealt once, for the aggregate and for the join
     heads = reps.select("sid", F.explode("prefix").alias("token")).repartition("token")
     shared = heads.groupBy("token").agg(F.min("sid").alias("a"), F.max("sid").alias("b")).where("a < b").select("token")
@@ -178,11 +196,12 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts without words are copies of one another. A null id comes after all others, so such a row goes only as
     a copy of a row that stays; rows that repeat a kept id and its shingles all stay; an empty table gives an empty table.
     """
-    marked = settle(_marked(docs, id_col, text_col, shingle, similarity), "similar-marked")
-    texts = docs.select(_row_key(id_col, text_col).alias("rkey"), as_bytes(text_col).alias("text"))
-    reps = marked.groupBy("digest").agg(F.min("rkey").alias("rkey"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    reps = settle(reps.select(F.monotonically_increasing_id().alias("sid"), "*"), "similar-reps")
-    linked = similar_sets(reps, texts, shingle, similarity).select(F.col("node").alias("sid"), "component")
+    with small_batches(docs.sparkSession):
+        marked = settle(_marked(docs, id_col, text_col, shingle, similarity), "similar-marked")
+        texts = docs.select(_row_key(id_col, text_col).alias("rkey"), as_bytes(text_col).alias("text"))
+        reps = marked.groupBy("digest").agg(F.min("rkey").alias("rkey"), *(F.first(c).alias(c) for c in ("n", "bits", "prefix")))
+        reps = settle(reps.select(F.monotonically_increasing_id().alias("sid"), "*"), "similar-reps")
+        linked = similar_sets(reps, texts, shingle, similarity).select(F.col("node").alias("sid"), "component")
     rank = F.struct(F.col("id").isNull().alias("last"), "id", "sid")
     placed = marked.select("id", "rkey", "digest").join(reps.select("digest", "sid"), "digest").join(linked, "sid", "left")
     placed = settle(placed.select("id", "rkey", "sid", F.coalesce("component", "sid").alias("component")), "similar-placed")
