@@ -224,23 +224,25 @@ def fit(counts: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(order - 1, 0, -1):
         longer = tables[k + 1].select("lang", F.substring("gram", 2, k).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n"))
         tables[k] = settle(raw.where(F.length("gram") == k).unionByName(longer), f"kn-order{k}")
-    fitted, contexts, lower = [], [], None
+    # discounts and contexts of all orders at once: fewer and smaller plans for the driver than order by order
+    union = lambda xs: reduce(DataFrame.unionByName, xs)
+    every = union([t.select("lang", "gram", "n", F.lit(k).alias("k")) for k, t in tables.items()])
+    c = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)]
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    raw_d = lambda i: i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
+    discount = lambda i: F.when(raw_d(i).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(float(i)), raw_d(i)))).otherwise(0.5 * i)
+    d = every.groupBy("lang", "k").agg(*c, F.count(F.lit(1)).alias("kinds")).select("lang", "k", "kinds", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
+    d = settle(d, "kn-discounts")  # a row a language and order
+    d = F.broadcast(d) if d.limit(order * MAX_LANGS + 1).count() <= order * MAX_LANGS else d
+    # whole numbers are added up, so that no order of addition shows in the result
+    head = F.expr("substring(gram, 1, k - 1)")
+    sums = every.groupBy("lang", "k", head.alias("h")).agg(F.sum("n").alias("all"), *(F.count_if(F.least("n", F.lit(3)) == i).alias(f"k{i}") for i in (1, 2, 3)))
+    gone = sum((F.col(f"d{i}") * F.col(f"k{i}") for i in (2, 3)), F.col("d1") * F.col("k1"))
+    contexts = settle(sums.join(d, ["lang", "k"]).select("lang", "k", "h", "all", "kinds", "d1", "d2", "d3", (gone / F.col("all")).alias("b")), "kn-contexts")
+    fitted, lower = [], None
     for k in range(1, order + 1):
-        t = tables[k]
-        c = [F.count_if(F.col("n") == i).cast("double").alias(f"n{i}") for i in range(1, 5)]
-        y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-        raw_d = lambda i: i - (i + 1) * y * F.try_divide(F.col(f"n{i + 1}"), F.col(f"n{i}"))
-        discount = lambda i: F.when(raw_d(i).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(float(i)), raw_d(i)))).otherwise(0.5 * i)
-        d = t.groupBy("lang").agg(*c, F.count(F.lit(1)).alias("kinds")).select("lang", "kinds", *(discount(i).alias(f"d{i}") for i in (1, 2, 3)))
-        d = settle(d, f"kn-discounts{k}")  # a row a language
-        d = F.broadcast(d) if d.limit(MAX_LANGS + 1).count() <= MAX_LANGS else d
-        head = F.substring("gram", 1, k - 1) if k > 1 else F.lit("")
-        t = t.withColumn("h", head)
-        # whole numbers are added up, so that no order of addition shows in the result
-        sums = t.groupBy("lang", "h").agg(F.sum("n").alias("all"), *(F.count_if(F.least("n", F.lit(3)) == i).alias(f"k{i}") for i in (1, 2, 3)))
-        gone = sum((F.col(f"d{i}") * F.col(f"k{i}") for i in (2, 3)), F.col("d1") * F.col("k1"))
-        ctx = sums.join(d, "lang").select("lang", "h", "all", "kinds", "d1", "d2", "d3", (gone / F.col("all")).alias("b"))
-        p = t.join(ctx, ["lang", "h"]).withColumn("own", (F.col("n") - F.expr("case when n = 1 then d1 when n = 2 then d2 else d3 end")) / F.col("all"))
+        t = tables[k].withColumn("h", F.substring("gram", 1, k - 1) if k > 1 else F.lit(""))
+        p = t.join(contexts.where(F.col("k") == k).drop("k"), ["lang", "h"]).withColumn("own", (F.col("n") - F.expr("case when n = 1 then d1 when n = 2 then d2 else d3 end")) / F.col("all"))
         if lower is None:
             p = p.withColumn("p", F.col("own") + F.col("b") / (F.col("kinds") + 1))
         else:
@@ -248,9 +250,7 @@ def fit(counts: DataFrame, order: int = ORDER) -> DataFrame:
             p = p.withColumn("p", F.col("own") + F.col("b") * F.coalesce("q", F.lit(1e-9)))
         lower = settle(p.select("lang", "gram", "p"), f"kn-p{k}")
         fitted.append(lower)
-        contexts.append(ctx.select("lang", F.col("h").alias("gram"), "b"))
-    union = lambda xs: reduce(DataFrame.unionByName, xs)
-    both = union(fitted).join(union(contexts), ["lang", "gram"], "full")
+    both = union(fitted).join(contexts.select("lang", F.col("h").alias("gram"), "b"), ["lang", "gram"], "full")
     units = lambda x: F.round(F.ln(x) * UNIT).cast("int")
     return settle(both.select("lang", "gram", units(F.col("p")).alias("logp"), units(F.greatest("b", F.lit(1e-9))).alias("logb")), "kn-model")
 

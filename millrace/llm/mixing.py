@@ -136,7 +136,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     kind = "pattern string, source_size long, target double, base int, need long"
     plan = [(text[p], sum(sizes[s] for s in p), float(sum(quota[s] for s in p)), *(divmod(given[p], capacity[p]) if capacity[p] else (0, 0))) for p in capacity]
     table = spark.createDataFrame([(a, b, c, int(d), int(e)) for a, b, c, d, e in plan], kind)
-    rows = rows.join(F.broadcast(table.join(_cut(rows, table.select("pattern", "need")).select("pattern", "cut", F.col("need").alias("left")), "pattern", "left")), "pattern")
+    cuts = _cut(rows, table.select("pattern", "need")).select("pattern", "cut", F.col("need").alias("left"))
+    rows = rows.join(F.broadcast(settle(table.join(cuts, "pattern", "left"), "mix-cuts")), "pattern")
     head = F.substring("h", 1, 2 * DIGITS)
     run = F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.where(head == F.col("cut")).withColumn("more", F.when(2 * run - F.col("size") <= 2 * F.col("left"), 1).otherwise(0))
