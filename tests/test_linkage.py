@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from millrace.operators import linkage
 from millrace.operators.linkage import spanning_tree
 from millrace.operators.models import semantic_cluster
 
@@ -60,3 +61,20 @@ def test_small_tables(spark):
     assert {g.k: g.cluster for g in semantic_cluster(df, "k", "e", 2).collect()} == {"k0000": 0, "k0001": 0, "k0002": 1}
     with pytest.raises(ValueError, match="4 clusters of 3 rows"):
         semantic_cluster(df, "k", "e", 4)
+
+
+def test_the_largest_component_never_searches(spark, monkeypatch):
+    asked, search = [], linkage.best_pairs
+
+    def counted(queries, base, *args):
+        if "kind" in queries.columns:
+            asked.append(queries.count())
+        return search(queries, base, *args)
+
+    monkeypatch.setattr(linkage, "best_pairs", counted)
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.normal(size=(150, 12)), r.normal(size=(12, 12)) * 0.01 + 9])
+    edges = spanning_tree(spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "id long, v array<double>")).collect()
+    assert len(edges) == len(x) - 1 and sum(e.d > 10 for e in edges) == 1
+    # the twelve apart know each other only, the others know each other
+    assert 12 <= sum(asked) < 40
